@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import packing, repair
 from .common import table
 
 
@@ -20,5 +20,9 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing,)}
+def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.read(repair.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files)}
 ORACLE: dict[str, str] = {}
