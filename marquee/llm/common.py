@@ -3,11 +3,14 @@ totals over range partitions, tokenizers and connected components."""
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable
+from typing import ClassVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -57,7 +60,7 @@ def write_file(uri: str, name: str, chunks: Iterable[bytes]) -> int:
     where, folder = filesystem(uri)
     where.create_dir(folder, recursive=True)
     part, size = f"{folder}/.{name}.{uuid.uuid4().hex[:8]}", 0
-    with where.open_output_stream(part) as out:
+    with where.open_output_stream(part, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
             size += len(chunk)
@@ -84,27 +87,86 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-class WordCache(dict):
-    """Word -> its ids as bytes; missing words are encoded together. Emptied beyond `limit` words, so a
-    task's memory doesn't grow with its input."""
+#: Letters of the fast path: where a text has none beyond them, plain `re` cuts it as the tokenizers' own patterns do.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153"
+UNUSUAL = re.compile(f"[^\t-\r\x20-\x7e{LETTERS}]")
+#: How the two tokenizers' files cut a text, with \\p{L} and \\p{N} written out for the fast path.
+CUTS = {
+    "Split": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+"),
+    "ByteLevel": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s0-9{LETTERS}]+|\\s+(?!\\S)|\\s+"),
+}
 
-    def __init__(self, path: str, limit: int = 400_000):
+
+class TextEncoder:
+    """Texts -> their ids as bytes, by a `tokenizers` file, keeping the ids of words met before.
+
+    A text of usual characters is cut into the tokenizer's own pre-tokens, so its ids are those of its pre-tokens end to
+    end; new ones are encoded together. Any other text is encoded whole. Beyond `limit` words the later half is forgotten
+    (frequent words come early), so a worker's memory doesn't grow with its input."""
+
+    kept: ClassVar[dict[str, TextEncoder]] = {}
+
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 0x10000 else np.uint32
-        self.limit = limit
-
-    def learn(self, words: set) -> None:
-        if len(self) > self.limit:
-            self.clear()
-        new = [w for w in words if w not in self]
+        self.vocab_size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype(np.uint16 if self.vocab_size <= 0x10000 else np.uint32)
+        self.limit, self.known = limit, {}
+        cuts = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
+        cuts = cuts["pretokenizers"][0] if cuts["type"] == "Sequence" else cuts
+        self.by_word = cuts["type"] == "Split"
+        self.cut = CUTS[cuts["type"]].findall
+        vocab = self.tokenizer.get_vocab()
+        self.edge = np.zeros(self.vocab_size, bool)  # ids that end a word, or that begin one after a space
+        self.edge[[i for w, i in vocab.items() if (w.endswith("</w>") if self.by_word else w.startswith("\u0120"))]] = True
+
+    @classmethod
+    def of(cls, path: str) -> TextEncoder:
+        """The one of this Python worker, which goes on with later tasks."""
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
+    def one_by_one(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) > self.limit:
+            self.known = dict(itertools.islice(self.known.items(), self.limit // 2))
+        together = words if self.by_word else [w for w in words if w[0] == " " and len(w) > 1]
+        for lo in range(0, len(together), 256):
+            some = together[lo : lo + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.by_word else "").join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) == len(some):
+                ends = (at + 1 if self.by_word else np.append(at[1:], len(ids))) * ids.itemsize
+                raw, begin = ids.tobytes(), 0
+                for w, end in zip(some, ends.tolist(), strict=True):
+                    self.known[w] = raw[begin:end]
+                    begin = end
+        rest = [w for w in words if w not in self.known]
+        self.known.update(zip(rest, self.one_by_one(rest), strict=True))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        odd = [i for i, t in enumerate(texts) if t and UNUSUAL.search(t)]
+        for i, ids in zip(odd, self.one_by_one([texts[i] for i in odd]), strict=True):
+            out[i] = ids
+        skip = set(odd)
+        usual = [i for i, t in enumerate(texts) if t and i not in skip]
+        words = [self.cut(texts[i].lower() if self.by_word else texts[i]) for i in usual]
+        found = [list(map(self.known.get, w)) for w in words]
+        new = {w for ws, f in zip(words, found, strict=True) if None in f for w, x in zip(ws, f, strict=True) if x is None}
         if new:
-            plain = [w.decode() for w in new] if isinstance(new[0], bytes) else new
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, self.dtype).tobytes()
+            self.learn(sorted(new))
+            get = self.known.get
+            found = [f if None not in f else [get(w) if x is None else x for w, x in zip(ws, f, strict=True)] for ws, f in zip(words, found, strict=True)]
+        for i, w, f in zip(usual, words, found, strict=True):
+            out[i] = b"".join(f) if None not in f else self.one_by_one([texts[i]])[0]  # some may just have been forgotten
+        return out
 
 
 def components(edges: DataFrame, src: str, dst: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, n_parts, running_start, saved
+from .common import TextEncoder, n_parts, running_start, saved
 
 END_ID, SIZE = 2, 4096
 BUCKETS, DIMS, BITS = 1024, 4, 10
@@ -75,16 +75,13 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, row, key, n, ids): ids are little-endian, as wide as the vocabulary needs, with the end id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer)
-        end = np.array([END_ID], cache.dtype).tobytes()
+        encoder = TextEncoder.of(tokenizer)
+        end = np.array([END_ID], encoder.dtype).tobytes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo in range(0, len(texts), 500):
-                # the tokenizer drops white space, so words part there without changing any id
-                words = [(t or "").encode().split() for t in texts[lo : lo + 500]]
-                cache.learn(set().union(*words))
-                raw = [b"".join(map(cache.__getitem__, w)) + end for w in words]
-                ids = np.frombuffer(b"".join(raw), cache.dtype)
+                raw = [ids + end for ids in encoder(texts[lo : lo + 500])]
+                ids = np.frombuffer(b"".join(raw), encoder.dtype)
                 n = np.array([len(r) for r in raw]) // ids.itemsize
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, 500), batch.column("row").slice(lo, 500), pa.array(curve_keys(ids, n)), pa.array(n.astype(np.int64)), pa.array(raw, pa.binary())],

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from marquee.llm import repair
+from marquee.llm.common import TextEncoder
 from marquee.llm.queries import tokenizer
 
 PATH = tokenizer("byte_bpe_50k.json")
@@ -33,12 +34,15 @@ def test_files_give_back_every_id(spark, texts):
     assert [tuple(r) for r in got] == want
 
 
-def test_text_is_cut_where_the_tokenizer_cuts():
-    tok = Tokenizer.from_file(PATH)
-    for t in TEXTS:
-        if t:
-            assert "".join(repair.spaced(t)) == t
-            assert sum((tok.encode(w, add_special_tokens=False).ids for w in repair.spaced(t)), []) == tok.encode(t, add_special_tokens=False).ids
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_remembered_words_give_the_tokenizers_ids(name):
+    tok = Tokenizer.from_file(tokenizer(name))
+    tok.encode_special_tokens = True
+    texts = [*filter(None, TEXTS), "I'd say we're 12x34 'tis ___ a-b c_d É é À la œuvre; !!! \x0b\x0c \r\n end", "a  b   c\n\n\nd ", "Straße ÿ — x ’s ½ ²", "'s 't 'S 'T x's"]
+    for limit in (10, 10**6):
+        encoder = TextEncoder(tokenizer(name), limit)
+        for _ in range(3):
+            assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=60, deadline=None)
