@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, repair
-from .common import table
+from . import chat, langid, packing, repair, warc
+from .common import saved, table
 
 
 def tokenizer(name: str) -> str:
@@ -24,5 +25,22 @@ def op2_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(repair.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files)}
+def op3_grammar_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added)
+    return chat.read_back(saved(chat.format_chat(turns), "chat"))
+
+
+def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.normalise(warc.write_monolithic(table(spark, sf_dir, "pages"))))
+
+
+def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, langid.fold() != 2)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (langid.fold() == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op5_warc_normaliser, op7_zstd_language)}
 ORACLE: dict[str, str] = {}
