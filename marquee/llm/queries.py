@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, neardup, packing, repair, warc
+from . import chat, langid, neardup, packing, repair, secrets, warc
 from .common import saved, table
 
 
@@ -42,9 +42,13 @@ def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (langid.fold() == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_hyperplane_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op5_warc_normaliser, op7_zstd_language, op9_hyperplane_neardup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op5_warc_normaliser, op7_zstd_language, op8_multipart_secrets, op9_hyperplane_neardup)}
 ORACLE: dict[str, str] = {}
