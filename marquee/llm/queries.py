@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, neardup, packing, repair, secrets, warc
+from . import chat, decontam, langid, neardup, packing, repair, secrets, warc
 from .common import saved, table
 
 
@@ -50,5 +50,10 @@ def op9_hyperplane_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op5_warc_normaliser, op7_zstd_language, op8_multipart_secrets, op9_hyperplane_neardup)}
+def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontam.digest(decontam.report(docs, items))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op5_warc_normaliser, op7_zstd_language, op8_multipart_secrets, op9_hyperplane_neardup, op10_positional_index)}
 ORACLE: dict[str, str] = {}
