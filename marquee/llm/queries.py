@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neardup, packing, repair, secrets, warc
+from . import chat, decontam, langid, neardup, packing, repair, secrets, sigtree, warc
 from .common import saved, table
 
 
@@ -36,6 +36,11 @@ def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.normalise(warc.write_monolithic(table(spark, sf_dir, "pages"))))
 
 
+def op6_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = sigtree.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return members.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs, langid.fold() != 2)
@@ -55,5 +60,5 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.report(docs, items))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op5_warc_normaliser, op7_zstd_language, op8_multipart_secrets, op9_hyperplane_neardup, op10_positional_index)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op5_warc_normaliser, op6_signature_tree_join, op7_zstd_language, op8_multipart_secrets, op9_hyperplane_neardup, op10_positional_index)}
 ORACLE: dict[str, str] = {}
