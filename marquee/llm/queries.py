@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neardup, packing, repair, secrets, sigtree, warc
+from . import chat, decontam, hmm, langid, neardup, packing, repair, secrets, sigtree, warc
 from .common import saved, table
 
 
@@ -32,6 +32,10 @@ def op3_grammar_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(saved(chat.format_chat(turns), "chat"))
 
 
+def op4_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), hmm.fold() == 1)
+
+
 def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.normalise(warc.write_monolithic(table(spark, sf_dir, "pages"))))
 
@@ -60,5 +64,5 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.report(docs, items))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op5_warc_normaliser, op6_signature_tree_join, op7_zstd_language, op8_multipart_secrets, op9_hyperplane_neardup, op10_positional_index)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op4_hidden_markov_lm, op5_warc_normaliser, op6_signature_tree_join, op7_zstd_language, op8_multipart_secrets, op9_hyperplane_neardup, op10_positional_index)}
 ORACLE: dict[str, str] = {}
