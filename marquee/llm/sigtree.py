@@ -3,8 +3,10 @@
 A document's set holds its distinct five-word shingles. Two documents link when their sets' Jaccard similarity is at least
 `percent` per cent; classes of equal sets are linked, so copies cost no pairs.
 
-1. Every set's rarest tokens (its prefix: more than it may lack of a partner) go to the posting lists of those tokens; linked sets
-   share one at least. Along each list, ordered by size, neighbours of fitting sizes are tied; the tied groups hold all links.
+1. Linked sets share a token of their prefixes: a set's first tokens, one more than it may lack of a partner, in an order that all sets
+   agree on. Tokens of a fixed `SAMPLED` share of the hash range come first, by how many sets hold them. Posting
+   lists of these count the sets; a set whose prefix no other set touches is out. Along what is left of each list, ordered by size,
+   neighbours of fitting sizes are tied; the tied groups hold all links.
 2. A group's sets, ordered by their least hashes, are cut into leaf blocks under trees of nodes. A node has the OR of its sets' token
    bitmaps and their size range. A dual traversal, level by level, keeps a pair of nodes only while the largest overlap they
    allow reaches what the larger of their least sizes needs.
@@ -35,8 +37,8 @@ WORDS, PERCENT = 5, 75
 #: A leaf block's most sets and tokens; sets a leaf inside a task; nodes under a node.
 BLOCK_SETS, BLOCK_TOKENS, LEAF, FAN = 256, 400_000, 8, 8
 BITS = 1 << 16
-#: Tokens that count as frequent when sets are ordered by rarity. Any order gives every link; this one keeps lists short.
-FREQUENT_TOKENS, FREQUENT_IN_CHUNK, CHUNK_TOKENS = 500_000, 4, 2_000_000
+#: Share of the hash range whose tokens are counted; sets of a token beyond which all counts are alike.
+SAMPLED, MANY = 0.4, 50_000
 #: Rows up to which a saved table is sent to all executors.
 BROADCAST_ROWS = 500_000
 
@@ -82,7 +84,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
         if k >= words:
             out.append(np.unique(grams[at : at + k - words + 1]))
         elif k:
-            out.append(mix(np.array([(h[at : at + k] * _ODD[:k]).sum() + np.uint64(k) * _ODD[62]], np.uint64)))
+            out.append(mix((h[at : at + k] * _ODD[:k]).sum(keepdims=True) + _ODD[62 - k : 63 - k]))
         else:
             out.append(np.zeros(0, np.uint64))
         at += k
@@ -111,71 +113,102 @@ def needed(n: int, percent: int) -> int:
 
 
 def classes(docs: DataFrame, words: int) -> DataFrame:
-    """Saved (doc_id, n, cls, frequent): a set's size and class for each document; the last row of a chunk also lists the
-    chunk's frequent tokens as (token, count)."""
+    """Saved (doc_id, n, cls): a set's size and class for each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def frequent() -> list[dict]:
-            nonlocal held
-            tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-            held, often = [], n >= FREQUENT_IN_CHUNK
-            return [{"token": t, "count": c} for t, c in zip(tokens[often].view(np.int64).tolist(), n[often].tolist(), strict=True)]
-
-        size = 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for s in batches_of(texts):
                 sets = shingle_sets(texts[s], words)
-                held += sets
-                size += sum(map(len, sets))
-                often: list = [None] * len(sets)
-                if size >= CHUNK_TOKENS:
-                    often[-1], size = frequent(), 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[s], pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64()), pa.array(often, FREQUENT)],
-                    ["doc_id", "n", "cls", "frequent"],
-                )
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([frequent()], FREQUENT)], ["doc_id", "n", "cls", "frequent"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[s], pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64())], ["doc_id", "n", "cls"])
 
-    return saved(docs.mapInArrow(rows, "doc_id long, n long, cls long, frequent array<struct<token:long,count:long>>"), "classes")
+    return saved(docs.mapInArrow(rows, "doc_id long, n long, cls long"), "classes")
 
 
-FREQUENT = pa.list_(pa.struct([("token", pa.int64()), ("count", pa.int64())]))
-
-
-def prefixes(docs: DataFrame, tokens: np.ndarray, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Postings (token, cls, n) of every set's prefix: tokens that aren't frequent by hash, then frequent ones by count."""
+def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(token, cls, n, sent): the tokens of every set in the sampled range, filled up beyond it to the length of the prefix;
+    sent is how many the set has here."""
+    limit = np.uint64(int(SAMPLED * (1 << 64)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for s in batches_of(texts):
-                out, cls, size = [], [], []
-                for h in shingle_sets(texts[s], words):
-                    if not len(h):
-                        continue
-                    p = len(h) - needed(len(h), percent) + 1
-                    at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
-                    often = tokens[at] == h if len(tokens) else np.zeros(len(h), bool)
-                    own = h[~often][:p]
-                    if len(own) < p:
-                        rest, n = h[often], counts[at[often]]
-                        own = np.concatenate([own, rest[np.argsort(n, kind="stable")][: p - len(own)]])
-                    out.append(own)
-                    cls.append(class_of(h))
-                    size.append(len(h))
-                if out:
-                    each = [len(x) for x in out]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(cls, np.int64), each)), pa.array(np.repeat(np.array(size, np.int32), each))], ["token", "cls", "n"])
-
-    return docs.select("text").mapInArrow(rows, "token long, cls long, n int")
-
-
-def ties(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of neighbours along each posting list whose sizes fit. Lists are streamed, not held."""
+                own = [(h, h[: max(int(np.searchsorted(h, limit)), len(h) - needed(len(h), percent) + 1)]) for h in shingle_sets(texts[s], words) if len(h)]
+                if own:
+                    each = [len(x) for _, x in own]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate([x for _, x in own]).view(np.int64)), pa.array(np.repeat(np.array([class_of(h) for h, _ in own], np.int64), each)),
+                            pa.array(np.repeat(np.array([len(h) for h, _ in own], np.int32), each)), pa.array(np.repeat(np.array(each, np.int32), each)),
+                        ],
+                        ["token", "cls", "n", "sent"],
+                    )
+
+    return docs.select("text").mapInArrow(rows, "token long, cls long, n int, sent int")
+
+
+def shared(lists: DataFrame) -> DataFrame:
+    """Of posting lists sorted by (token, cls), without repeated rows, those of at least two sets, with `sets`: how many, MANY at
+    most, and more for tokens outside the sampled range. A list is held up to MANY rows only."""
+    limit = int(SAMPLED * (1 << 64))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        long_token, last = None, None  # a token whose list was too long to hold; the last row seen
+
+        def out(cols: list[np.ndarray], sets: np.ndarray) -> pa.RecordBatch:
+            sets = np.where(cols[0].view(np.uint64) < np.uint64(limit), np.minimum(sets, MANY), MANY + 1)
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(sets.astype(np.int32))], ["token", "cls", "n", "sent", "sets"])
+
+        def whole(cols: list[np.ndarray]) -> pa.RecordBatch | None:
+            _, at, n = np.unique(cols[0], return_inverse=True, return_counts=True)
+            n = np.where(cols[0] == long_token, MANY, n[at]) if long_token is not None else n[at]
+            keep = n > 1
+            return out([c[keep] for c in cols], n[keep]) if keep.any() else None
+
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+            if last == (cols[0][0], cols[1][0]):
+                new[0] = False
+            last = (cols[0][-1], cols[1][-1])
+            cols = [np.concatenate([*([h] if held else []), c[new]]) for h, c in zip(held or cols, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if len(cols[0]) - cut > MANY or cols[0][-1] == long_token:
+                done, held = cols, []
+                if cut:
+                    before = whole([c[:cut] for c in cols])
+                    if before is not None:
+                        yield before
+                long_token = cols[0][-1]
+                yield out([c[cut:] for c in done], np.full(len(done[0]) - cut, MANY))
+                continue
+            held = [c[cut:] for c in cols]
+            before = whole([c[:cut] for c in cols])
+            if before is not None:
+                yield before
+        if held:
+            before = whole(held)
+            if before is not None:
+                yield before
+
+    return saved(lists.mapInArrow(rows, "token long, cls long, n int, sent int, sets int"), "shared")
+
+
+def prefixes(found: DataFrame, percent: int) -> DataFrame:
+    """(token, cls, n): a set's shared tokens that lie in its prefix. Tokens that it shares with none come before them."""
+    own = W.partitionBy("cls")
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("sent") - F.count("*").over(own))
+    ranked = found.withColumn("rank", F.row_number().over(own.orderBy("sets", "token"))).withColumn("room", room)
+    return ranked.filter("rank <= room").select("token", "cls", "n")
+
+
+def ties(prefix: DataFrame, percent: int) -> DataFrame:
+    """Saved distinct (a, b) of neighbours along each posting list whose sizes fit. Lists are streamed, not held."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[np.ndarray] | None = None
@@ -186,7 +219,7 @@ def ties(postings: DataFrame, percent: int) -> DataFrame:
             tied = (t[1:] == t[:-1]) & (c[1:] != c[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[1:], c[:-1])[tied]), pa.array(np.maximum(c[1:], c[:-1])[tied])], ["a", "b"])
 
-    lists = postings.repartition(n_parts(postings.sparkSession), "token").sortWithinPartitions("token", "n", "cls")
+    lists = prefix.repartition(n_parts(prefix.sparkSession), "token").sortWithinPartitions("token", "n", "cls")
     return saved(lists.mapInArrow(rows, "a long, b long").distinct(), "ties")
 
 
@@ -310,7 +343,7 @@ def links_among(sets: list[np.ndarray], cut: int, percent: int) -> list[tuple[in
 MEMBER = "array<struct<cls:long,tokens:binary>>"
 
 
-def leaf_blocks(sets: DataFrame) -> DataFrame:
+def leaf_blocks(sets: DataFrame, block_sets: int = BLOCK_SETS) -> DataFrame:
     """Saved blocks (grp, block, path, members, least, most, hidden, bits): runs of a group's sets in the order of their least hashes,
     cut at partition ends too, so that no group is one task's."""
     spark = sets.sparkSession
@@ -330,7 +363,7 @@ def leaf_blocks(sets: DataFrame) -> DataFrame:
 
         for batch in batches:
             for g, c, raw in zip(*(batch.column(x).to_pylist() for x in ("grp", "cls", "tokens")), strict=True):
-                if own and (g != grp or len(own) >= BLOCK_SETS or held >= BLOCK_TOKENS):
+                if own and (g != grp or len(own) >= block_sets or held >= BLOCK_TOKENS):
                     yield close()
                 if (g, c) == seen:  # a repeated row
                     continue
@@ -347,7 +380,7 @@ def leaf_blocks(sets: DataFrame) -> DataFrame:
 BLOCK = pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("members", pa.list_(pa.struct([("cls", pa.int64()), ("tokens", pa.binary())]))), ("least", pa.int64()), ("most", pa.int64()), ("hidden", pa.int64()), ("bits", pa.binary())])
 
 
-def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+def block_pairs(blocks: DataFrame, percent: int, fan: int = FAN) -> DataFrame:
     """Saved (x, y) of different blocks of a group that may hold a link: from the top of each group's tree, node pairs are
     expanded to their children and pruned, level by level."""
     nodes = [blocks.select("grp", F.col("block").alias("node"), "least", "most", "hidden", "bits")]
@@ -355,10 +388,10 @@ def block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     most = many.agg(F.max("count")).first()[0] or 0
     nodes[0] = saved(nodes[0].join(many.select("grp"), "grp", "left_semi"), "nodes")
     while most > 1:  # an upper node joins the blocks of a run; its name is the run's number at its level
-        up = nodes[-1].withColumn("up", F.dense_rank().over(W.partitionBy("grp").orderBy("node")) - 1).withColumn("up", F.floor(F.col("up") / FAN).cast("long"))
+        up = nodes[-1].withColumn("up", F.dense_rank().over(W.partitionBy("grp").orderBy("node")) - 1).withColumn("up", F.floor(F.col("up") / fan).cast("long"))
         nodes[-1] = saved(up, "nodes")
         nodes.append(saved(nodes[-1].groupBy("grp", F.col("up").alias("node")).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("hidden").alias("hidden"), F.collect_list("bits").alias("all")).mapInArrow(or_all, "grp long, node long, least long, most long, hidden long, bits binary"), "nodes"))
-        most = -(-most // FAN)
+        most = -(-most // fan)
     pairs = nodes[-1].select("grp", F.col("node").alias("x"), F.col("node").alias("y"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,20 +430,19 @@ def links(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return saved(inside.union(across).mapInArrow(rows, "a long, b long"), "set-links")
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has (doc_id, n_shingles, cls, component_id) for each document, links has pairs of classes
     that link and span the components of all links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
     found = classes(docs, words)
-    often = found.filter("frequent is not null").select(F.inline("frequent")).groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT_TOKENS).toPandas()
-    tokens, counts = often["token"].to_numpy(np.int64).view(np.uint64), often["count"].to_numpy(np.int64)
-    order = np.argsort(tokens)
-    groups = components(ties(prefixes(docs, tokens[order], counts[order], words, percent), percent), "a", "b")
+    lists = postings(docs, words, percent).repartition(n_parts(spark), "token").sortWithinPartitions("token", "cls")
+    groups = components(ties(prefixes(shared(lists), percent), percent), "a", "b")
     sets = tied_sets(docs, found, groups, words)
-    blocks = leaf_blocks(sets)
-    linked = links(blocks, block_pairs(blocks, percent), percent)
+    blocks = leaf_blocks(sets, block_sets)
+    linked = links(blocks, block_pairs(blocks, percent, fan), percent)
     label = components(linked, "a", "b")
-    rows = found.filter("n >= 0").select("doc_id", "n", "cls").join(label.withColumnRenamed("node", "cls"), "cls", "left")
+    rows = found.join(label.withColumnRenamed("node", "cls"), "cls", "left")
     rows = saved(rows.select("doc_id", "n", "cls", F.coalesce("component", "cls").alias("grp")), "members")
     least = saved(rows.filter("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).filter("size > 1").select("grp", "first"), "components")
     members = rows.join(least, "grp", "left").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("first", "doc_id").alias("component_id"))

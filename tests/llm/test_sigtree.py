@@ -33,9 +33,9 @@ def brute(rows):
     return sorted(((doc, len(s), first[g] if s else doc) for (doc, _), s, g in zip(rows, sets, group, strict=True)), key=str)
 
 
-def run(spark, rows):
+def run(spark, rows, **sizes):
     docs = spark.createDataFrame([(d, t, 1, "c") for d, t in rows], "doc_id long, text string, n int, cls string").repartition(3)
-    members, _ = sigtree.join(docs)
+    members, _ = sigtree.join(docs, **sizes)
     return sorted(map(tuple, members.select("doc_id", "n_shingles", "component_id").collect()), key=str)
 
 
@@ -47,11 +47,8 @@ def edited(rng, t, share):
     return " ".join(rng.choice("pqrs") * 3 if rng.random() < share else w for w in t.split(" "))
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_copies_edits_and_odd_texts(spark, monkeypatch, small):
-    if small:  # several blocks a group, several levels of nodes
-        monkeypatch.setattr(sigtree, "BLOCK_SETS", 4)
-        monkeypatch.setattr(sigtree, "FAN", 2)
+@pytest.mark.parametrize("sizes", [{}, {"block_sets": 4, "fan": 2}])  # the latter: several blocks a group, several levels
+def test_copies_edits_and_odd_texts(spark, sizes):
     rng = random.Random(5)
     bases = [text(rng, n) for n in (4, 30, 60, 60, 200, 900)]
     passage = text(rng, 50)
@@ -59,7 +56,7 @@ def test_copies_edits_and_odd_texts(spark, monkeypatch, small):
     texts += [edited(rng, bases[4], 0.02) for _ in range(60)] + [f"{text(rng, 60)} {passage} {text(rng, 60)}" for _ in range(30)]
     texts += [None, "", " \t\n", "One", "one", "a b c d e", "A b\u000bc d e", "a b c d", "x" * 200, "é É", "é é", *[bases[1]] * 5]
     rows = [*enumerate(texts), (3, texts[3]), (3, "other text altogether for id three"), (None, bases[1]), (None, "alone")]
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, **sizes) == brute(rows)
 
 
 def test_similarities_at_the_threshold(spark):
@@ -91,3 +88,10 @@ def test_bounds_hold():
         x, y = sigtree.tree(sets, 0, 4), sigtree.tree(sets, 4, 9)
         linked = any(100 * (k := len(np.intersect1d(a, b))) >= 75 * (len(a) + len(b) - k) for a in sets[:4] for b in sets[4:])
         assert sigtree.may_link(x, y, 75) or not linked
+
+
+def test_long_lists_are_not_held(spark, monkeypatch):
+    rows = [(t, c, 9, 9) for t in (3, 5, 8, 1 << 62) for c in range({3: 1, 5: 40, 8: 2, 1 << 62: 3}[t]) for _ in range(2)]
+    lists = spark.createDataFrame(rows, "token long, cls long, n int, sent int").coalesce(1).sortWithinPartitions("token", "cls")
+    got = sigtree.shared(lists).collect()
+    assert len(got) == 45 and {(r.token, r.sets) for r in got} == {(5, 40), (8, 2), (1 << 62, 3)}
