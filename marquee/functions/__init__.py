@@ -1 +1 @@
-
+"""Functions of the listing engine."""

@@ -1 +1 @@
-
+"""Operators of the listing engine."""

@@ -1 +1 @@
-
+"""Plans of the listing engine."""

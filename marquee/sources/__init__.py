@@ -1 +1 @@
-
+"""Sources of the listing engine."""

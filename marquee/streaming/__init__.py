@@ -1 +1 @@
-
+"""Streaming of the listing engine."""
