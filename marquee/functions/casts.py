@@ -31,7 +31,7 @@ def flag(c: Column) -> Column:
 def day(c: Column) -> Column:
     """A date written YYYY-MM-DD; other spellings and days that don't exist are null."""
     cell = F.trim(c.cast("string"))
-    return F.when(cell.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(cell, F.lit("yyyy-MM-dd")))
+    return F.when(cell.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(cell, "yyyy-MM-dd"))
 
 
 def day_list(c: Column) -> Column:

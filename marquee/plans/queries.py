@@ -112,12 +112,12 @@ SPAN_SQL = f"""CASE WHEN len(dates) > 0 THEN
   WHEN start_date <> end_date THEN {DOTS("start_date")} || {WDAY("start_date")} || '〜' || {SHORT("end_date", "start_date")}
   WHEN start_date IS NOT NULL AND end_date IS NULL THEN {DOTS("start_date")} || {WDAY("start_date")} || '〜' WHEN start_date IS NOT NULL THEN {DOTS("start_date")} || {WDAY("start_date")}
   WHEN end_date IS NOT NULL THEN '〜' || {DOTS("end_date")} || {WDAY("end_date")} END"""
-SPAN = schedule.span(F.col("start_date"), F.col("end_date"), F.col("dates"))
+SPAN = lambda: schedule.span(F.col("start_date"), F.col("end_date"), F.col("dates"))
 
 
 @query(f"SELECT row_no, {SPAN_SQL} AS span FROM listing")
 def span_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing(spark, sf_dir).select("row_no", SPAN.alias("span"))
+    return listing(spark, sf_dir).select("row_no", SPAN().alias("span"))
 
 
 @query(
@@ -126,7 +126,7 @@ def span_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def display_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = schedule.times(F.col("onsale_time"), F.col("onsale_time"), F.lit(None).cast("string"), F.col("tab"))
-    return listing(spark, sf_dir).select("row_no", schedule.display_date(F.lit(None).cast("string"), SPAN, times, F.col("limited_sale")).alias("shown"))
+    return listing(spark, sf_dir).select("row_no", schedule.display_date(F.lit(None).cast("string"), SPAN(), times, F.col("limited_sale")).alias("shown"))
 
 
 @query(
