@@ -173,18 +173,20 @@ def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Connected components of an undirected graph of long ids: (node, component), component being the
     smallest node reachable. Nodes without an edge have no row; rows with a null end are dropped.
 
-    Each round every node takes the least label around it and then that node's own label (pointer jumping);
-    both steps are joins and grouped minima, which combine before the shuffle, so that a node with very many
-    neighbours is no group held by one task. Each round's labels are a saved table."""
+    Each round hooks every node to the least of itself and its neighbours, follows these pointers two steps further, and contracts
+    the graph to what they point at; edges inside a contracted node fall away, so the graph shrinks fast and every edge is
+    joined a few times only. Grouped minima combine before the shuffle: a node with very many neighbours is no group of one
+    task. Each round's tables are saved."""
     spark = edges.sparkSession
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null and a <> b")
-    both = saved(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
-        step = saved(low.join(up, "low").select("node", F.least("low", "up").alias("label"), (F.least("low", "up") < F.col("label")).alias("moved")), "labels")
-        labels = step.select("node", "label")
-        if step.filter("moved").isEmpty():
-            return spark.createDataFrame([], "node long, label long").union(labels).toDF("node", "component")
+    ends = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    graph = saved(ends.filter("a < b").distinct(), "edges")
+    labels = None
+    while not graph.isEmpty():
+        near = graph.union(graph.select(F.col("b"), F.col("a"))).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        hook = saved(near.select("node", F.least("node", "near").alias("to")), "hooks")
+        one, two = hook.toDF("to", "to1"), hook.toDF("to1", "to2")
+        far = saved(hook.join(one, "to").join(two, "to1").select("node", F.col("to2").alias("to")), "hooks")
+        labels = far.toDF("node", "label") if labels is None else saved(labels.join(far.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        x, y = far.toDF("a", "x"), far.toDF("b", "y")
+        graph = saved(graph.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), "edges")
+    return spark.createDataFrame([], "node long, component long") if labels is None else labels.toDF("node", "component")
