@@ -77,3 +77,32 @@ def series_highlights(rows: DataFrame, now: datetime) -> DataFrame:
 
 
 __all__ = ["default_order", "first_per_name", "place_points", "place_upcoming", "series_highlights", "series_siblings", "theatre_enrich", "venue_enrich"]
+
+
+def chain_branches(theatres: DataFrame, chains: DataFrame) -> DataFrame:
+    """Theatres (chain, ...) of known chains (chain)."""
+    return theatres.join(chains.select("chain").distinct(), "chain", "left_semi")
+
+
+def place_cards(rows: DataFrame, venues: DataFrame, branches: DataFrame) -> DataFrame:
+    """(place, kind, capacity, branches, resolvable): facts of every place that a row names, from the venue master (venue, kind,
+    capacity, vlat), else from its chain (chain: a branch a row); resolvable if either knows it or a row at it has coordinates."""
+    named = rows.select(F.explode("venues").alias("place"), F.col("lat").isNotNull().alias("located")).groupBy("place").agg(F.max("located").alias("located"))
+    own = branches.groupBy(F.col("chain").alias("place")).agg(F.count("*").alias("branches"))
+    known = named.join(venues.withColumnRenamed("venue", "place"), "place", "left").join(own, "place", "left")
+    return known.select(
+        "place", F.coalesce("kind", F.when(F.col("branches").isNotNull(), "chain")).alias("kind"), "capacity", F.coalesce("branches", F.lit(0)).alias("branches"),
+        (F.col("vlat").isNotNull() | F.col("branches").isNotNull() | F.col("located")).alias("resolvable"),
+    )
+
+
+def favoured(rows: DataFrame, favourites: DataFrame, key: str = "uid") -> DataFrame:
+    """Rows that are someone's favourite, (user_id, uid)."""
+    return rows.join(favourites.select(F.col("uid").alias(key)), key, "left_semi")
+
+
+def toggled(favourites: DataFrame, log: DataFrame) -> DataFrame:
+    """Favourites (user_id, uid) after a log of toggles (user_id, uid): an odd number of them changes the state."""
+    odd = log.groupBy("user_id", "uid").agg((F.count("*") % 2 == 1).alias("odd")).filter("odd").select("user_id", "uid")
+    both = favourites.distinct().select("user_id", "uid", F.lit(1).alias("n")).union(odd.select("user_id", "uid", F.lit(1)))
+    return both.groupBy("user_id", "uid").agg(F.sum("n").alias("n")).filter("n = 1").select("user_id", "uid")

@@ -150,3 +150,9 @@ def append_ids(existing: DataFrame, batch: DataFrame, order: str) -> DataFrame:
     own = Window.partitionBy("_part").orderBy(order)
     start = F.create_map(*base)[F.col("_part")] if base else F.lit(last)
     return parts.withColumn("new_id", (start + F.row_number().over(own)).cast("long")).drop("_part")
+
+
+def previous_rows(prev: DataFrame, uids: DataFrame, names: DataFrame) -> DataFrame:
+    """(uid, row) of a snapshot's rows that are asked for by uid or by place, as JSON without blank columns."""
+    asked = prev.join(uids.select("uid"), "uid", "left_semi").union(prev.join(names.select("place"), "place", "left_semi").select(prev.columns)).dropDuplicates(["uid"])
+    return asked.select("uid", F.to_json(F.struct(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in prev.columns])).alias("row"))

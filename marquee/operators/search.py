@@ -84,3 +84,20 @@ def saved_search_matches(rows: DataFrame, searches: DataFrame) -> DataFrame:
         (F.col("from").isNull() | F.col("to").isNull() | dates) & (F.col("q").isNull() | F.col("folded").contains(F.col("q"))) & (F.col("s.pref").isNull() | (F.col("s.pref") == F.col("r.pref")))
     )
     return met.select("search_id", "row_no").distinct()
+
+
+def venue_picker(counts: DataFrame, most: int = 60, part: str = "") -> DataFrame:
+    """(venue, n, place) of the most frequent venues, by name where counts are equal; a top-k."""
+    some = counts.filter(F.lower("venue").contains(part.lower())) if part else counts
+    order = [F.desc("n"), F.col("venue").asc()]
+    return some.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def first_of(values: Column, most: int) -> tuple[Column, Column]:
+    """(the first ones in one text, how many are left)."""
+    return F.array_join(F.slice(values, 1, most), "・"), F.greatest(F.size(values) - most, F.lit(0))
+
+
+def deals(official: Column, best: Column, coupon: Column) -> Column:
+    """A discount or a coupon is known."""
+    return F.coalesce(official > best, F.lit(False)) | coupon.isNotNull()

@@ -12,6 +12,7 @@ from marquee.functions import geo, sale, schedule, text
 from marquee.operators import places, quality, reconcile, roster, search
 from marquee.plans.spec import FilterSpec, Search, default_facets, default_flags, in_range
 from marquee.sources.adapter import LISTING_SQL, NOW, TODAY, listing, read
+from marquee.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -632,3 +633,66 @@ def calendar_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.sources.export import calendar_entries
 
     return calendar_entries(listing(spark, sf_dir).select(F.col("row_no").alias("uid"), "title", "start_date", "end_date")).select(F.col("uid").alias("row_no"), "entry")
+
+
+# --- more of places, lists and streams ---
+
+
+@query(", v AS (SELECT venue, count(*) AS n FROM (SELECT unnest(venues) AS venue FROM listing) GROUP BY venue) SELECT venue, n, CAST(row_number() OVER (ORDER BY n DESC, venue) AS BIGINT) AS place FROM v QUALIFY place <= 60")
+def venue_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.venue_counts(searchable(spark, sf_dir), spec_search(FilterSpec()))
+    return search.venue_picker(found).select("venue", "n", F.col("place").cast("long").alias("place"))
+
+
+@query("SELECT row_no, array_to_string(venues[1:4], '・') AS shown, greatest(len(venues) - 4, 0) AS more, coalesce(price_official > price_best, false) OR limited_sale IS NOT NULL AS deal FROM listing")
+def lineup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown, more = search.first_of(F.col("venues"), 4)
+    return listing(spark, sf_dir).select("row_no", shown.alias("shown"), more.cast("long").alias("more"), search.deals(F.col("price_official"), F.col("price_best"), F.col("limited_sale")).alias("deal"))
+
+
+@query("SELECT tab, count(*) AS n, CAST(max(announced_date) AS VARCHAR) AS as_of FROM listing GROUP BY tab")
+def directory_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing(spark, sf_dir).groupBy("tab").agg(F.count("*").alias("n"), F.max("announced_date").cast("string").alias("as_of"))
+
+
+@query("SELECT row_no, tab FROM listing WHERE row_no IN (SELECT event_id * 3 FROM events WHERE event_type = 'click')")
+def favourite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    favourites = read(spark, sf_dir, "events").filter("event_type = 'click'").select("user_id", (F.col("event_id") * 3).alias("uid"))
+    return places.favoured(listing(spark, sf_dir), favourites, "row_no").select("row_no", "tab")
+
+
+@query("WITH t AS (SELECT user_id, event_id % 500 AS uid, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, uid FROM t WHERE n % 2 = 1", base="")
+def favourite_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 500).alias("uid"))
+    return places.toggled(log.limit(0), log)
+
+
+@query(
+    """, named AS (SELECT place, bool_or(located) AS located FROM (SELECT unnest(venues) AS place, lat IS NOT NULL AS located FROM listing) GROUP BY place),
+    b AS (SELECT s_name AS place, count(*) AS branches FROM supplier WHERE s_suppkey % 4 = 1 GROUP BY s_name), m AS (SELECT s_name AS place, 'hall' AS kind, s_suppkey * 10 AS capacity FROM supplier WHERE s_suppkey % 3 = 0)
+    SELECT place, coalesce(kind, CASE WHEN branches IS NOT NULL THEN 'chain' END) AS kind, capacity, coalesce(branches, 0) AS branches, kind IS NOT NULL OR branches IS NOT NULL OR located AS resolvable FROM named LEFT JOIN m USING (place) LEFT JOIN b USING (place)"""
+)
+def place_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, k = read(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    masters = own.filter(k % 3 == 0).select(F.col("s_name").alias("venue"), F.lit("hall").alias("kind"), (k * 10).alias("capacity"), F.lit(35.0).alias("vlat"))
+    return places.place_cards(listing(spark, sf_dir), masters, own.filter(k % 4 == 1).select(F.col("s_name").alias("chain")))
+
+
+@query(ROSTER_SQL + ", a AS (SELECT name FROM (SELECT *, DATE '1998-06-15' - coalesce(last_hit, first_seen) AS idle FROM r) WHERE (status = 'candidate' AND idle > 60) OR (coalesce(status, 'active') = 'active' AND idle > 180)) SELECT name, (SELECT count(*) FROM a) AS total FROM a ORDER BY name LIMIT 20", base="")
+def aged_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aged = roster.age(supplier_roster(spark, sf_dir), TODAY).filter("aged is not null").select("name")
+    return aged.orderBy("name").limit(20).withColumn("total", F.lit(aged.count()))
+
+
+@query("SELECT k AS uid, 1 + CAST(k % 7 <> 0 AS INTEGER) AS n FROM (SELECT row_no AS k, area FROM listing) WHERE k % 9 = 0 OR area = 'NATION_3'")
+def previous_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("row_no")
+    prev = listing(spark, sf_dir).select(k.alias("uid"), F.col("area").alias("place"), F.when(k % 7 != 0, "x").otherwise("").alias("note"))
+    found = reconcile.previous_rows(prev, prev.filter("uid % 9 = 0"), spark.createDataFrame([("NATION_3",)], "place string"))
+    return found.select("uid", (F.lit(1) + F.get_json_object("row", "$.note").isNotNull().cast("int")).alias("n"))
+
+
+@query("SELECT l_suppkey AS place, count(*) AS n, CAST(CAST(max(l_shipdate) AS DATE) AS VARCHAR) AS last_day FROM lineitem GROUP BY l_suppkey", base="")
+def streamed_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem")
+    return jobs.counted_stream(spark, f"{sf_dir}/lineitem.parque[t]", lines.schema, F.col("l_suppkey"), F.col("l_shipdate")).select("place", "n", F.col("last_day").cast("string").alias("last_day"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -45,3 +47,15 @@ def roster_hits(spark: SparkSession, source: str, checkpoint: str, sink: Callabl
 def rollover(rows: DataFrame, view: Callable[[DataFrame], DataFrame], out: str, day: str) -> None:
     """Write the view of a new day: nothing that depends on the day is stored with the rows."""
     view(rows).write.mode("overwrite").parquet(f"{out}/day={day}")
+
+
+def counted_stream(spark: SparkSession, source: str, schema: T.StructType, place: Column, seen_at: Column) -> DataFrame:
+    """Run all files of `source` through a streaming count by place and give its last state, (place, n, last_day)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = f"{root.rstrip('/')}/hits-{uuid.uuid4().hex[:12]}"
+    rows = spark.readStream.schema(schema).parquet(source).select(place.alias("place"), F.to_date(seen_at).alias("day"))
+    state = rows.groupBy("place").agg(F.count("*").alias("n"), F.max("day").alias("last_day"))
+    keep = lambda df, number: df.write.mode("overwrite").parquet(f"{folder}/state/v={number}")
+    state.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.parquet(f"{folder}/state")
+    return every.filter(F.col("v") == F.lit(every.agg(F.max("v")).first()[0])).drop("v")
