@@ -16,8 +16,9 @@ from marquee.llm.queries import tokenizer
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Predict each text's language by compression and drop what is rejected; lang becomes the predicted one."""
     model = langid.fit(docs, langid.fold() != 2)
-    told = langid.predict(docs, model).filter("not rejected")
-    return told.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    told = langid.predict(docs.select(row, "text"), model).filter("not rejected")
+    return told.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten words in a row of a benchmark item, or a whole shorter item."""
     found = decontam.report(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    hit = saved(found.filter("contaminated").select("k1", "k2").distinct(), "contaminated")
-    keyed = docs.withColumns(dict(zip(("k1", "k2"), decontam.key(docs), strict=True)))
-    return keyed.join(hit, ["k1", "k2"], "left_anti").select(*docs.columns)
+    hit = saved(found.filter("contaminated").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "contaminated")
+    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), decontam.key(docs), strict=True)))
+    return keyed.join(hit, ["_k1", "_k2"], "left_anti").select(*docs.columns)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
