@@ -92,13 +92,12 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     return rows.mapInArrow(encode, "doc_id long, row long, key long, n long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, width: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """Sequences (sequence_id, ids binary of little-endian uint32, pieces of (doc_id, start, length, doc_tokens, offset)).
 
-    `width` is the bytes of an id in the saved token table (4 for vocabularies above 65,536). The ids are shuffled once:
-    the order and the cuts come from a table of (key, row, n) alone, of which the driver gets one row for each partition."""
+    The ids are shuffled once: the order and the cuts come from a table of (key, row, n) alone, of which the driver gets one row for each partition."""
     spark = docs.sparkSession
-    parts = n_parts(spark)
+    parts, width = n_parts(spark), TextEncoder.of(tokenizer).dtype.itemsize
     tokens = saved(tokenised(docs, tokenizer), "pack-tokens", compression="zstd")
     line = saved(tokens.select("key", "row", "n").repartitionByRange(parts, "key", "row").withColumn("pid", F.spark_partition_id()), "pack-line")
     total = line.agg(F.sum("n")).first()[0] or 0

@@ -109,7 +109,7 @@ def report(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, scope: int = SCOPE, mask: str = MASK) -> DataFrame:
     """`docs` with every span of its text replaced by `mask` (overlapping ones by one) and n_chars, if there, counted anew."""
-    marked = saved(scan(docs, scope).filter(F.size("spans") > 0).select("k1", "k2", "spans").dropDuplicates(["k1", "k2"]), "secret-spans")
+    marked = saved(scan(docs, scope).filter(F.size("spans") > 0).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans")).dropDuplicates(["_k1", "_k2"]), "secret-spans")
     columns = docs.columns
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -118,9 +118,9 @@ def redact(docs: DataFrame, scope: int = SCOPE, mask: str = MASK) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    joined = docs.withColumns(dict(zip(("k1", "k2"), key(docs), strict=True))).join(marked, ["k1", "k2"], "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate(F.col("spans"), begin, step, rest))
-    out = joined.withColumn("text", text)
+    joined = docs.withColumns(dict(zip(("_k1", "_k2"), key(docs), strict=True))).join(marked, ["_k1", "_k2"], "left")
+    clean = F.col("_spans").isNull()
+    out = joined.withColumn("text", F.when(clean, F.col("text")).otherwise(F.aggregate(F.col("_spans"), begin, step, rest)))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*columns)

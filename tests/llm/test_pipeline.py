@@ -79,3 +79,11 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = saved(stage(spark, docs, SF), "empty")
         assert docs.count() == 0
+
+
+def test_other_columns_are_kept(spark):
+    clash = ["k1", "k2", "spans", "score", "rejected", "lang_pred", "row", "cls", "grp", "n"]
+    docs = table(spark, SF, "documents").limit(40).selectExpr("*", *[f"doc_id + {i} AS {c}" for i, c in enumerate(clash)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = saved(stage(spark, docs, SF), "clash")
+        assert docs.columns[5:] == clash and all(r[c] == r.doc_id + i for r in docs.collect() for i, c in enumerate(clash)), name
