@@ -115,8 +115,17 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary, and the counts of the tokens with classes of their own, by class. The driver gets COMMON rows at most."""
-    top = counts.orderBy(F.desc("c"), "id").limit(COMMON).toPandas()
+    """The vocabulary, and the counts of the tokens with classes of their own, by class. The driver gets COMMON rows at most:
+    a histogram of the counts' logarithms tells from which count on tokens are common."""
+    size = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
+    sizes = counts.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect()
+    least, room = 1 << 30, COMMON
+    for r in sizes:
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["size"]
+    top = counts.filter(size >= least).toPandas().sort_values(["c", "id"], ascending=[False, True])
     ids, c = top["id"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     own = np.full(len(ids), -1)
     first = np.flatnonzero(ids != END)[: OWN - 1]
