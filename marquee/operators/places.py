@@ -46,13 +46,12 @@ def place_points(rows: DataFrame, branches: DataFrame, venues: DataFrame, theatr
 
 def place_upcoming(rows: DataFrame, today: date, most: int = 8) -> DataFrame:
     """(place, place_no, row_no, more): the first rows at each place in default order, and how many there are beyond."""
-    keys = {f"o{i}": c for i, c in enumerate([x for x in _plain_order(today)])}
+    keys = {f"o{i}": c for i, c in enumerate(_plain_order(today))}
     at = rows.select("row_no", F.explode(F.array_distinct("venues")).alias("place"), *[c.alias(k) for k, c in keys.items()])
-    own = Window.partitionBy("place")
-    return (
-        at.withColumn("place_no", F.row_number().over(own.orderBy(*keys, "row_no"))).withColumn("n", F.count("*").over(own)).filter(F.col("place_no") <= most)
-        .select("place", "place_no", "row_no", F.greatest(F.col("n") - most, F.lit(0)).alias("more"))
-    )
+    # a rank filter alone is cut down before the shuffle; the counts combine before theirs
+    first = at.withColumn("place_no", F.row_number().over(Window.partitionBy("place").orderBy(*keys, "row_no"))).filter(F.col("place_no") <= most)
+    counts = at.groupBy("place").agg(F.count("*").alias("n"))
+    return first.join(counts, "place").select("place", "place_no", "row_no", F.greatest(F.col("n") - most, F.lit(0)).alias("more"))
 
 
 def _plain_order(today: date):
@@ -69,11 +68,11 @@ def series_siblings(rows: DataFrame, now: datetime) -> DataFrame:
 
 
 def series_highlights(rows: DataFrame, now: datetime) -> DataFrame:
-    """(row_no, others, others_limited, others_before) of a row's series without the row: window counts, no self-join."""
-    own = Window.partitionBy("series_id")
-    limited, before = F.col("limited_sale").isNotNull().cast("int"), (sale.state(now) == "before").cast("int")
-    some = rows.filter("series_id is not null")
-    return some.select("row_no", (F.count("*").over(own) - 1).alias("others"), (F.sum(limited).over(own) - limited).alias("others_limited"), (F.sum(before).over(own) - before).alias("others_before"))
+    """(row_no, others, others_limited, others_before) of a row's series without the row: counts by series, joined back; no
+    self-join and no window, so that a very large series is split like any skewed join key."""
+    some = rows.filter("series_id is not null").select("row_no", "series_id", F.col("limited_sale").isNotNull().cast("int").alias("l"), (sale.state(now) == "before").cast("int").alias("b"))
+    totals = some.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("l").alias("ls"), F.sum("b").alias("bs"))
+    return some.join(totals, "series_id").select("row_no", (F.col("n") - 1).alias("others"), (F.col("ls") - F.col("l")).alias("others_limited"), (F.col("bs") - F.col("b")).alias("others_before"))
 
 
 __all__ = ["default_order", "first_per_name", "place_points", "place_upcoming", "series_highlights", "series_siblings", "theatre_enrich", "venue_enrich"]

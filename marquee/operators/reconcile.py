@@ -69,7 +69,10 @@ def rename_candidates(gone_rows: DataFrame, added_rows: DataFrame) -> DataFrame:
     day) with normalised titles; blank parts of the older row's key are left out, at least two must be shared."""
     g = gone_rows.select(F.col("uid").alias("a"), "title", "place", "day")
     n = added_rows.select(F.col("uid").alias("b"), "title", "place", "day")
-    similar = title_pairs(g.filter("title <> ''").select("a", "title"), n.filter("title <> ''").select("b", "title"), LEAST)
+    # titles are compared once each, however many rows have them
+    once = lambda df, name: df.filter("title <> ''").select(F.col("title").alias(name), "title").distinct()
+    alike = title_pairs(once(g, "a"), once(n, "b"), LEAST).toDF("ta", "tb", "score")
+    similar = alike.join(g.select("a", F.col("title").alias("ta")), "ta").join(n.select("b", F.col("title").alias("tb")), "tb").select("a", "b", "score")
     placed = g.filter("place <> '' and day is not null").withColumnRenamed("title", "ta").join(n.withColumnRenamed("title", "tb"), ["place", "day"])
     same = placed.select("a", "b", text.multiset_similarity(F.col("ta"), F.col("tb")).alias("score")).filter(F.col("score") >= LEAST_SAME_PLACE)
     return similar.union(same).distinct().select(F.col("a").alias("prev_uid"), F.col("b").alias("uid"), "score")
