@@ -42,8 +42,9 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the texts into sequences along the Hilbert curve: a row for each piece."""
-    return packing.pieces(packing.pack(docs, tokenizer("word_bpe_49k.json")))
+    """Pack the texts into sequences along the Hilbert curve: a row for each piece. Fewer words are remembered than by the operator's own
+    query, as a worker may still hold memory of the stages before."""
+    return packing.pieces(packing.pack(docs, tokenizer("word_bpe_49k.json"), words_kept=150_000))
 
 
 STAGES = [
