@@ -124,10 +124,11 @@ class TextEncoder:
         self.edge[[i for w, i in vocab.items() if (w.endswith("</w>") if self.by_word else w.startswith("\u0120"))]] = True
 
     @classmethod
-    def of(cls, path: str) -> TextEncoder:
+    def of(cls, path: str, limit: int = 700_000) -> TextEncoder:
         """The one of this Python worker, which goes on with later tasks."""
         if path not in cls.kept:
             cls.kept[path] = cls(path)
+        cls.kept[path].limit = limit
         return cls.kept[path]
 
     def one_by_one(self, texts: list[str]) -> list[bytes]:
