@@ -100,5 +100,5 @@ def predict(docs: DataFrame, model: LanguageModel, min_margin: float = MIN_MARGI
 
 
 def fold(doc_id: str = "doc_id", folds: int = 4) -> Column:
-    """crc32 of a document's id as text, modulo `folds`."""
-    return F.crc32(F.col(doc_id).cast("string")) % folds
+    """crc32 of a document's id as text, modulo `folds`; 0 for a null id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds, F.lit(0))
