@@ -383,14 +383,17 @@ BLOCK = pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("members", pa.li
 def block_pairs(blocks: DataFrame, percent: int, fan: int = FAN) -> DataFrame:
     """Saved (x, y) of different blocks of a group that may hold a link: from the top of each group's tree, node pairs are
     expanded to their children and pruned, level by level."""
-    nodes = [blocks.select("grp", F.col("block").alias("node"), "least", "most", "hidden", "bits")]
-    many = nodes[0].groupBy("grp").count().filter("count > 1")
+    many = blocks.groupBy("grp").count().filter("count > 1")
     most = many.agg(F.max("count")).first()[0] or 0
-    nodes[0] = saved(nodes[0].join(many.select("grp"), "grp", "left_semi"), "nodes")
-    while most > 1:  # an upper node joins the blocks of a run; its name is the run's number at its level
-        up = nodes[-1].withColumn("up", F.dense_rank().over(W.partitionBy("grp").orderBy("node")) - 1).withColumn("up", F.floor(F.col("up") / fan).cast("long"))
-        nodes[-1] = saved(up, "nodes")
-        nodes.append(saved(nodes[-1].groupBy("grp", F.col("up").alias("node")).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("hidden").alias("hidden"), F.collect_list("bits").alias("all")).mapInArrow(or_all, "grp long, node long, least long, most long, hidden long, bits binary"), "nodes"))
+    if not most:
+        return blocks.select(F.col("block").alias("x"), F.col("block").alias("y")).limit(0)
+    # leaves are numbered in their group on the keys alone; a node's parent has its number over `fan`
+    place = F.row_number().over(W.partitionBy("grp").orderBy("block")) - 1
+    leaves = saved(blocks.select("grp", "block").join(many.select("grp"), "grp", "left_semi").withColumn("node", place.cast("long")), "leaves")
+    nodes = [saved(leaves.join(blocks.select("block", "least", "most", "hidden", "bits"), "block").drop("block").withColumn("up", F.floor(F.col("node") / fan)), "nodes")]
+    while most > 1:
+        up = nodes[-1].groupBy("grp", F.col("up").alias("node")).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("hidden").alias("hidden"), F.collect_list("bits").alias("all"))
+        nodes.append(saved(up.mapInArrow(or_all, "grp long, node long, least long, most long, hidden long, bits binary").withColumn("up", F.floor(F.col("node") / fan)), "nodes"))
         most = -(-most // fan)
     pairs = nodes[-1].select("grp", F.col("node").alias("x"), F.col("node").alias("y"))
 
@@ -404,7 +407,8 @@ def block_pairs(blocks: DataFrame, percent: int, fan: int = FAN) -> DataFrame:
         side = lambda s: level.select("grp", F.col("up").alias(s), F.col("node").alias(f"node_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("bits", "least", "most", "hidden")])  # noqa: B023, E731
         both = pairs.join(side("x"), ["grp", "x"]).join(side("y"), ["grp", "y"]).filter("node_x <= node_y").drop("x", "y").withColumnsRenamed({"node_x": "x", "node_y": "y"})
         pairs = saved(both.mapInArrow(keep, "grp long, x long, y long"), "node-pairs")
-    return pairs.filter("x < y").select("x", "y")
+    block = lambda n: leaves.select("grp", F.col("node").alias(n), F.col("block").alias(f"{n}_block"))
+    return saved(pairs.filter("x < y").join(block("x"), ["grp", "x"]).join(block("y"), ["grp", "y"]).select(F.col("x_block").alias("x"), F.col("y_block").alias("y")), "block-pairs")
 
 
 def or_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
