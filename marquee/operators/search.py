@@ -59,6 +59,19 @@ def numbered(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
     return rows.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
+def placed(rows: DataFrame, order: list[Column], save) -> DataFrame:
+    """All rows with their place in order. They are numbered within range partitions, of which the driver gets the sizes alone, so that no
+    task numbers all rows. `order` should end in a unique column; `save` writes a table and reads it again."""
+    parts = save(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    base, at = [], 0
+    for r in parts.groupBy("_part").count().orderBy("_part").collect():
+        base.append((r["_part"], at))
+        at += r["count"]
+    bases = F.broadcast(rows.sparkSession.createDataFrame(base or [(0, 0)], "_part int, _base long"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_own", own).join(bases, "_part").withColumn("place", F.col("_base") + F.col("_own")).drop("_part", "_own", "_base")
+
+
 def present_keys(rows: DataFrame, values: Column, declared: list[str]) -> DataFrame:
     """(value, place): values that occur, in declared order, others after them by first sight."""
     seen = rows.select(F.explode(values).alias("value"), "row_no").groupBy("value").agg(F.min("row_no").alias("first"))

@@ -263,6 +263,40 @@ def sort_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.numbered(rows, [F.col("km").asc_nulls_last(), F.col("row_no").asc()], TOP).select("row_no", F.col("place").cast("long").alias("place"))
 
 
+# the three above number the first TOP rows alone, as their SQL does; the next three number every row
+
+PLACED = lambda order: f" SELECT row_no, CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS place FROM ordered"
+
+
+def saver(spark: SparkSession):
+    """Writes a table and reads it again."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return lambda df: df.checkpoint()
+
+
+def all_placed(rows: DataFrame, order) -> DataFrame:
+    return search.placed(rows, order, saver(rows.sparkSession)).select("row_no", "place")
+
+
+@query(ORDERED_SQL + PLACED("ended, eff, rank, id, row_no"))
+def sort_default_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_placed(listing(spark, sf_dir), search.order_of(FilterSpec(), TODAY))
+
+
+@query(ORDERED_SQL + PLACED("announced_date DESC NULLS LAST, ended, eff, rank, id, row_no"))
+def sort_announced_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_placed(listing(spark, sf_dir), search.order_of(FilterSpec(sort="announced"), TODAY))
+
+
+@query(f", o AS (SELECT row_no, {HAV_SQL(*HERE).replace(' FROM (', ' AS km FROM (', 1)} FROM listing)) SELECT row_no, CAST(row_number() OVER (ORDER BY round(km, 9) NULLS LAST, row_no) AS BIGINT) AS place FROM o")
+def sort_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    km = F.round(geo.haversine(F.lit(HERE[0]), F.lit(HERE[1]), F.col("lat"), F.col("lng")), 9)
+    return all_placed(listing(spark, sf_dir).select("row_no", km.alias("km")), [F.col("km").asc_nulls_last(), F.col("row_no").asc()])
+
+
 @query(", v AS (SELECT unnest(cats) AS value, row_no FROM listing) SELECT value, CASE value WHEN 'PROMO' THEN 0 WHEN 'ECONOMY' THEN 1 ELSE 2 END AS declared, min(row_no) AS first FROM v GROUP BY value")
 def present_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.present_keys(listing(spark, sf_dir), F.col("cats"), ["PROMO", "ECONOMY"])
@@ -441,12 +475,7 @@ def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def rename_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return reconcile.assign(renamed(spark, sf_dir), lambda df: df.checkpoint())
+    return reconcile.assign(renamed(spark, sf_dir), saver(spark))
 
 
 @query(", p AS (SELECT area AS place, CASE WHEN row_no % 20 <> 3 THEN 0 ELSE 1 END AS source, row_no, onsale_label, limited_sale FROM listing) SELECT place, arg_min(onsale_label, (source, row_no)) FILTER (onsale_label IS NOT NULL) AS onsale_label, arg_min(limited_sale, (source, row_no)) FILTER (limited_sale IS NOT NULL) AS limited_sale FROM p WHERE place IS NOT NULL GROUP BY place")

@@ -59,6 +59,14 @@ def test_orders(spark):
     assert got == [r.row_no for r in sorted(by_km, key=lambda r: (r.km is None, r.km or 0, r.row_no))][:50]
 
 
+def test_every_row_has_a_place(spark):
+    rows = spark.createDataFrame([(i, i * 37 % 11 if i % 5 else None) for i in range(1000)], "row_no long, v long").repartition(7)
+    got = search.placed(rows, [F.desc_nulls_last("v"), F.col("row_no").asc()], lambda df: df.localCheckpoint()).collect()
+    want = sorted(((r.row_no, r.v) for r in got), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(r.row_no, r.v) for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, 1001))
+    assert search.placed(rows.limit(0), [F.col("row_no").asc()], lambda df: df.localCheckpoint()).count() == 0
+
+
 def greedy(pairs):
     out, used_a, used_b = [], set(), set()
     for s, a, b in sorted(((p[2], p[0], p[1]) for p in pairs), reverse=True):
