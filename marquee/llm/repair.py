@@ -29,31 +29,38 @@ from .common import TextEncoder, filesystem, n_parts, running_start, saved, shar
 MAGIC, END_ID = b"RPG1", 2
 #: Ids a shard; a task holds one shard at a time.
 SHARD_IDS = 1_000_000
-#: Rounds of replacement, and how often a pair must occur in a shard to become a rule.
-ROUNDS, LEAST = 3, 64
+#: How often a pair must occur in a shard to become a rule: a rule takes 12 bytes of a file, each use saves 2.
+LEAST = 7
 SLOTS = 18
+#: Share of the free nonterminals that a round hands out, and how many it does at least.
+ROUND_SHARE, ROUND_RULES = 4, 256
 
 
 def frequent_pairs(sym: np.ndarray, joins: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the `most` most frequent pairs with at least `least` occurrences, their ranks by falling frequency, and the
-    pairs' codes by rank. Pairs are counted by hashed slot, without a sort; where several share a slot, one of them is taken
-    and counted exactly, and the others wait for a later round."""
+    pairs' codes by rank. Hashed slots, which hold no fewer than any pair of theirs, tell what can be frequent; of that, pairs are
+    counted exactly."""
     code = (sym[:-1].astype(np.uint64) << np.uint64(20)) | sym[1:]
     slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int32)
-    often = np.bincount(slot[joins[:-1]], minlength=1 << SLOTS) >= least
-    at = np.flatnonzero(often[slot] & joins[:-1])
+    n = np.bincount(slot[joins[:-1]], minlength=1 << SLOTS)
+    at = np.flatnonzero((n >= least)[slot] & joins[:-1])
     slot, code = slot[at], code[at]
-    owner = np.zeros(1 << SLOTS, np.uint64)
-    owner[slot] = code
-    exact = code == owner[slot]
-    at, slot = at[exact], slot[exact]
-    n = np.bincount(slot, minlength=1 << SLOTS)
-    slots = np.flatnonzero(n >= least)  # ascending slots scatter ties, so that fewer of them overlap in a row
-    slots = slots[np.argsort(-n[slots], kind="stable")[:most]]
-    rank = np.full(1 << SLOTS, -1, np.int32)
-    rank[slots] = np.arange(len(slots))
-    ranks = rank[slot]
-    return at[ranks >= 0], ranks[ranks >= 0], owner[slots]
+    pairs = np.sort(code)
+    begin = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
+    pairs, n = pairs[begin], np.diff(np.append(begin, len(pairs)))
+    best = np.flatnonzero(n >= least)
+    hashed = pairs[best] * np.uint64(0x9E3779B97F4A7C15)  # in this order ties are scattered, so that fewer of them overlap in a row
+    pairs = pairs[best[np.lexsort((hashed, -n[best]))[:most]]]
+    # ranks: by slot, one pair each, and the pairs that share a slot with it one layer after the other
+    ranks, left = np.full(len(at), -1, np.int32), np.arange(len(pairs))
+    home = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int32)
+    while len(left):
+        owner = np.full(1 << SLOTS, -1, np.int32)
+        owner[home[left]] = left
+        mine = owner[slot]
+        ranks = np.where((mine >= 0) & (pairs[mine] == code), mine, ranks)
+        left = left[owner[home[left]] != left]
+    return at[ranks >= 0], ranks[ranks >= 0], pairs
 
 
 def choose(at: np.ndarray, rank: np.ndarray, passes: int = 3) -> np.ndarray:
@@ -85,14 +92,13 @@ def undisputed(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return even & better_than_left & better_than_right
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST, max_rules: int | None = None):
-    """Re-Pair of `ids`; `last` marks each document's last id. Returns (symbols, their `last` marks, rules)."""
+def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int | None = None, least: int = LEAST, max_rules: int | None = None):
+    """Re-Pair of `ids`, until no pair occurs `least` times or the nonterminals are used up (`rounds` stops it before); `last` marks
+    each document's last id. Returns (symbols, their `last` marks, rules)."""
     sym, joins, rules = ids.astype(np.uint32), ~last, []
     room = max(0, 0x10000 - base) if max_rules is None else max_rules
-    for r in range(rounds):
-        if len(sym) < 2 or room <= 0:
-            break
-        at, rank, pairs = frequent_pairs(sym, joins, min(room, max(256, room // (rounds - r))), least)
+    while len(sym) > 1 and room > 0 and (rounds is None or len(rules) < rounds):
+        at, rank, pairs = frequent_pairs(sym, joins, min(room, max(ROUND_RULES, room // ROUND_SHARE)), least)
         if not len(pairs):
             break
         chosen = choose(at, rank)

@@ -66,3 +66,23 @@ def test_repeated_content_shrinks():
     ids = np.tile(np.arange(50, dtype=np.uint32), 400)
     sym, _, rules = repair.compress(ids, np.arange(len(ids)) == len(ids) - 1, base=50, rounds=8, least=2)
     assert len(sym) < len(ids) / 10 and re.match("RPG1", repair.MAGIC.decode())
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(1)
+    passage = np.arange(1000, 1200)
+    docs = [np.concatenate([np.minimum(rng.zipf(1.3, 300), 999), passage, np.minimum(rng.zipf(1.3, 300), 999)]) for _ in range(20)]
+    ids, last = np.concatenate(docs).astype(np.uint32), np.zeros(20 * 800, bool)
+    last[799::800] = True
+    sym, ends, rules = repair.compress(ids, last, base=2000)
+    code = sym[:-1].astype(np.int64) << 20 | sym[1:]
+    assert np.unique(code[~ends[:-1]], return_counts=True)[1].max() < repair.LEAST and len(rules) < 0x10000 - 2000
+    assert max(repair.expansions(rules, 2000)[2]) >= len(passage) and (repair.expand(sym, rules, 2000)[0] == ids).all()
+
+
+def test_pairs_of_one_slot_are_all_counted(monkeypatch):
+    monkeypatch.setattr(repair, "SLOTS", 1)
+    ids = np.tile(np.arange(40, dtype=np.uint32), 50)
+    at, rank, pairs = repair.frequent_pairs(ids, np.ones(len(ids), bool), 100, 7)
+    assert len(pairs) == 40 and at.tolist() == list(range(len(ids) - 1))
+    assert (pairs[rank] == (ids[:-1].astype(np.uint64) << np.uint64(20) | ids[1:])).all()
