@@ -306,18 +306,34 @@ SAVED_SQL = """, s AS (SELECT p_partkey AS search_id, CASE WHEN p_partkey % 3 <>
     lower(p_name) AS q, CASE WHEN p_partkey % 4 = 0 THEN 'EUROPE' END AS pref FROM part WHERE p_size = 7)"""
 
 
-@query(
-    FOLDED_SQL + SAVED_SQL + """ SELECT DISTINCT search_id, row_no FROM folded l JOIN s ON (s.cats IS NULL OR list_has_any(l.cats, s.cats)) AND contains(folded, q) AND (s.pref IS NULL OR s.pref = l.pref)
+MET_SQL = """ SELECT DISTINCT search_id, row_no FROM folded l JOIN s ON (s.cats IS NULL OR list_has_any(l.cats, s.cats)) AND contains(folded, q) AND (s.pref IS NULL OR s.pref = l.pref)
     AND (a IS NULL OR len(list_filter(backup_date, lambda d: d BETWEEN a AND a + 30)) > 0 OR CASE WHEN len(dates) > 0 THEN len(list_filter(dates, lambda d: d BETWEEN a AND a + 30)) > 0
       ELSE coalesce(end_date >= a, true) AND coalesce(start_date <= a + 30, true) END)"""
-)
-def saved_search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+ALL_SAVED_SQL = """, s AS (SELECT p_partkey AS search_id, CASE WHEN p_partkey % 3 <> 0 THEN [p_type, 'NONE'] END AS cats, CASE WHEN p_partkey % 2 = 0 THEN DATE '1997-01-01' + CAST(p_partkey % 900 AS INTEGER) END AS a,
+    lower(p_name) AS q, CASE WHEN p_partkey % 4 = 0 THEN 'EUROPE' END AS pref FROM part)"""
+
+
+def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(search_id, query, p_size): a saved search for each part."""
     k = F.col("p_partkey")
     start = F.date_add(F.lit(date(1997, 1, 1)), (k % 900).cast("int"))
     dates = F.when(k % 2 == 0, F.concat(F.lit("&from="), start.cast("string"), F.lit("&to="), F.date_add(start, 30).cast("string"))).otherwise("")
     encoded = F.concat(F.lit("q="), F.url_encode("p_name"), F.when(k % 3 != 0, F.concat(F.lit("&f_cats="), F.url_encode(F.concat("p_type", F.lit(",NONE"))))).otherwise(""), dates, F.when(k % 4 == 0, "&pref=EUROPE").otherwise(""))
-    searches = read(spark, sf_dir, "part").filter("p_size = 7").select(k.alias("search_id"), encoded.alias("query"))
-    return search.saved_search_matches(searchable(spark, sf_dir), searches)
+    return read(spark, sf_dir, "part").select(k.alias("search_id"), encoded.alias("query"), "p_size")
+
+
+@query(
+    FOLDED_SQL + SAVED_SQL + """ SELECT DISTINCT search_id, row_no FROM folded l JOIN s ON (s.cats IS NULL OR list_has_any(l.cats, s.cats)) AND contains(folded, q) AND (s.pref IS NULL OR s.pref = l.pref)
+    AND (a IS NULL OR len(list_filter(backup_date, lambda d: d BETWEEN a AND a + 30)) > 0 OR CASE WHEN len(dates) > 0 THEN len(list_filter(dates, lambda d: d BETWEEN a AND a + 30)) > 0
+      ELSE coalesce(end_date >= a, true) AND coalesce(start_date <= a + 30, true) END)"""
+)
+def saved_search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.saved_search_matches(searchable(spark, sf_dir), saved_searches(spark, sf_dir).filter("p_size = 7").drop("p_size"))
+
+
+@query(FOLDED_SQL + ALL_SAVED_SQL + MET_SQL)
+def saved_search_matches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.saved_search_matches(searchable(spark, sf_dir), saved_searches(spark, sf_dir).drop("p_size"))
 
 
 # --- places and series ---
@@ -531,8 +547,8 @@ def supplier_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("day")).filter("day < '1998-06-15' and l_suppkey % 2 = 1")
+def hit_log(spark: SparkSession, sf_dir: str, some: str = "l_suppkey % 2 = 1") -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("day")).filter(f"day < '1998-06-15' and {some}")
     return lines.join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.upper("s_name").alias("name"), "day")
 
 
@@ -545,6 +561,18 @@ def roster_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roster.hits(supplier_roster(spark, sf_dir), hit_log(spark, sf_dir)).select("name", "status", day("last_hit"), "hit_count")
 
 
+@query(
+    ROSTER_SQL + """, o AS (SELECT * FROM r UNION ALL SELECT k, 'New ' || name, status, first_seen, last_hit, hit_count, closed_until, pref FROM r), h AS (SELECT s_name AS name, max(CAST(l_shipdate AS DATE)) AS d, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE CAST(l_shipdate AS DATE) < DATE '1998-06-15' GROUP BY s_name)
+    SELECT o.name, CASE WHEN status = 'candidate' AND n IS NOT NULL AND coalesce(hit_count, 0) + coalesce(n, 0) >= 2 THEN 'active' ELSE status END AS status, CAST(CASE WHEN d IS NULL OR last_hit > d THEN last_hit ELSE d END AS VARCHAR) AS last_hit, coalesce(hit_count, 0) + coalesce(n, 0) AS hit_count FROM o LEFT JOIN h USING (name)""",
+    base="",
+)
+def roster_hits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines before the day; a second place of each supplier has no hits."""
+    own = supplier_roster(spark, sf_dir)
+    both = own.union(own.withColumn("name", F.concat(F.lit("New "), "name")).select(*own.columns))
+    return roster.hits(both, hit_log(spark, sf_dir, "true")).select("name", "status", day("last_hit"), "hit_count")
+
+
 @query(ROSTER_SQL + " SELECT k, CASE WHEN status = 'candidate' AND idle > 60 THEN 'retired' WHEN coalesce(status, 'active') = 'active' AND idle > 180 THEN 'candidate' ELSE status END AS status, idle FROM (SELECT *, DATE '1998-06-15' - coalesce(last_hit, first_seen) AS idle FROM r)", base="")
 def roster_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roster.age(supplier_roster(spark, sf_dir), TODAY).select("k", "status", F.col("idle").cast("long").alias("idle"))
