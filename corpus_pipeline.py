@@ -22,10 +22,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group linked by five-word shingles."""
+    """Keep one row of each group linked by five-word shingles: that of the smallest id, a null id being the largest. Rows are told apart
+    by id and text: of an id's several texts in a group one stays, of repeated rows any one. Rows in no group all stay."""
     members, _ = sigtree.join(docs.select("doc_id", "text"))
-    others = saved(members.filter("component_id <> doc_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    k1 = decontam.key(members.withColumn("text", F.lit(None)))[0]
+    rows = saved(members.filter("grp is not null").groupBy("grp", "doc_id", "k2").agg(F.count("*").alias("n")), "grouped-rows")
+    keeper = rows.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k2")).alias("x")).select("grp", F.col("x.doc_id").alias("_id"), F.col("x.k2").alias("_k2"))
+    kept = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k2") == F.col("_k2"))
+    told = saved(rows.join(keeper, "grp").select(k1.alias("_k1"), "k2", "n", kept.alias("kept")).withColumnRenamed("k2", "_k2"), "duplicates")
+    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), decontam.key(docs), strict=True)))
+    others = told.filter("not kept or n > 1").select("_k1", "_k2").distinct()
+    copies = keyed.join(told.filter("kept and n > 1").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return keyed.join(others, ["_k1", "_k2"], "left_anti").select(*docs.columns).union(copies.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

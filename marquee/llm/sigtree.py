@@ -32,6 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, n_parts, saved
+from .decontam import key
 
 WORDS, PERCENT = 5, 75
 #: A leaf block's most sets and tokens; sets a leaf inside a task; nodes under a node.
@@ -113,16 +114,16 @@ def needed(n: int, percent: int) -> int:
 
 
 def classes(docs: DataFrame, words: int) -> DataFrame:
-    """Saved (doc_id, n, cls): a set's size and class for each document."""
+    """Saved (doc_id, k2, n, cls): a set's size and class for each document; k2 is kept from docs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for s in batches_of(texts):
                 sets = shingle_sets(texts[s], words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[s], pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64())], ["doc_id", "n", "cls"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[s], batch.column("k2")[s], pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64())], ["doc_id", "k2", "n", "cls"])
 
-    return saved(docs.mapInArrow(rows, "doc_id long, n long, cls long"), "classes")
+    return saved(docs.mapInArrow(rows, "doc_id long, k2 long, n long, cls long"), "classes")
 
 
 def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -435,9 +436,10 @@ def links(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets: int = BLOCK_SETS, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has (doc_id, n_shingles, cls, component_id) for each document, links has pairs of classes
-    that link and span the components of all links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(members, links): members has (doc_id, k2, n_shingles, cls, grp, component_id) for each document, k2 being the text's part of
+    decontam.key and grp the number of its component, null where it is alone; links has pairs of classes that link and span the
+    components of all links."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key(docs)[1])
     spark = docs.sparkSession
     found = classes(docs, words)
     lists = postings(docs, words, percent).repartition(n_parts(spark), "token").sortWithinPartitions("token", "cls")
@@ -447,7 +449,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets
     linked = links(blocks, block_pairs(blocks, percent, fan), percent)
     label = components(linked, "a", "b")
     rows = found.join(label.withColumnRenamed("node", "cls"), "cls", "left")
-    rows = saved(rows.select("doc_id", "n", "cls", F.coalesce("component", "cls").alias("grp")), "members")
-    least = saved(rows.filter("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).filter("size > 1").select("grp", "first"), "components")
-    members = rows.join(least, "grp", "left").select("doc_id", F.col("n").alias("n_shingles"), "cls", F.coalesce("first", "doc_id").alias("component_id"))
+    rows = saved(rows.select("doc_id", "k2", "n", "cls", F.coalesce("component", "cls").alias("grp")), "members")
+    least = saved(rows.filter("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")).filter("size > 1").select("grp", "first", F.col("grp").alias("own")), "components")
+    members = rows.join(least, "grp", "left").select("doc_id", "k2", F.col("n").alias("n_shingles"), "cls", F.col("own").alias("grp"), F.coalesce("first", "doc_id").alias("component_id"))
     return members, linked

@@ -44,6 +44,18 @@ def test_one_document_of_each_group_stays(stages):
     assert ids(after) == sorted(doc for doc, _, first in want if doc == first) and len(want) > after.count()
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(1, a), (1, a), (1, a), (2, a), (2, b), (None, c), (None, c), (None, c + " more"), (5, b + " more"), (None, a), (7, "other text altogether"), (8, None), (8, None), (9, "c9 " + c)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, a), (2, b), (9, "c9 " + c), (7, "other text altogether"), (8, None), (8, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+    nulls = spark.createDataFrame([(None, c)] * 5, "doc_id long, text string")
+    assert corpus_pipeline.near_duplicates(spark, nulls, SF).count() == 1
+
+
 def test_clean_documents_stay(spark, stages):
     before, after = stages["decontamination"]
     want = test_decontam.brute([(r.doc_id, r.text) for r in before.collect()], [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()])
