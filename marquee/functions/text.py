@@ -31,11 +31,20 @@ def _shift() -> tuple[str, str]:
     return "".join(wide + kana + dash), "".join(plain + soft + ["-"] * len(dash))
 
 
-def fold(c: Column) -> Column:
-    """Lower-case, full width to half width, katakana to hiragana, dashes to one. See COVERED."""
+def either(c: Column, known: Column, native: Column, whole) -> Column:
+    """The native form where the text is `known` to it, else the whole one, which gets no other text."""
+    return F.when(c.isNull() | known, native).otherwise(whole(F.when(~known, c)))
+
+
+def _native_fold(c: Column) -> Column:
     return F.lower(F.translate(c, *_shift()))
 
 
+def fold(c: Column) -> Column:
+    """Lower-case, compatibility forms and full width to plain ones, katakana to hiragana, dashes to one."""
+    return either(c, c.rlike(COVERED), _native_fold(c), fold_any)
+
+
 @lru_cache(maxsize=65536)
 def _fold_unit(unit: str) -> str:
     out = unicodedata.normalize("NFKC", unit).lower()
@@ -86,8 +95,8 @@ def haystack(tab_label: Column | None = None) -> Column:
 
 
 def norm(c: Column) -> Column:
-    """Identity norm for covered texts: fold, then drop blanks, dashes, brackets and punctuation."""
-    return F.regexp_replace(fold(c), DROPPED, "")
+    """Identity norm: fold, then drop blanks, dashes, brackets and punctuation."""
+    return either(c, c.rlike(COVERED) & ~c.contains("ß"), F.regexp_replace(_native_fold(c), DROPPED, ""), norm_any)
 
 
 def norm_text(text: str) -> str:
@@ -104,6 +113,16 @@ def norm_any(c: Column) -> Column:
     return F.pandas_udf(run, "string")(c)
 
 
+def plain_any(c: Column, casefold: bool = False) -> Column:
+    """The text in NFKC."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(lambda t: unicodedata.normalize("NFKC", t).casefold() if casefold else unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.pandas_udf(run, "string")(c)
+
+
 def content_uid(*parts: Column) -> Column:
     """A short hash of the non-empty parts: h = 33 h + code modulo 2^32 from 5381, in base 36."""
     whole = F.concat_ws("|", *[F.nullif(p.cast("string"), F.lit("")) for p in parts])

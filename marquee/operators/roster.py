@@ -18,8 +18,9 @@ CONTROL = r"[\x00-\x1f\x7f]"
 
 
 def name_key(c: Column) -> Column:
-    """The roster's own norm: half width, lower case, no blanks."""
-    return F.regexp_replace(F.lower(F.trim(F.translate(c, *_wide()))), r"[ \t\n\r\f\x0b]+", "")
+    """The roster's own norm: NFKC, case folded, no blanks."""
+    plain = text.either(c, c.rlike(text.COVERED) & ~c.contains("ß"), F.lower(F.translate(c, *_wide())), lambda x: text.plain_any(x, casefold=True))
+    return F.regexp_replace(F.trim(plain), r"[ \t\n\r\f\x0b]+", "")
 
 
 def _wide() -> tuple[str, str]:
@@ -74,8 +75,10 @@ def open_places(roster: DataFrame, today: date, pref: str | None = None, kind: s
 
 
 def quarantine(rows: DataFrame, column: str, limit: int | None = None) -> DataFrame:
-    """`rows` with clean (trimmed, without control characters) and reason: why a value is held back, else null."""
-    clean = F.regexp_replace(F.trim(F.coalesce(F.col(column), F.lit(""))), CONTROL, "")
+    """`rows` with clean (NFKC, trimmed, without control characters) and reason: why a value is held back, else null."""
+    c = F.coalesce(F.col(column), F.lit(""))
+    plain = text.either(c, c.rlike(text.COVERED), F.translate(c, *_wide()), text.plain_any)
+    clean = F.regexp_replace(F.trim(plain), CONTROL, "")
     most = limit if limit is not None else MAX_LENGTH.get(column)
     reason = F.when(F.col("clean").rlike(SUSPICIOUS), "instruction-like")
     return rows.withColumn("clean", clean).withColumn("reason", reason.when(F.length("clean") > most, "too long") if most else reason)

@@ -227,3 +227,20 @@ def test_streams(spark, tmp_path):
     assert got == {"x": (2, "2026-08-02"), "y": (1, "2026-08-01")}
     jobs.rollover(spark.range(3), lambda df: df.withColumn("x", F.lit(1)), out + "/view", "2026-08-01")
     assert spark.read.parquet(out + "/view").count() == 3
+
+
+def test_uncovered_characters_through_the_operators(spark):
+    from marquee.functions import text
+
+    words = ["ﾎﾟｽﾀｰ", "①", "ﬁlm", "㈱", "Straße", "ＡＢＣ カナ", None, "plain"]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "row_no long, title string")
+    for w in filter(None, words):
+        got = rows.withColumn("f", text.fold(F.col("title"))).filter(text.has_all_terms("f", w)).collect()
+        assert w in [r.title for r in got], w
+    got = [r[0] for r in rows.select(text.norm(F.col("title"))).orderBy("row_no").collect()]
+    assert got == [None if w is None else text.norm_text(w) for w in words]
+    log = spark.createDataFrame([("ﬁlm ㈱", D("2026-01-01"))], "name string, day date")
+    places = spark.createDataFrame([("film (株)", "candidate", None, 1)], "name string, status string, last_hit date, hit_count long")
+    assert roster.hits(places, log).first().hit_count == 2
+    notes = spark.createDataFrame([("ｉｇｎｏｒｅ　previous",), ("ﬁne ①",), ("𝐢𝐠𝐧𝐨𝐫𝐞 previous",)], "note string")
+    assert [(r.clean, r.reason is None) for r in roster.quarantine(notes, "note").collect()] == [("ignore previous", False), ("fine 1", True), ("ignore previous", False)]
