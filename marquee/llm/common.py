@@ -3,16 +3,17 @@ totals over range partitions, tokenizers and connected components."""
 
 from __future__ import annotations
 
+import hashlib
 import itertools
-import json
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import ClassVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,104 +72,246 @@ def write_file(uri: str, name: str, chunks: Iterable[bytes]) -> int:
 def running_start(df: DataFrame, part: str, order: list[str], value: str, out: str) -> DataFrame:
     """Add the sum of `value` over all rows before each row. `df` is saved and range-partitioned: `part`
     numbers its partitions in order, `order` sorts within one. Only one total a partition reaches the driver."""
-    totals = df.groupBy(part).agg(F.sum(value).alias("_t")).orderBy(part).collect()
-    base, at = [], 0
-    for row in totals:
-        base.append((row[part], at))
-        at += row["_t"]
-    bases = df.sparkSession.createDataFrame(base or [(0, 0)], f"{part} int, _base long")
+    bases = running_base(df.groupBy(part).agg(F.sum(value).alias("_t")), part, "_t")
     inside = F.sum(value).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn(out, inside - F.col(value)).join(bases, part).withColumn(out, F.col(out) + F.col("_base")).drop("_base")
 
 
+def running_base(totals: DataFrame, part: str, value: str) -> DataFrame:
+    """(part, _base): of a row for each partition, the sum of `value` over those before it. The driver gets these rows."""
+    base, at = [], 0
+    for row in totals.orderBy(part).collect():
+        base.append((row[part], at))
+        at += row[value]
+    return totals.sparkSession.createDataFrame(base or [(0, 0)], f"{part} int, _base long")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. lower() is taken where the text is ASCII, as translate() is far slower."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-#: Letters of the fast path: where a text has none beyond them, plain `re` cuts it as the tokenizers' own patterns do.
-LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153"
-UNUSUAL = re.compile(f"[^\t-\r\x20-\x7e{LETTERS}]")
-#: How the two tokenizers' files cut a text, with \\p{L} and \\p{N} written out for the fast path.
-CUTS = {
-    "Split": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+"),
-    "ByteLevel": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s0-9{LETTERS}]+|\\s+(?!\\S)|\\s+"),
-}
+def text_slices(column: pa.Array, most: int = 2_000_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows of a string column, about `most` bytes at a time: (rows, their UTF-8 bytes end to end, where each row begins and the last
+    ends). A null is empty. The bytes are the column's own memory, no copy."""
+    if column.null_count:
+        column = column.fill_null("")
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if not len(column):
+        return
+    ends = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
+        yield slice(lo, hi), data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+        lo = hi
+
+
+ODD = np.random.default_rng(20).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def run_hashes(u: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes in `u`, eight bytes of all runs at a time; runs of over 512 bytes one by one."""
+    padded = np.concatenate([u, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(u) + 1, "<u8", padded, strides=(1,))
+    h = mix((eight[starts] & _FIRST_BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * ODD[63])
+    todo, at = np.flatnonzero(size > 8), 8
+    while len(todo) and at < 512:
+        part = eight[starts[todo] + at] & _FIRST_BYTES[np.minimum(size[todo] - at, 8)]
+        h[todo] = mix(h[todo] * ODD[0] + part)
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in todo.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(u[starts[i] : starts[i] + size[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def low_words(u: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with A-Z lower-cased, where their words `[^\\x20\\x09-\\x0D]+` start, sizes of the words, words of each text). `begin`: where each
+    text begins, and the last one ends."""
+    low = u | (((u - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+    inside = np.zeros(len(u) + 2, bool)
+    inside[1:-1] = (u != 32) & ((u - np.uint8(9)) > 4)
+    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    edge = begin[(begin > 0) & (begin < len(u))]  # words of neighbouring texts touch here
+    first[edge] = inside[edge + 1]
+    last[edge - 1] = inside[edge]
+    starts = np.flatnonzero(first)
+    return low, starts, np.flatnonzero(last) + 1 - starts, np.diff(np.searchsorted(starts, begin))
+
+
+def unit_starts(u: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Where texts may be cut without a change to their ids: at the space after a character that is none, and between a letter and an
+    ASCII character that is none. Of characters beyond ASCII only U+00C0 to U+07FF count, among which there is no space, and of these
+    only U+00C0 to U+00FF (but for the two signs there) as letters. `begin`: where each text begins, and the last one ends."""
+    one = np.uint8
+    space = (u == 32) | (u == 10) | (u == 9) | (u == 13)
+    solid = (u - one(33)) < 94
+    letter = ((u | one(32)) - one(97)) < 26
+    mark = solid & ~letter
+    tail = (u[:-1] - one(0xC3)) < 29  # the next byte ends a character that counts
+    solid[1:] |= tail
+    letter[1:] |= (u[:-1] == 0xC3) & (u[1:] != 0x97) & (u[1:] != 0xB7)
+    cut = np.zeros(len(u) + 1, bool)
+    cut[1:-1] = (space[1:] & solid[:-1]) | (mark[1:] & letter[:-1])
+    cut[begin] = True
+    return np.flatnonzero(cut[:-1])
 
 
 class TextEncoder:
-    """Texts -> their ids as bytes, by a `tokenizers` file, keeping the ids of words met before.
+    """Texts -> their ids, by a `tokenizers` file, remembering the ids of pieces met before.
 
-    A text of usual characters is cut into the tokenizer's own pre-tokens, so its ids are those of its pre-tokens end to
-    end; new ones are encoded together. Any other text is encoded whole. Beyond `limit` words the later half is forgotten
-    (frequent words come early), so a worker's memory doesn't grow with its input."""
+    Texts are cut into units of which the ids don't depend on each other (unit_starts), found again by 64-bit hashes; new ones are given to
+    the tokenizer. A text that holds one of the tokenizer's special tokens is encoded whole. Beyond `limit` units all are forgotten,
+    so a worker's memory doesn't grow with its input."""
 
     kept: ClassVar[dict[str, TextEncoder]] = {}
+    LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype(np.uint16 if self.vocab_size <= 0x10000 else np.uint32)
-        self.limit, self.known = limit, {}
-        cuts = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
-        cuts = cuts["pretokenizers"][0] if cuts["type"] == "Sequence" else cuts
-        self.by_word = cuts["type"] == "Split"
-        self.cut = CUTS[cuts["type"]].findall
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.limit = limit
         vocab = self.tokenizer.get_vocab()
+        self.by_word = any(w.endswith("</w>") for w in vocab)
         self.edge = np.zeros(self.vocab_size, bool)  # ids that end a word, or that begin one after a space
         self.edge[[i for w, i in vocab.items() if (w.endswith("</w>") if self.by_word else w.startswith("\u0120"))]] = True
+        self.plain = re.compile((b"[ \n]?" if self.by_word else b" ") + self.LETTERS).fullmatch  # units that are one word
+        self.forget()
+
+    def forget(self) -> None:
+        bits = max(10, (2 * self.limit).bit_length())
+        self.slots, self.shift = np.full(1 << bits, -1, np.int32), np.uint64(64 - bits)
+        self.hash, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.dtype)
 
     @classmethod
-    def of(cls, path: str, limit: int = 700_000) -> TextEncoder:
+    def of(cls, path: str) -> TextEncoder:
         """The one of this Python worker, which goes on with later tasks."""
         if path not in cls.kept:
             cls.kept[path] = cls(path)
-        cls.kept[path].limit = limit
         return cls.kept[path]
 
-    def one_by_one(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > self.limit:
-            self.known = dict(itertools.islice(self.known.items(), self.limit // 2))
-        together = words if self.by_word else [w for w in words if w[0] == " " and len(w) > 1]
-        for lo in range(0, len(together), 256):
-            some = together[lo : lo + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([(" " if self.by_word else "").join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            at = np.flatnonzero(self.edge[ids])
-            if len(at) == len(some):
-                ends = (at + 1 if self.by_word else np.append(at[1:], len(ids))) * ids.itemsize
-                raw, begin = ids.tobytes(), 0
-                for w, end in zip(some, ends.tolist(), strict=True):
-                    self.known[w] = raw[begin:end]
-                    begin = end
-        rest = [w for w in words if w not in self.known]
-        self.known.update(zip(rest, self.one_by_one(rest), strict=True))
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if t and UNUSUAL.search(t)]
-        for i, ids in zip(odd, self.one_by_one([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        skip = set(odd)
-        usual = [i for i, t in enumerate(texts) if t and i not in skip]
-        words = [self.cut(texts[i].lower() if self.by_word else texts[i]) for i in usual]
-        found = [list(map(self.known.get, w)) for w in words]
-        new = {w for ws, f in zip(words, found, strict=True) if None in f for w, x in zip(ws, f, strict=True) if x is None}
-        if new:
-            self.learn(sorted(new))
-            get = self.known.get
-            found = [f if None not in f else [get(w) if x is None else x for w, x in zip(ws, f, strict=True)] for ws, f in zip(words, found, strict=True)]
-        for i, w, f in zip(usual, words, found, strict=True):
-            out[i] = b"".join(f) if None not in f else self.one_by_one([texts[i]])[0]  # some may just have been forgotten
+    def units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the units, their ids end to end in that order, ids of each)."""
+        words = [i for i, t in enumerate(texts) if self.plain(t)]
+        order, ids, counts = [], [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        rest = np.ones(len(texts), bool)
+        for lo in range(0, len(words), 256):  # of words together the ids are told apart by their edges
+            own = words[lo : lo + 256]
+            line = (b" " if self.by_word else b"").join([texts[i] for i in own]).decode()
+            flat = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.flatnonzero(self.edge[flat])
+            if len(at) == len(own):
+                order += own
+                rest[own] = False
+                ids.append(flat)
+                counts.append(np.diff(at + 1, prepend=0) if self.by_word else np.diff(at, append=len(flat)))
+        left = np.flatnonzero(rest).tolist()
+        for lo in range(0, len(left), 1000):
+            own = left[lo : lo + 1000]
+            got = self.tokenizer.encode([texts[i].decode() for i in own], is_pretokenized=True, add_special_tokens=False)
+            order += own
+            ids.append(np.array(got.ids, self.dtype))
+            counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(own)))
+        return np.array(order, np.int64), np.concatenate(ids), np.concatenate(counts).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of known units, -1 for others."""
+        slot, out, todo = (h >> self.shift).astype(np.int64), np.full(len(h), -1, np.int32), np.arange(len(h))
+        while len(todo):
+            at = self.slots[slot[todo]]
+            here = at >= 0
+            here[here] = self.hash[at[here]] == h[todo[here]]
+            out[todo[here]] = at[here]
+            todo = todo[(at >= 0) & ~here]
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
         return out
 
+    def learn(self, h: np.ndarray, texts: list[bytes]) -> None:
+        """Add units by their hashes, all new and different."""
+        order, ids, n = self.units(texts)
+        h = h[order]
+        number = len(self.hash) + np.arange(len(h), dtype=np.int32)
+        slot, todo = (h >> self.shift).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = todo[self.slots[slot[todo]] < 0]
+            self.slots[slot[free]] = number[free]  # of several the last has it
+            todo = todo[self.slots[slot[todo]] != number[todo]]
+            slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
+        self.hash, self.at = np.concatenate([self.hash, h]), np.concatenate([self.at, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])
+        self.n, self.pool = np.concatenate([self.n, n]), np.concatenate([self.pool, ids])
+
+    def some(self, u: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of units that begin at `starts`, ids of each)."""
+        size = np.diff(starts, append=len(u))
+        h = run_hashes(u, starts, size)
+        place = self.find(h)
+        if (place < 0).any():
+            new = np.flatnonzero(place < 0)
+            if len(self.hash) + len(new) > self.limit:
+                self.forget()
+                self.slots = np.full(max(len(self.slots), 1 << (2 * len(h)).bit_length()), -1, np.int32)
+                self.shift = np.uint64(64 - (len(self.slots) - 1).bit_length())
+                new = np.arange(len(h))
+            hashes, first = np.unique(h[new], return_index=True)
+            raw, at, n = u.tobytes(), starts[new[first]].tolist(), size[new[first]].tolist()
+            self.learn(hashes, [raw[a : a + k] for a, k in zip(at, n, strict=True)])
+            place[new] = self.find(h[new])
+        return gathered(self.pool, self.at[place], self.n[place]), self.n[place]
+
+    def __call__(self, column: pa.Array, end: int | None = None, most: int = 2_000_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(rows, their ids end to end, ids of each row), about `most` bytes of text at a time; `end` is put behind each row's ids."""
+        for rows, u, begin in text_slices(column, most):
+            raw = u.tobytes() if self.special else b""
+            whole = {}  # row -> ids of a text with a special token
+            if any(s.encode() in raw for s in self.special):
+                for i, (a, b) in enumerate(itertools.pairwise(begin.tolist())):
+                    if any(s.encode() in raw[a:b] for s in self.special):
+                        whole[i] = np.array(self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, self.dtype)
+            starts = unit_starts(u, begin)
+            at, ids, n = 0, [], []
+            while at < len(starts):  # a long text takes several turns
+                to = int(np.searchsorted(starts, starts[at] + 2 * most))
+                lo, hi = starts[at], starts[to] if to < len(starts) else len(u)
+                some, k = self.some(u[lo:hi], starts[at:to] - lo)
+                ids.append(some)
+                n.append(k)
+                at = to
+            flat = np.concatenate(ids) if ids else np.zeros(0, self.dtype)
+            edges = np.concatenate([[0], np.cumsum(np.concatenate(n))])[np.searchsorted(starts, begin)] if n else np.zeros(len(begin), np.int64)
+            if whole:
+                parts = [whole.get(i, flat[a:b]) for i, (a, b) in enumerate(itertools.pairwise(edges.tolist()))]
+                flat, edges = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+            count = np.diff(edges)
+            if end is not None:
+                flat, count = np.insert(flat, edges[1:], end), count + 1
+            yield rows, flat, count
+
+
+def gathered(pool: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Runs of `pool` end to end."""
+    return pool[np.arange(int(n.sum())) + np.repeat(at - (np.cumsum(n) - n), n)]
+
+
+def cut_bytes(flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A binary column of runs of `flat`, `n` items each."""
+    ends = np.concatenate([[0], np.cumsum(n)]) * flat.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
 
 def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Connected components of an undirected graph of long ids: (node, component), component being the

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextEncoder, n_parts, running_start, saved
+from .common import TextEncoder, cut_bytes, n_parts, running_start, saved
 
 END_ID, SIZE = 2, 4096
 BUCKETS, DIMS, BITS = 1024, 4, 10
@@ -71,33 +71,28 @@ def curve_keys(ids: np.ndarray, lengths: np.ndarray, seed: int = 11) -> np.ndarr
     return np.concatenate(keys) if keys else np.zeros(0, np.int64)
 
 
-def tokenised(docs: DataFrame, tokenizer: str, words_kept: int) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, row, key, n, ids): ids are little-endian, as wide as the vocabulary needs, with the end id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder.of(tokenizer, words_kept)
-        end = np.array([END_ID], encoder.dtype).tobytes()
+        encoder = TextEncoder.of(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                raw = [ids + end for ids in encoder(batch.column("text").slice(lo, 500).to_pylist())]
-                ids = np.frombuffer(b"".join(raw), encoder.dtype)
-                n = np.array([len(r) for r in raw]) // ids.itemsize
+            for rows, ids, n in encoder(batch.column("text"), END_ID):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, 500), batch.column("row").slice(lo, 500), pa.array(curve_keys(ids, n)), pa.array(n.astype(np.int64)), pa.array(raw, pa.binary())],
-                    ["doc_id", "row", "key", "n", "ids"],
+                    [batch.column("doc_id")[rows], batch.column("row")[rows], pa.array(curve_keys(ids, n)), pa.array(n.astype(np.int64)), cut_bytes(ids, n)], ["doc_id", "row", "key", "n", "ids"]
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     return rows.mapInArrow(encode, "doc_id long, row long, key long, n long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, words_kept: int = 700_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """Sequences (sequence_id, ids binary of little-endian uint32, pieces of (doc_id, start, length, doc_tokens, offset)).
 
-    `words_kept` words' ids are remembered by a worker. The ids are shuffled once: the order and the cuts come from a table of (key, row, n) alone, of which the driver gets one row for each partition."""
+    The ids are shuffled once: the order and the cuts come from a table of (key, row, n) alone, of which the driver gets one row for each partition."""
     spark = docs.sparkSession
     parts, width = n_parts(spark), TextEncoder.of(tokenizer).dtype.itemsize
-    tokens = saved(tokenised(docs, tokenizer, words_kept), "pack-tokens", compression="zstd")
+    tokens = saved(tokenised(docs, tokenizer), "pack-tokens", compression="zstd")
     line = saved(tokens.select("key", "row", "n").repartitionByRange(parts, "key", "row").withColumn("pid", F.spark_partition_id()), "pack-line")
     total = line.agg(F.sum("n")).first()[0] or 0
     each = max(1, -(-total // (size * parts))) * size  # ids a partition

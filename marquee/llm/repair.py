@@ -9,8 +9,8 @@ A shard's file, little-endian: b"RPG1", then five uint32 (base, rules, documents
 rules uint32[rules, 2], expansion lengths uint32[rules], doc_ids int64[documents], null marks uint8[documents],
 first symbols uint32[documents + 1], symbols uint16 or uint32[symbols] (uint16 where base + rules <= 65536).
 
-Null text counts as empty; an empty document is its end id alone. Documents of equal doc_id are ordered by text and
-all kept; a null doc_id comes first. An empty table gives no file. Other columns are ignored.
+Null text counts as empty; an empty document is its end id alone. Documents of equal doc_id are ordered by a hash
+of the text, all kept, and may lie in several tasks' files; a null doc_id comes first. An empty table gives no file. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -195,35 +195,39 @@ def write(docs: DataFrame, tokenizer: str, shard_ids: int = SHARD_IDS) -> DataFr
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pid, k = TextEncoder.of(tokenizer), TaskContext.get().partitionId(), 0
-        base, end = encoder.vocab_size, np.array([END_ID], encoder.dtype).tobytes()
-        doc_ids, raw, held = [], [], 0
+        base = encoder.vocab_size
+        doc_ids, ids, counts, held = [], [], [], 0
 
         def flush():
-            nonlocal doc_ids, raw, held, k
-            lengths = np.array([len(r) for r in raw]) // encoder.dtype.itemsize
-            ids = np.frombuffer(b"".join(raw), encoder.dtype)
-            last = np.zeros(len(ids), bool)
+            nonlocal doc_ids, ids, counts, held, k
+            flat, lengths = np.concatenate(ids), np.concatenate(counts)
+            last = np.zeros(len(flat), bool)
             last[np.cumsum(lengths) - 1] = True
             name = f"ids-{pid:06d}-{k:06d}.rpg"
-            n_bytes = write_file(folder, name, file_bytes(doc_ids, *compress(ids, last, base), base, len(ids)))
-            row = {"pid": pid, "shard": k, "folder": folder, "name": name, "n_docs": len(doc_ids), "n_ids": len(ids), "n_bytes": n_bytes}
-            doc_ids, raw, held, k = [], [], 0, k + 1
+            n_bytes = write_file(folder, name, file_bytes(doc_ids, *compress(flat, last, base), base, len(flat)))
+            row = {"pid": pid, "shard": k, "folder": folder, "name": name, "n_docs": len(doc_ids), "n_ids": len(flat), "n_bytes": n_bytes}
+            doc_ids, ids, counts, held, k = [], [], [], 0, k + 1
             return pa.RecordBatch.from_pylist([row], MANIFEST)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                ids, texts = (batch.column(c).slice(lo, 500).to_pylist() for c in ("doc_id", "text"))
-                for doc, r in zip(ids, encoder(texts), strict=True):
-                    doc_ids.append(doc)
-                    raw.append(r + end)
-                    held += len(raw[-1]) // encoder.dtype.itemsize
+            for rows, flat, n in encoder(batch.column("text"), END_ID):
+                docs, ends, lo = batch.column("doc_id")[rows].to_pylist(), np.cumsum(n), 0
+                while lo < len(n):
+                    before = int(ends[lo - 1]) if lo else 0
+                    hi = min(len(n), int(np.searchsorted(ends, before + shard_ids - held)) + 1)
+                    doc_ids += docs[lo:hi]
+                    ids.append(flat[before : ends[hi - 1]])
+                    counts.append(n[lo:hi])
+                    held += int(ends[hi - 1]) - before
+                    lo = hi
                     if held >= shard_ids:
                         yield flush()
         if doc_ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    placed = rows.repartitionByRange(n_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    text = F.col("text").cast("string").alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    placed = rows.repartitionByRange(n_parts(spark), "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
     manifest = saved(placed.mapInArrow(shards, "pid int, shard int, folder string, name string, n_docs long, n_ids long, n_bytes long"), "repair-manifest")
     return running_start(manifest, "pid", ["shard"], "n_ids", "start")
 

@@ -1,23 +1,24 @@
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from marquee.llm import repair
-from marquee.llm.common import TextEncoder
+from marquee.llm.common import TextEncoder, run_hashes
 from marquee.llm.queries import tokenizer
 
 PATH = tokenizer("byte_bpe_50k.json")
-TEXTS = ["the and  of it", None, "", " ", "  two  spaces \n and\n\n lines \t tab  ", "same text", "same text", "Ünï code  x \x1c y don't <|endoftext|>", "ab " * 30000, "a  　 b"]
+TEXTS = ["the and  of it", None, "", " ", "  two  spaces \n and\n\n lines \t tab  ", "same text", "same text", "Ünï code  x \x1c y don't <|endoftext|>", "a<|endoftext|>b  <|startoftext|>", "<|endoftext|>", "a <|endoftext|> b", "ab " * 30000, "a  　 b"]
 
 
 def ids_of(texts):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     return [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
@@ -34,15 +35,31 @@ def test_files_give_back_every_id(spark, texts):
     assert [tuple(r) for r in got] == want
 
 
+BITS = ["a", "I'd", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x0b", "\x1c", "\u00e9", "\u03a3", "\u00d7", "\u00f7", "'s", "'", "don't", "<|endoftext|>", "<|startoftext|>", "<|", "12", "\u00bd", "\u2014", "\u65e5\u672c", "\u0301", "\u0130", "\u00df", "Zz", ".", ",", "-", "(", "\U0001f642", "\r\n", "\u2028", "\u0085", "\u07ff", "\u0700", "w" * 600]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_remembered_words_give_the_tokenizers_ids(name):
-    tok = Tokenizer.from_file(tokenizer(name))
-    tok.encode_special_tokens = True
-    texts = [*filter(None, TEXTS), "I'd say we're 12x34 'tis ___ a-b c_d É é À la œuvre; !!! \x0b\x0c \r\n end", "a  b   c\n\n\nd ", "Straße ÿ — x ’s ½ ²", "'s 't 'S 'T x's"]
-    for limit in (10, 10**6):
-        encoder = TextEncoder(tokenizer(name), limit)
-        for _ in range(3):
-            assert [np.frombuffer(x, encoder.dtype).tolist() for x in encoder(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+@pytest.mark.parametrize("limit", [10, 10**6])
+def test_units_give_the_tokenizers_ids(name, limit):
+    tok, rng = Tokenizer.from_file(tokenizer(name)), random.Random(4)
+    texts = [*TEXTS, *("".join(rng.choice(BITS) for _ in range(rng.randint(0, 14))) for _ in range(3000))]
+    want = [[*e.ids, 2] for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    encoder = TextEncoder(tokenizer(name), limit)
+    for column in (pa.array(texts), pa.array([None, "before", *texts], pa.large_string()).slice(2)):
+        got, at = [], 0
+        for rows, ids, n in encoder(column, 2, most=700):
+            assert rows.start == at
+            at = rows.stop
+            got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == want
+
+
+def test_hashes_of_runs_differ():
+    runs = [b"a", b"aa", b"a" * 8, b"a" * 9, b"a" * 16, b"a" * 17, b"b" * 600, b"b" * 601, b"b" * 599 + b"c", b"c" + b"b" * 599, b"\0", b"\0\0"]
+    u, size = np.frombuffer(b"".join(runs), np.uint8), np.array([len(r) for r in runs])
+    h = run_hashes(u, np.cumsum(size) - size, size)
+    assert len(set(h.tolist())) == len(runs)
+    assert (run_hashes(np.tile(u, 2), np.concatenate([np.cumsum(size) - size, len(u) + np.cumsum(size) - size]), np.tile(size, 2)) == np.tile(h, 2)).all()
 
 
 @settings(max_examples=60, deadline=None)
