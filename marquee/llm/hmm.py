@@ -5,7 +5,8 @@ letters' hash for others; the model's latent states emit classes, and a class em
 Good-Turing share for unknown tokens. Words thus cost an exact distributed count, and the states' parameters have a fixed size.
 
 Training is Baum-Welch: every round each partition computes its expected counts by scaled forward and backward recursions over
-pieces of `PIECE` tokens of all training documents, and the counts are summed by class. Scoring is the scaled forward recursion over
+all training documents, each of them whole, and the counts are summed by class. Long documents are worked on in runs of `RUN`
+tokens, side by side, between states carried from run to run exactly. Scoring is the scaled forward recursion over
 whole documents, which gives the exact likelihood. Token counts that aren't among the `COMMON` most frequent are joined
 by shuffle, for those tokens alone.
 
@@ -24,36 +25,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
-from .sigtree import batches_of, mix, word_hashes
+from .common import low_words, mix, run_hashes, saved, text_slices
 
-STATES, ROUNDS, PIECE, OWN, SUFFIXES, COMMON, SEED = 8, 5, 96, 4096, 1024, 262_144, 9
+STATES, ROUNDS, OWN, SUFFIXES, COMMON, SEED = 8, 5, 4096, 1024, 262_144, 9
+#: Tokens of a run, and runs worked on side by side; neither changes a result.
+RUN, SIDE_BY_SIDE = 512, 1024
 #: A prior's weight on each state's emissions and transitions, in tokens; the chance to stay in a state at first.
 PRIOR, STAY = 200.0, 0.95
 END = -1
 #: Distinct tokens after which a task hands on its counts; tokens of documents scored side by side.
-CHUNK_TOKENS, SCORED_TOKENS = 4_000_000, 6_000_000
+CHUNK_TOKENS, SCORED_TOKENS = 4_000_000, 4_000_000
 
 
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds, F.lit(0))
 
 
-def token_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts' tokens, ends included, tokens of each text). An id's low bits are the class of the last letters."""
-    raw = [(t or "").encode().lower() for t in texts]
-    h, n = word_hashes(raw)
-    u = np.frombuffer(b"\n\n\n" + b"\n".join(raw) + b"\n", np.uint8)
-    inside = (u != 32) & ((u < 9) | (u > 13))
-    last = np.flatnonzero(inside[:-1] & ~inside[1:])
-    tail = u[last].astype(np.uint64)
-    for back in (1, 2):
-        own = inside[last - back] & (inside[last - 1] if back == 2 else True)
-        tail = (tail << np.uint64(8)) | np.where(own, u[last - back], 0).astype(np.uint64)
-    ids = (h & ~np.uint64(SUFFIXES - 1)) | (mix(tail) & np.uint64(SUFFIXES - 1))
-    out = np.full(len(ids) + len(n), END, np.int64)
-    out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids.view(np.int64)
-    return out, n + 1
+def token_ids(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, ids of all their tokens, ends included, tokens of each). An id's low bits are the class of the last letters."""
+    for rows, u, begin in text_slices(column):
+        low, starts, size, n = low_words(u, begin)
+        h = run_hashes(low, starts, size)
+        last = starts + size - 1
+        tail = np.zeros(len(last), np.uint64)
+        for back in range(3):
+            tail = (tail << np.uint64(8)) | np.where(size > back, low[last - np.minimum(size - 1, back)], 0).astype(np.uint64)
+        ids = (h & ~np.uint64(SUFFIXES - 1)) | (mix(tail) & np.uint64(SUFFIXES - 1))
+        out = np.full(len(ids) + len(n), END, np.int64)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids.view(np.int64)
+        yield rows, out, n + 1
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -70,9 +70,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["id", "c"])
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for s in batches_of(texts):
-                held.append(token_ids(texts[s])[0])
+            for _, ids, _ in token_ids(batch.column("text")):
+                held.append(ids)
                 size += len(held[-1])
                 if size >= CHUNK_TOKENS:
                     yield counted()
@@ -153,9 +152,7 @@ def encoded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for s in batches_of(texts):
-                ids, n = token_ids(texts[s])
+            for s, ids, n in token_ids(batch.column("text")):
                 c, cls = voc.look_up(ids)
                 first = np.cumsum(n) - n
                 seen = c > 0
@@ -206,45 +203,111 @@ class Model:
         return cls(start / start.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def pieces(classes: list[np.ndarray], size: int = PIECE) -> Iterator[np.ndarray]:
-    """Matrices (tokens, pieces) of equal length: full pieces, and what is left by length."""
-    by: dict[int, list] = {}
-    for c in classes:
-        full = len(c) // size * size
-        if full:
-            by.setdefault(size, []).extend(c[:full].reshape(-1, size))
-        if full < len(c):
-            by.setdefault(len(c) - full, []).append(c[full:])
-    for own in by.values():
-        for lo in range(0, len(own), 4096):
-            yield np.ascontiguousarray(np.array(own[lo : lo + 4096]).T)
+class Runs:
+    """Whole sequences cut into runs of at most `size` tokens, the longest runs first, so that those still going on after t tokens are a
+    head of the list. `number[d, j]` is that of sequence d's run j, -1 beyond its last."""
+
+    def __init__(self, docs: list[np.ndarray], size: int = RUN):
+        n = np.array([len(d) for d in docs])
+        runs = -(-n // size)
+        doc = np.repeat(np.arange(len(n)), runs)
+        j = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+        length = np.minimum(size, n[doc] - j * size)
+        by = np.argsort(-length, kind="stable")
+        self.flat, self.begin, self.size = np.concatenate(docs), ((np.cumsum(n) - n)[doc] + j * size)[by], length[by]
+        self.number = np.full((len(n), runs.max()), -1)
+        self.number[doc[by], j[by]] = np.arange(len(by))
+
+    def __len__(self) -> int:
+        return len(self.begin)
+
+    def going(self, lo: int, hi: int) -> list[int]:
+        """How many of runs lo..hi have more than t tokens, for each t."""
+        size = self.size[lo:hi]
+        return np.searchsorted(-size, -np.arange(1, size[0] + 1), "right").tolist()
+
+    def neighbours(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """(runs j - 1, runs j) of the sequences that have a run j."""
+        has = self.number[:, j] >= 0
+        return self.number[has, j - 1], self.number[has, j]
+
+
+def transfers(x: Runs, own: np.ndarray, step: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of runs `own`, matrices from the state of the first token to that of the last one, all tokens seen; scaled to a sum of 1."""
+    s = len(step)
+    out = np.empty((len(own), s, s), step.dtype)
+    for lo in range(0, len(own), 512):
+        some = own[lo : lo + 512]
+        begin, size = x.begin[some], x.size[some]
+        m = b[x.flat[begin]][:, None, :] * np.eye(s, dtype=step.dtype)
+        for t in range(1, int(size[0])):
+            k = int(np.searchsorted(-size, -t, "left"))
+            m[:k] = (m[:k].reshape(-1, s) @ step).reshape(k, s, s) * b[x.flat[begin[:k] + t]][:, None, :]
+            if t % 4 == 0:
+                m[:k] /= m[:k].sum((1, 2), keepdims=True)
+        out[lo : lo + 512] = m / m.sum((1, 2), keepdims=True)
+    return out
 
 
-def expected(model: Model, x: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward over pieces x (tokens, pieces): adds to `emit` (classes x S) and returns expected starts and steps."""
+def ends(x: Runs, start: np.ndarray, step: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(chances of the states before each run's first token is seen, backward chances at its last one), over whole sequences: products
+    of the runs' transfer matrices carry both from run to run."""
+    before, after = np.tile(start, (len(x), 1)), np.ones((len(x), len(start)), start.dtype)
+    if x.number.shape[1] > 1:
+        own = np.sort(x.number[x.number[:, 1] >= 0].ravel())
+        own = own[own >= 0]
+        row = np.full(len(x), -1)
+        row[own] = np.arange(len(own))
+        through = transfers(x, own, step, b)
+        for j in range(1, x.number.shape[1]):
+            last, this = x.neighbours(j)
+            v = np.einsum("ps,pst->pt", before[last], through[row[last]])
+            before[this] = (v / v.sum(1, keepdims=True)) @ step
+        for j in range(x.number.shape[1] - 1, 0, -1):
+            last, this = x.neighbours(j)
+            v = np.einsum("pst,pt->ps", through[row[this]], after[this])
+            after[last] = (v / v.sum(1, keepdims=True)) @ step.T
+    return before, after
+
+
+def expected(model: Model, docs: list[np.ndarray], emit: np.ndarray, size: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward over whole class sequences: adds to `emit` (classes x S), returns expected starts and steps. Runs of sequences
+    are worked on side by side, between the exact states at their ends."""
     start, step, b = (a.astype(np.float32) for a in (model.start, model.step, model.emit))
-    n, s = len(x), len(start)
-    seen = b[x]  # tokens x pieces x S
-    alpha = np.empty_like(seen)
-    scale = np.empty(x.shape, np.float32)
-    now = start * seen[0]
-    for t in range(n):
-        if t:
-            now = (alpha[t - 1] @ step) * seen[t]
-        scale[t] = now.sum(1)
-        alpha[t] = now / scale[t][:, None]
+    x, s = Runs(docs, size), len(start)
+    before, after = ends(x, start, step, b)
+    first, last, behind = np.empty_like(before), np.empty_like(before), np.empty_like(before)
     steps = np.zeros((s, s))
-    beta = np.ones_like(alpha[0])
-    for t in range(n - 1, 0, -1):
-        ahead = seen[t] * beta / scale[t][:, None]
-        steps += (alpha[t - 1].T @ ahead).astype(float) * model.step
-        alpha[t] *= beta
-        beta = ahead @ step.T
-    alpha[0] *= beta
-    flat = x.reshape(-1)
-    for k in range(s):
-        emit[:, k] += np.bincount(flat, alpha[:, :, k].reshape(-1), len(emit))
-    return alpha[0].sum(0).astype(float), steps
+    for lo in range(0, len(x), SIDE_BY_SIDE):
+        hi = min(lo + SIDE_BY_SIDE, len(x))
+        begin, going, now = x.begin[lo:hi], x.going(lo, hi), before[lo:hi]
+        alpha, seen = [], []
+        for t, k in enumerate(going):
+            seen.append(b[x.flat[begin[:k] + t]])
+            now = (now[:k] @ step if t else now) * seen[t]
+            scale = now.sum(1, keepdims=True)
+            now = now / scale
+            seen[t] /= scale
+            alpha.append(now)
+        beta = np.empty((0, s), np.float32)
+        for t in range(len(going) - 1, -1, -1):
+            k, longer = going[t], len(beta)
+            last[lo + longer : lo + k] = alpha[t][longer:]
+            over = after[lo + longer : lo + k]
+            beta = np.concatenate([beta, over / (alpha[t][longer:] * over).sum(1, keepdims=True)])
+            ahead = seen[t] * beta
+            seen[t] = alpha[t] * beta  # the chances of the states
+            if t:
+                steps += (alpha[t - 1][:k].T @ ahead).astype(float) * model.step
+                beta = ahead @ step.T
+        behind[lo:hi], first[lo:hi] = ahead, seen[0]
+        ids, chances = np.concatenate([x.flat[begin[:k] + t] for t, k in enumerate(going)]), np.concatenate(seen)
+        for k in range(s):
+            emit[:, k] += np.bincount(ids, chances[:, k], len(emit))
+    for j in range(1, x.number.shape[1]):
+        a, c = x.neighbours(j)
+        steps += ((last[a] / ((last[a] @ step) * behind[c]).sum(1, keepdims=True)).T @ behind[c]).astype(float) * model.step
+    return first[x.number[:, 0]].sum(0).astype(float), steps
 
 
 def baum_welch(sequences: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,12 +316,24 @@ def baum_welch(sequences: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarr
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit, step, start = np.zeros((size, s)), np.zeros((s, s)), np.zeros(s)
+        held: list[np.ndarray] = []
+        tokens = 0
+
+        def count() -> None:
+            nonlocal held, tokens
+            if held:
+                a, b = expected(model, held, emit)
+                np.add(start, a, out=start)
+                np.add(step, b, out=step)
+            held, tokens = [], 0
+
         for batch in batches:
-            own = [np.frombuffer(c, "<u2") for c in batch.column("classes").to_pylist()]
-            for x in pieces(own):
-                a, b = expected(model, x, emit)
-                start += a
-                step += b
+            for raw in batch.column("classes").to_pylist():
+                held.append(np.frombuffer(raw, "<u2"))
+                tokens += len(held[-1])
+                if tokens >= SCORED_TOKENS:
+                    count()
+        count()
         table = np.concatenate([emit, step, start[None]])
         used = np.flatnonzero(table.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(table[used, k]) for k in range(s)]], ["line", *[f"s{k}" for k in range(s)]])
