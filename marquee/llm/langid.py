@@ -4,9 +4,10 @@ For each language a bounded sample of labelled texts becomes a zstandard raw-con
 its letters in lower case, is cut into chunks and every chunk is compressed with each dictionary; the language of the smallest total is predicted. The score is
 1 - smallest / second smallest; below `min_margin` the prediction is marked as rejected.
 
-The sample takes `sample_docs` documents a language, those of the smallest hash, and `sample_chars` characters of each; this
-bound is a parameter of the fit and the driver holds no more than that. Prediction reads whole texts. A null text and one without a letter are
-`und` with score 0, and rejected; so is every text if nothing could be learned. Ties go to the first language in order.
+The sample takes `sample_docs` different texts a language, those of the smallest hash, and `sample_chars` characters of each, from a place
+that the hash gives; this bound is a parameter of the fit and the driver holds no more than that. A language of fewer texts gives
+all of them. Prediction reads whole texts. A null text and one without a letter (str.isalpha) are `und` with score 0, and rejected; so is
+every text if nothing could be learned. A labelled text without a letter teaches nothing. Ties go to the first language in order.
 Repeated rows are predicted each. Columns that the input has already are kept unless they are named like the new ones.
 """
 
@@ -23,7 +24,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SAMPLE_DOCS, SAMPLE_CHARS, CHUNK_CHARS, LEVEL, MIN_MARGIN = 100, 2000, 4096, 3, 0.005
-LETTER, OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
+LETTER, OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")  # LETTER also finds some numerals, such as one half
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
 
 
 def normal(text: str) -> str:
@@ -57,19 +62,54 @@ class LanguageModel:
 
 def fit(docs: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
     """Learn from text and lang of the rows for which `train` holds and both are there."""
-    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length(F.trim("text")) > 0))
     order = F.xxhash64("text")
-    share = F.pmod(order, F.lit(1_000_000)) / 1_000_000
-    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not n:
-        return LanguageModel()
-    # a first cut by hash leaves about eight times the sample, so that no language's rows are ranked in one task
-    cut = F.create_map(*[F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, 8 * sample_docs / c))])
-    few = known.filter(share <= cut[F.col("lang")]).select("lang", order.alias("order"), F.substring("text", 1, sample_chars).alias("text"))
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))).filter(F.col("rank") <= sample_docs)
+    room = F.greatest(F.length("text") - sample_chars + 1, F.lit(1))
+    cut = F.col("text").substr((F.pmod(order, room) + 1).cast("int"), F.lit(sample_chars))
+    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", order.alias("order"), cut.alias("cut"))
+    # of each language the texts of the least hashes, first in each of 64 lots of hashes, so that a language of very many texts is no one
+    # task's; equal texts are one group, combined before the shuffle
+    lot = F.pmod(F.shiftright("order", 7), F.lit(64)).alias("lot")
+    texts = known.select("lang", "order").distinct().withColumn("lot", lot)
+    few = texts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "lot").orderBy("order"))).filter(F.col("rank") <= sample_docs)
+    least = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("rank") <= sample_docs).select("lang", "order", "rank").collect()
+    wanted = docs.sparkSession.createDataFrame(least, "lang string, `order` long, rank int")
+    ranked = known.join(F.broadcast(wanted), ["lang", "order"]).groupBy("lang", "rank").agg(F.min("cut").alias("cut"))
+    samples: dict[str, bytes] = field(default_factory=dict)
+
+    def sizes(self):
+        """A function text -> compressed size under each language, in order of language."""
+        import zstandard as zstd
+
+        coders = []
+        for lang in sorted(self.samples):
+            content = zstd.ZstdCompressionDict(self.samples[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(level=LEVEL)
+            coders.append(zstd.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+
+        def total(text: str) -> list[int]:
+            text = normal(text)
+            chunks = [text[lo : lo + CHUNK_CHARS].encode() for lo in range(0, len(text), CHUNK_CHARS)]
+            return [sum(len(coder(c)) for c in chunks) for coder in coders]
+
+        return total
+
+
+def fit(docs: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
+    """Learn from text and lang of the rows for which `train` holds and both are there."""
+    order = F.xxhash64("text")
+    room = F.greatest(F.length("text") - sample_chars + 1, F.lit(1))
+    cut = F.col("text").substr((F.pmod(order, room) + 1).cast("int"), F.lit(sample_chars))
+    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", order.alias("order"), cut.alias("cut"))
+    # the least `sample_docs` of each language and of `lots` lots of hashes; the lots share a language of very many texts among tasks, and
+    # equal texts are one group, combined before the shuffle
+    lots = 64
+    texts = known.groupBy("lang", "order").agg(F.min("cut").alias("cut"))
+    lot = F.pmod(F.shiftright("order", 7), F.lit(lots)).alias("lot")
+    few = texts.withColumn("lot", lot).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "lot").orderBy("order"))).filter(F.col("rank") <= sample_docs)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("rank") <= sample_docs)
     samples: dict[str, list] = {}
     for r in ranked.collect():
-        samples.setdefault(r["lang"], []).append((r["rank"], r["text"]))
+        samples.setdefault(r["lang"], []).append((r["rank"], r["cut"]))
     return LanguageModel({lang: " ".join(normal(t) for _, t in sorted(own)).encode() for lang, own in samples.items()})
 
 
@@ -82,7 +122,7 @@ def predict(docs: DataFrame, model: LanguageModel, min_margin: float = MIN_MARGI
         for batch in batches:
             pred, score = [], []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                if not text or not langs or not LETTER.search(text):
+                if not text or not langs or not has_letter(text):
                     pred.append("und")
                     score.append(0.0)
                     continue

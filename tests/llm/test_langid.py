@@ -28,11 +28,26 @@ def test_rows_of_every_kind(spark):
     rows = [(i, text(lang, rng), lang) for i, lang in enumerate(sorted(WORDS) * 20)]
     model = langid.fit(spark.createDataFrame([*rows, (99, None, "aa"), (98, text("bb", rng), None), (97, " ", "zz")], "doc_id long, text string, lang string"), F.lit(True))
     assert sorted(model.samples) == sorted(WORDS)
-    odd = [(1, None), (2, ""), (3, "12 !? 7"), (4, text("aa", rng)), (4, text("aa", rng)), (5, text("bb", rng, 20000)), (6, text("cc", rng).upper())]
+    odd = [(1, None), (2, ""), (3, "12 !? 7"), (8, "\u00bd"), (9, "\u00b2 \u00b3 \u2460 \u2167 _"), (4, text("aa", rng)), (4, text("aa", rng)), (5, text("bb", rng, 20000)), (6, text("cc", rng).upper())]
     docs = spark.createDataFrame([(i, t, "clash", 0.5) for i, t in odd], "doc_id long, text string, lang_pred string, score double")
     got = langid.predict(docs, model).collect()
-    assert [r.lang_pred for r in got] == ["und", "und", "und", "aa", "aa", "bb", "cc"]
-    assert [r.rejected for r in got] == [True] * 3 + [False] * 4 and [r.text for r in got] == [t for _, t in odd]
+    assert [r.lang_pred for r in got] == ["und"] * 5 + ["aa", "aa", "bb", "cc"]
+    assert [r.rejected for r in got] == [True] * 5 + [False] * 4 and [r.text for r in got] == [t for _, t in odd]
+
+
+def test_a_language_of_one_repeated_text_is_learned(spark):
+    rng = random.Random(6)
+    one = text("bb", rng)
+    rows = [(i, text("aa", rng), "aa") for i in range(3000)] + [(i, one, "bb") for i in range(5000)] + [(1, "\u00bd \u00be", "cc")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert sorted(model.samples) == ["aa", "bb"] and model.samples["bb"].decode() == langid.normal(one)
+    assert model == langid.fit(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(5), F.lit(True))
+
+
+def test_ties_go_to_the_first_language(spark):
+    model = langid.LanguageModel({"bb": b"the same sample", "aa": b"the same sample"})
+    got = langid.predict(spark.createDataFrame([("the same",)], "text string"), model).first()
+    assert (got.lang_pred, got.score, got.rejected) == ("aa", 0.0, True)
 
 
 def test_nothing_to_learn_or_predict(spark):
