@@ -13,7 +13,6 @@ revisits of it; repeated rows of that page are responses too. A null html is an
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import json
 import uuid
@@ -100,15 +99,19 @@ FILES = pa.schema([("folder", pa.string()), ("name", pa.string()), ("records", p
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file of any number of members, chunk by chunk."""
+    """The bytes of a gzip file of any number of members, at most `CHUNK` at a time, however well they are compressed."""
     gz = None
     while data := stream.read(CHUNK):
         while data:
             gz = gz or zlib.decompressobj(31)
-            yield gz.decompress(data)
-            data = gz.unused_data
+            yield gz.decompress(data, CHUNK)
+            data = gz.unconsumed_tail
             if gz.eof:
-                gz = None
+                data, gz = gz.unused_data, None
+        while gz is not None and not gz.eof and (more := gz.decompress(b"", CHUNK)):  # what it still holds back
+            yield more
+        if gz is not None and gz.eof:
+            gz = None
     if gz is not None:
         raise ValueError("the gzip stream ends early")
 
@@ -172,11 +175,41 @@ def normalise(files: DataFrame) -> DataFrame:
     return saved(spread.mapInArrow(archives, "folder string, name string, records long"), "warc-members")
 
 
-def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers of a record and its block."""
-    cut = raw.index(b"\r\n\r\n")
-    head = headers_of(raw[:cut])
-    return head, raw[cut + 4 : cut + 4 + int(head["Content-Length"])]
+def page_row(chunks: Iterator[bytes]) -> dict:
+    """What the bytes of a page's record tell, payload digest checked; the payload isn't held."""
+    held = bytearray()
+    while held.count(b"\r\n\r\n") < 2:
+        held += next(chunks)
+    cut = held.index(b"\r\n\r\n") + 4
+    begin = held.index(b"\r\n\r\n", cut) + 4
+    head = headers_of(bytes(held[: cut - 4]))
+    page = int(head["X-Page-Id"]) if "X-Page-Id" in head else None
+    if head["WARC-Type"] == "revisit":
+        size, digest, to = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Refers-To-Page"])
+    else:
+        size, sha, to = cut + int(head["Content-Length"]) - begin, hashlib.sha1(), None
+        left, part = size, bytes(held[begin : begin + size])
+        while left:
+            sha.update(part)
+            left -= len(part)
+            part = next(chunks)[:left] if left else b""
+        digest = base64.b32encode(sha.digest()).decode()
+        if f"sha1:{digest}" != head["WARC-Payload-Digest"]:
+            raise ValueError(f"payload of page {page} differs from its digest")
+    return {"page_id": page, "payload_bytes": size, "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": to}
+
+
+class Member:
+    """The compressed bytes of one record in an archive, read in parts."""
+
+    def __init__(self, file, offset: int, length: int):
+        self.file, self.at, self.end = file, offset, offset + length
+
+    def read(self, n: int) -> bytes:
+        self.file.seek(self.at)
+        data = self.file.read(min(n, self.end - self.at))
+        self.at += len(data)
+        return data
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -192,8 +225,7 @@ def read(files: DataFrame) -> DataFrame:
                 with where.open_input_file(f"{path}/{name}") as f:
                     for x in index:
                         if x["type"] in ("response", "revisit"):
-                            f.seek(x["offset"])
-                            out.append(page_row(*parse_record(gzip.decompress(f.read(x["length"])))))
+                            out.append(page_row(inflate(Member(f, x["offset"], x["length"]))))
                         if len(out) >= 4096:
                             yield pa.RecordBatch.from_pylist(out, PAGES)
                             out = []
@@ -205,15 +237,3 @@ def read(files: DataFrame) -> DataFrame:
 
 
 PAGES = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-
-
-def page_row(head: dict[str, str], block: bytes) -> dict:
-    page = int(head["X-Page-Id"]) if "X-Page-Id" in head else None
-    payload = block[block.index(b"\r\n\r\n") + 4 :]
-    if head["WARC-Type"] == "revisit":
-        size, digest, to = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Refers-To-Page"])
-    else:
-        size, digest, to = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), None
-        if f"sha1:{digest}" != head["WARC-Payload-Digest"]:
-            raise ValueError(f"payload of page {page} differs from its digest")
-    return {"page_id": page, "payload_bytes": size, "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": to}

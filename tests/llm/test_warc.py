@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 import zlib
 
 import pytest
@@ -57,3 +58,16 @@ def test_broken_streams_are_refused():
         list(warc.rewrite(iter([warc.page_record(1, "u", b"abc", "D", None)[:-2]]), []))
     with pytest.raises(ValueError, match="no WARC"):
         list(warc.rewrite(iter([b"HTTP/1.1 200\r\n\r\n"]), []))
+
+
+def test_inflation_is_bounded():
+    for parts in ([b"a" * 20_000_000], [b"x", b"", b"y" * 5_000_000], [random.Random(1).randbytes(3_000_000), b"z" * 1_500_000], [b"a" * warc.CHUNK], [b""]):
+        chunks = list(warc.inflate(io.BytesIO(b"".join(map(gzip.compress, parts)))))
+        assert b"".join(chunks) == b"".join(parts) and max(map(len, chunks)) <= warc.CHUNK
+
+
+def test_a_long_page(spark):
+    pages = spark.createDataFrame([(1, "u", "a" * 5_000_000 + "\r\n\r\n"), (2, "u", "\r\n\r\n" * 3)], "page_id long, url string, html string")
+    got = warc.read(warc.normalise(warc.write_monolithic(pages))).orderBy("page_id").collect()
+    want = [("a" * 5_000_000 + "\r\n\r\n").encode(), b"\r\n\r\n" * 3]
+    assert [(r.payload_bytes, r.payload_digest) for r in got] == [(len(w), base64.b32encode(hashlib.sha1(w).digest()).decode()) for w in want]
