@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
+from .decontam import key
 
 SCOPE, MASK = 200, "[secret]"
 _SET = r"""["']?\x20*[:=]\x20*["']?"""
@@ -34,27 +35,44 @@ NEEDS = {"secret": ["ident"], "ident": ["secret"], "endpoint": ["ident", "secret
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, merge) -> Column:
+    """Of an array of ints, merge() of each element and those before it. Blocks of about the root of its length keep the copies
+    that appending makes short."""
+    scan = lambda xs, first: F.aggregate(xs, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: let(merge(acc["at"], x), lambda y: F.struct(y.alias("at"), F.concat(acc["out"], F.array(y)).alias("out"))), lambda acc: acc["out"])
+
+    def blocks(xs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / size).cast("int") - 1), lambda i: F.slice(xs, i * size + 1, size))
+        return let(cut, lambda c: F.flatten(F.zip_with(c, bases(c), scan)))
+
+    def bases(c: Column) -> Column:
+        whole = F.transform(c, lambda xs: F.aggregate(xs, F.lit(0), merge))
+        return F.concat(F.array(F.lit(0)), scan(F.slice(whole, F.lit(1), F.size(c) - 1), F.lit(0)))
+
+    return let(values, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(blocks(xs)))
+
+
 def spans_of(text: Column, low: Column, kind: str) -> Column:
     """Leftmost non-overlapping matches of a kind: lengths between and of the matches add up to their positions."""
     pattern, long_value, words, _, _ = KINDS[kind]
-    between = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
-    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s: F.length(s))
-    value = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda s: F.length(s))
-    sizes = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("size"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        span = F.array(F.struct(begin.alias("start"), F.lit(ORDER[kind]).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"))).cast(SPAN)
-        kept = F.when(x["value"] >= 12, F.concat(acc["out"], span)).otherwise(acc["out"]) if long_value else F.concat(acc["out"], span)
-        return F.struct(end.alias("at"), kept.alias("out"))
-
-    found = F.aggregate(sizes, start, step, lambda acc: acc["out"])
-    hit = text.rlike(pattern)
-    if words:
-        hit = reduce(Column.__or__, [low.contains(w) for w in words]) & hit
-    return F.when(hit, found).otherwise(F.array().cast(SPAN))
+    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
+    group = lambda m: F.length(F.regexp_extract(m, pattern, 1)) if long_value else F.lit(12)
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(F.length(m).alias("size"), group(m).alias("value")))
+
+    def spans(found: Column) -> Column:
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: g + m["size"])
+        span = lambda end, m: F.struct((end - m["size"]).alias("start"), F.lit(ORDER[kind]).alias("kind_no"), end.alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value"))
+        kept = F.filter(F.zip_with(running(steps, lambda x, y: x + y), found, span), lambda s: s["value"] >= 12)
+        return F.transform(kept, lambda s: s.dropFields("value")).cast(SPAN)
+
+    none = F.array().cast(SPAN)
+    hit = reduce(Column.__or__, [low.contains(w) for w in words]) if words else F.lit(True)
+    return F.when(hit, let(matches, lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(none))).otherwise(none)
 
 
 def parts(docs: DataFrame) -> DataFrame:
@@ -63,13 +81,7 @@ def parts(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *key(docs), F.lower(text).alias("low"))
     found = {k: spans_of(F.col("text"), F.col("low"), k) for k in KINDS}
     pick = lambda strong: F.array_sort(F.concat(*[c for k, c in found.items() if KINDS[k][4] == strong]))
-    rows = base.select("doc_id", "k1", "k2", pick(True).alias("strong"), pick(False).alias("weak"))
-    # a weak span that begins with a strong one is that one
-    return rows.withColumn("weak", F.filter("weak", lambda w: ~F.exists("strong", lambda s: s["start"] == w["start"])))
-
-
-def key(docs: DataFrame) -> tuple[Column, Column]:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("k2")
+    return base.select("doc_id", "k1", "k2", pick(True).alias("strong"), pick(False).alias("weak"))
 
 
 def linked(found: DataFrame, scope: int) -> DataFrame:
@@ -80,7 +92,10 @@ def linked(found: DataFrame, scope: int) -> DataFrame:
         .select("k1", "k2", "span", kinds[F.col("span.kind")].alias("class"), F.floor(F.col("span.start") / scope).alias("bucket"))
     )
     edges = part.groupBy("k1", "k2", "bucket", "class").agg(F.min("span.start").alias("first"), F.max("span.start").alias("last"))
-    weak = part.filter(F.col("span.kind_no") >= ORDER["ident"]).distinct()
+    # a weak span that begins with a strong one is that one
+    own = F.array_sort(F.collect_set("span"))
+    begun = part.groupBy("k1", "k2", "bucket", "span.start").agg(F.min("span.kind_no").alias("least"), own.alias("own")).filter(F.col("least") >= ORDER["ident"])
+    weak = begun.select("k1", "k2", "bucket", F.explode("own").alias("span")).withColumn("class", kinds[F.col("span.kind")])
     near = weak.select("k1", "k2", "span", "class", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     at = F.col("span.start")
     met = near.join(edges.withColumnRenamed("class", "other"), ["k1", "k2", "bucket"]).filter((F.col("last") >= at - scope) & (F.col("first") <= at + scope) & (F.col("other") != F.col("class")))
@@ -107,20 +122,29 @@ def report(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text_of(F.col("strong")), 256).alias("base_sha256"), text_of(F.col("spans")).alias("spans"))
 
 
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with each of its sorted spans as `mask`, overlapping ones together. What lies between them is put together from pieces
+    of the text, as to count characters from the front takes as long as the text is."""
+    size = 4096
+    furthest = running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    before = lambda f: F.concat(F.array(F.lit(0)), f)
+
+    def between(pieces: Column) -> Column:
+        gap = lambda a, b: F.array_join(F.transform(F.sequence(F.floor(a / size), F.floor((b - 1) / size)), lambda k: F.get(pieces, k.cast("int")).substr((F.greatest(a - k * size, F.lit(0)) + 1).cast("int"), (b - F.greatest(a, k * size)).cast("int"))), "")
+        # a gap before each span that begins behind all earlier ones, and one behind the last
+        cuts = let(furthest, lambda f: F.zip_with(before(f), F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+        return F.array_join(F.transform(F.filter(cuts, lambda c: c["a"] <= c["b"]), lambda c: F.when(c["a"] == c["b"], F.lit("")).otherwise(gap(c["a"], c["b"]))), mask)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), between)
+
+
 def redact(docs: DataFrame, scope: int = SCOPE, mask: str = MASK) -> DataFrame:
     """`docs` with every span of its text replaced by `mask` (overlapping ones by one) and n_chars, if there, counted anew."""
     marked = saved(scan(docs, scope).filter(F.size("spans") > 0).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans")).dropDuplicates(["_k1", "_k2"]), "secret-spans")
     columns = docs.columns
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     joined = docs.withColumns(dict(zip(("_k1", "_k2"), key(docs), strict=True))).join(marked, ["_k1", "_k2"], "left")
     clean = F.col("_spans").isNull()
-    out = joined.withColumn("text", F.when(clean, F.col("text")).otherwise(F.aggregate(F.col("_spans"), begin, step, rest)))
+    out = joined.withColumn("text", F.when(clean, F.col("text")).otherwise(masked(F.col("text"), F.col("_spans"), mask)))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*columns)
