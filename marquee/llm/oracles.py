@@ -44,5 +44,13 @@ size AS (SELECT DISTINCT len(string_split(g, ' ')) AS n FROM win),
 place AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS k, w FROM d, size WHERE len(w) >= n),
 hit AS (SELECT DISTINCT doc_id, k, n, item_id FROM (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM place) JOIN win USING (g)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
-own AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hit GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id)"""
+own AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hit GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS p FROM d), df AS (SELECT t, count(*) AS df FROM word GROUP BY t),
+part AS (SELECT g, len(string_split(g, ' ')) AS n, unnest(string_split(g, ' ')) AS t, unnest(range(0, len(string_split(g, ' ')))) AS o FROM (SELECT DISTINCT g FROM win)),
+rare AS (SELECT g, t, o FROM part LEFT JOIN df USING (t) QUALIFY row_number() OVER (PARTITION BY g ORDER BY coalesce(df, 0), o) = 1),
+cand AS (SELECT DISTINCT g, doc_id, p - o AS k FROM rare JOIN word USING (t)),
+close AS (SELECT c.g, c.doc_id, count(DISTINCT part.o) AS met, count(DISTINCT part.o) FILTER (p = c.k + part.o) AS there, any_value(n) AS n
+  FROM cand c JOIN part ON part.g = c.g JOIN word ON word.doc_id = c.doc_id AND word.t = part.t AND abs(p - c.k - part.o) <= 2 GROUP BY c.g, c.doc_id, c.k HAVING met = any_value(n)),
+near AS (SELECT doc_id, count(*) AS n_near FROM (SELECT g, doc_id FROM close GROUP BY g, doc_id HAVING max(there) < any_value(n)) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)"""

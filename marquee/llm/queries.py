@@ -61,7 +61,7 @@ def op9_hyperplane_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return decontam.digest(decontam.report(docs, items))
+    return decontam.digest(decontam.report(docs, items, slop=decontam.SLOP))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op4_hidden_markov_lm, op5_warc_normaliser, op6_signature_tree_join, op7_zstd_language, op8_multipart_secrets, op9_hyperplane_neardup, op10_positional_index)}
