@@ -23,6 +23,7 @@ Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, n_parts, saved
+from .common import ODD, components, low_words, mix, n_parts, run_hashes, running_base, saved, text_slices
 from .decontam import key
 
 WORDS, PERCENT = 5, 75
@@ -40,108 +41,75 @@ BLOCK_SETS, BLOCK_TOKENS, LEAF, FAN = 256, 400_000, 8, 8
 BITS = 1 << 16
 #: Share of the hash range whose tokens are counted; sets of a token beyond which all counts are alike.
 SAMPLED, MANY = 0.4, 50_000
+#: Classes that a task remembers, to send one of equal sets.
+REMEMBERED = 500_000
 #: Rows up to which a saved table is sent to all executors.
 BROADCAST_ROWS = 500_000
 
-_RNG = np.random.default_rng(20)
-_BYTE = _RNG.integers(0, 1 << 64, (64, 256), dtype=np.uint64)
-_ODD = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all documents' words, words of each document)."""
-    u = np.frombuffer(b"\n".join(docs) + b"\n", np.uint8)
-    inside = (u != 32) & ((u < 9) | (u > 13))
-    edge = np.diff(np.concatenate([[0], inside.view(np.int8)]))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    size = ends - starts
-    if not len(size):
-        return np.zeros(0, np.uint64), np.zeros(len(docs), np.int64)
-    first = np.cumsum(size) - size
-    off = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
-    value = _BYTE[off & 63, u[inside]]
-    far = np.flatnonzero(off > 63)
-    value[far] *= mix((off[far] >> 6).astype(np.uint64)) | np.uint64(1)
-    begin = np.cumsum([0, *[len(d) + 1 for d in docs]])
-    return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _ODD[63]), np.diff(np.searchsorted(starts, begin))
-
-
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    h, n = word_hashes([(t or "").encode().lower() for t in texts])
-    if len(h) >= words:
-        grams = np.zeros(len(h) - words + 1, np.uint64)
-        for j in range(words):
-            grams += h[j : len(h) - words + 1 + j] * _ODD[j]
-        grams = mix(grams)
-    out, at = [], 0
-    for k in n.tolist():
-        if k >= words:
-            out.append(np.unique(grams[at : at + k - words + 1]))
-        elif k:
-            out.append(mix((h[at : at + k] * _ODD[:k]).sum(keepdims=True) + _ODD[62 - k : 63 - k]))
-        else:
-            out.append(np.zeros(0, np.uint64))
-        at += k
-    return out
+
+def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    """(rows, sorted distinct shingle hashes of each of them)."""
+    for rows, u, begin in text_slices(column):
+        low, starts, size, n = low_words(u, begin)
+        h = run_hashes(low, starts, size)
+        if len(h) >= words:
+            grams = np.zeros(len(h) - words + 1, np.uint64)
+            for j in range(words):
+                grams += h[j : len(h) - words + 1 + j] * ODD[j]
+            grams = mix(grams)
+        out, at = [], 0
+        for k in n.tolist():
+            if k >= words:
+                out.append(np.unique(grams[at : at + k - words + 1]))
+            elif k:
+                out.append(mix((h[at : at + k] * ODD[:k]).sum(keepdims=True) + ODD[62 - k : 63 - k]))
+            else:
+                out.append(np.zeros(0, np.uint64))
+            at += k
+        yield rows, out
 
 
 def class_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def batches_of(texts: list, most: int = 2_000_000) -> Iterator[slice]:
-    """Slices of about `most` characters."""
-    lo = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= most:
-            yield slice(lo, i + 1)
-            lo, held = i + 1, 0
-    if lo < len(texts):
-        yield slice(lo, len(texts))
-
-
 def needed(n: int, percent: int) -> int:
     """The least overlap of a set of n tokens with a set that it links to."""
     return -(-percent * n // 100)
 
 
 def classes(docs: DataFrame, words: int) -> DataFrame:
-    """Saved (doc_id, k2, n, cls): a set's size and class for each document; k2 is kept from docs."""
+    """Saved (doc_id, k1, k2, n, cls): a set's size and class for each document; k1 and k2 are kept from docs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for s in batches_of(texts):
-                sets = shingle_sets(texts[s], words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[s], batch.column("k2")[s], pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64())], ["doc_id", "k2", "n", "cls"])
+            for s, sets in shingle_sets(batch.column("text"), words):
+                yield pa.RecordBatch.from_arrays([*[batch.column(c)[s] for c in ("doc_id", "k1", "k2")], pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64())], ["doc_id", "k1", "k2", "n", "cls"])
 
-    return saved(docs.mapInArrow(rows, "doc_id long, k2 long, n long, cls long"), "classes")
+    return saved(docs.mapInArrow(rows, "doc_id long, k1 long, k2 long, n long, cls long"), "classes")
 
 
 def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(token, cls, n, sent): the tokens of every set in the sampled range, filled up beyond it to the length of the prefix;
-    sent is how many the set has here."""
+    sent is how many the set has here. Of equal sets a task sends one, if they are among the last `REMEMBERED` or so that it met."""
     limit = np.uint64(int(SAMPLED * (1 << 64)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for s in batches_of(texts):
-                own = [(h, h[: max(int(np.searchsorted(h, limit)), len(h) - needed(len(h), percent) + 1)]) for h in shingle_sets(texts[s], words) if len(h)]
+            for _, sets in shingle_sets(batch.column("text"), words):
+                seen = set() if len(seen) > REMEMBERED else seen
+                own = []
+                for h in sets:
+                    if len(h) and (cls := class_of(h)) not in seen:
+                        seen.add(cls)
+                        own.append((cls, len(h), h[: max(int(np.searchsorted(h, limit)), len(h) - needed(len(h), percent) + 1)]))
                 if own:
-                    each = [len(x) for _, x in own]
+                    each = [len(x) for _, _, x in own]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.concatenate([x for _, x in own]).view(np.int64)), pa.array(np.repeat(np.array([class_of(h) for h, _ in own], np.int64), each)),
-                            pa.array(np.repeat(np.array([len(h) for h, _ in own], np.int32), each)), pa.array(np.repeat(np.array(each, np.int32), each)),
+                            pa.array(np.concatenate([x for _, _, x in own]).view(np.int64)), pa.array(np.repeat(np.array([c for c, _, _ in own], np.int64), each)),
+                            pa.array(np.repeat(np.array([n for _, n, _ in own], np.int32), each)), pa.array(np.repeat(np.array(each, np.int32), each)),
                         ],
                         ["token", "cls", "n", "sent"],
                     )
@@ -209,19 +177,25 @@ def prefixes(found: DataFrame, percent: int) -> DataFrame:
 
 
 def ties(prefix: DataFrame, percent: int) -> DataFrame:
-    """Saved distinct (a, b) of neighbours along each posting list whose sizes fit. Lists are streamed, not held."""
+    """Saved distinct (a, b) of neighbours along each posting list whose sizes fit. Lists are streamed, and a long one is dealt over
+    several partitions; the rows on both sides of a cut between partitions reach the driver, two a partition."""
+    spark = prefix.sparkSession
+    lists = saved(prefix.repartitionByRange(n_parts(spark), "token", "n", "cls").sortWithinPartitions("token", "n", "cls").withColumn("pid", F.spark_partition_id()), "lists")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[np.ndarray] | None = None
         for batch in batches:
             now = [c.to_numpy() for c in batch.columns]
-            t, c, n = now if last is None else [np.concatenate([x, y]) for x, y in zip(last, now, strict=True)]
-            last = [x[-1:] for x in (t, c, n)]
-            tied = (t[1:] == t[:-1]) & (c[1:] != c[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+            t, c, n, pid = now if last is None else [np.concatenate([x, y]) for x, y in zip(last, now, strict=True)]
+            last = [x[-1:] for x in (t, c, n, pid)]
+            tied = (pid[1:] == pid[:-1]) & (t[1:] == t[:-1]) & (c[1:] != c[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[1:], c[:-1])[tied]), pa.array(np.maximum(c[1:], c[:-1])[tied])], ["a", "b"])
 
-    lists = prefix.repartition(n_parts(prefix.sparkSession), "token").sortWithinPartitions("token", "n", "cls")
-    return saved(lists.mapInArrow(rows, "a long, b long").distinct(), "ties")
+    row = F.struct("token", "n", "cls")
+    cuts = [r for r in lists.groupBy("pid").agg(F.min(row).alias("first"), F.max(row).alias("last")).orderBy("pid").collect()]
+    over = [(*sorted((x["last"].cls, y["first"].cls)),) for x, y in itertools.pairwise(cuts) if x["last"].token == y["first"].token and x["last"].cls != y["first"].cls and 100 * x["last"].n >= percent * y["first"].n]
+    inside = lists.repartitionById(n_parts(spark), F.col("pid")).sortWithinPartitions("pid", "token", "n", "cls").mapInArrow(rows, "a long, b long")
+    return saved(inside.union(spark.createDataFrame(over, "a long, b long")).distinct(), "ties")
 
 
 def checked(df: DataFrame) -> DataFrame:
@@ -229,23 +203,27 @@ def checked(df: DataFrame) -> DataFrame:
 
 
 def tied_sets(docs: DataFrame, found: DataFrame, groups: DataFrame, words: int) -> DataFrame:
-    """Saved (grp, cls, n, low, tokens) of one document of each tied class, computed again from its text."""
-    one = found.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    wanted = saved(groups.withColumnRenamed("component", "grp").join(one, groups.node == one.cls).select("doc_id", "cls", "grp"), "tied")
-    own = checked(wanted).withColumnRenamed("doc_id", "own")
-    texts = docs.join(own, F.col("doc_id").eqNullSafe(F.col("own"))).select("cls", "grp", "text")
+    """Saved (grp, cls, low, tokens) of one document of each tied class, computed again from its text. The document is named by its id
+    and its text's hash; of equal rows a task computes one."""
+    one = found.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("k1", "k2")).alias("doc"))
+    wanted = saved(groups.withColumnRenamed("component", "grp").join(one, groups.node == one.cls).select(F.col("doc.k1").alias("k1"), F.col("doc.k2").alias("k2"), "cls", "grp"), "tied")
+    texts = docs.join(checked(wanted), ["k1", "k2"]).select("cls", "grp", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            texts, cls, grp = (batch.column(c).to_pylist() for c in ("text", "cls", "grp"))
-            for s in batches_of(texts):
-                got = [(g, c, h) for g, c, h in zip(grp[s], cls[s], shingle_sets(texts[s], words), strict=True) if len(h) and class_of(h) == c]
+            seen = set() if len(seen) > REMEMBERED else seen
+            new = []
+            for i, c in enumerate(batch.column("cls").to_pylist()):
+                if c not in seen:
+                    seen.add(c)
+                    new.append(i)
+            few = batch.take(pa.array(new, pa.int64()))
+            for s, sets in shingle_sets(few.column("text"), words):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([int(x[2][0] >> np.uint64(1)) for x in got], pa.int64()), pa.array([x[2].tobytes() for x in got], pa.binary())],
-                    ["grp", "cls", "low", "tokens"],
+                    [few.column("grp")[s], few.column("cls")[s], pa.array([int(h[0] >> np.uint64(1)) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["grp", "cls", "low", "tokens"]
                 )
 
-    # rows of one doc_id and one text give the same class twice
     return saved(texts.mapInArrow(rows, "grp long, cls long, low long, tokens binary"), "tied-sets")
 
 
@@ -384,13 +362,15 @@ BLOCK = pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("members", pa.li
 def block_pairs(blocks: DataFrame, percent: int, fan: int = FAN) -> DataFrame:
     """Saved (x, y) of different blocks of a group that may hold a link: from the top of each group's tree, node pairs are
     expanded to their children and pruned, level by level."""
-    many = blocks.groupBy("grp").count().filter("count > 1")
-    most = many.agg(F.max("count")).first()[0] or 0
-    if not most:
+    most = blocks.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    if most < 2:
         return blocks.select(F.col("block").alias("x"), F.col("block").alias("y")).limit(0)
-    # leaves are numbered in their group on the keys alone; a node's parent has its number over `fan`
-    place = F.row_number().over(W.partitionBy("grp").orderBy("block")) - 1
-    leaves = saved(blocks.select("grp", "block").join(many.select("grp"), "grp", "left_semi").withColumn("node", place.cast("long")), "leaves")
+    # leaves are numbered along their partitions, and by what lies before their group's first one; a node's parent has its number over `fan`
+    pid = F.shiftright("block", 32).cast("int").alias("pid")
+    before = running_base(blocks.groupBy(pid).count(), "pid", "count")
+    placed = blocks.select("grp", "block", pid).join(before, "pid").select("grp", "block", (F.col("_base") + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))).alias("place"))
+    first = placed.groupBy("grp").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    leaves = saved(placed.join(first, "grp").select("grp", "block", (F.col("place") - F.col("first")).alias("node")), "leaves")
     nodes = [saved(leaves.join(blocks.select("block", "least", "most", "hidden", "bits"), "block").drop("block").withColumn("up", F.floor(F.col("node") / fan)), "nodes")]
     while most > 1:
         up = nodes[-1].groupBy("grp", F.col("up").alias("node")).agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("hidden").alias("hidden"), F.collect_list("bits").alias("all"))
@@ -439,7 +419,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets
     """(members, links): members has (doc_id, k2, n_shingles, cls, grp, component_id) for each document, k2 being the text's part of
     decontam.key and grp the number of its component, null where it is alone; links has pairs of classes that link and span the
     components of all links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key(docs)[1])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *key(docs))
     spark = docs.sparkSession
     found = classes(docs, words)
     lists = postings(docs, words, percent).repartition(n_parts(spark), "token").sortWithinPartitions("token", "cls")
