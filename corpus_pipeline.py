@@ -16,9 +16,9 @@ from marquee.llm.queries import tokenizer
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Predict each text's language by compression and drop what is rejected; lang becomes the predicted one."""
     model = langid.fit(docs, langid.fold() != 2)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    told = langid.predict(docs.select(row, "text"), model).filter("not rejected")
-    return told.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # none of them is named like an answer; each text is sent once
+    told = langid.predict(docs.toDF(*names), model).filter("not rejected")
+    return told.select(*[F.col("lang_pred" if c == "lang" else n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the texts into sequences along the Hilbert curve: a row for each piece. Fewer words are remembered than by the operator's own
-    query, as a worker may still hold memory of the stages before."""
-    return packing.pieces(packing.pack(docs, tokenizer("word_bpe_49k.json"), words_kept=150_000))
+    """Pack the texts into sequences along the Hilbert curve: a row for each piece."""
+    return packing.pieces(packing.pack(docs, tokenizer("word_bpe_49k.json")))
 
 
 STAGES = [
