@@ -74,39 +74,6 @@ def fit(docs: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS, sample_c
     least = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("rank") <= sample_docs).select("lang", "order", "rank").collect()
     wanted = docs.sparkSession.createDataFrame(least, "lang string, `order` long, rank int")
     ranked = known.join(F.broadcast(wanted), ["lang", "order"]).groupBy("lang", "rank").agg(F.min("cut").alias("cut"))
-    samples: dict[str, bytes] = field(default_factory=dict)
-
-    def sizes(self):
-        """A function text -> compressed size under each language, in order of language."""
-        import zstandard as zstd
-
-        coders = []
-        for lang in sorted(self.samples):
-            content = zstd.ZstdCompressionDict(self.samples[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            coders.append(zstd.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-
-        def total(text: str) -> list[int]:
-            text = normal(text)
-            chunks = [text[lo : lo + CHUNK_CHARS].encode() for lo in range(0, len(text), CHUNK_CHARS)]
-            return [sum(len(coder(c)) for c in chunks) for coder in coders]
-
-        return total
-
-
-def fit(docs: DataFrame, train: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Learn from text and lang of the rows for which `train` holds and both are there."""
-    order = F.xxhash64("text")
-    room = F.greatest(F.length("text") - sample_chars + 1, F.lit(1))
-    cut = F.col("text").substr((F.pmod(order, room) + 1).cast("int"), F.lit(sample_chars))
-    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", order.alias("order"), cut.alias("cut"))
-    # the least `sample_docs` of each language and of `lots` lots of hashes; the lots share a language of very many texts among tasks, and
-    # equal texts are one group, combined before the shuffle
-    lots = 64
-    texts = known.groupBy("lang", "order").agg(F.min("cut").alias("cut"))
-    lot = F.pmod(F.shiftright("order", 7), F.lit(lots)).alias("lot")
-    few = texts.withColumn("lot", lot).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "lot").orderBy("order"))).filter(F.col("rank") <= sample_docs)
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).filter(F.col("rank") <= sample_docs)
     samples: dict[str, list] = {}
     for r in ranked.collect():
         samples.setdefault(r["lang"], []).append((r["rank"], r["cut"]))
