@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Marks that all count as one dash, and the range of katakana that has hiragana 0x60 below.
-DASHES = "‐‑‒–—―−ーｰ－"
+DASHES = "ー‐‑‒–—―−－" + "ｰ"  # the last one is added: half-width, which becomes the first one in the compatibility form
 KATAKANA = range(0x30A1, 0x30F7)
-#: Characters that the identity norm drops.
+# Fixed value: characters that the identity norm drops.
 DROPPED = r"""[\s　\-‐‑–—―ー~〜:：;；,，.．/／\\|｜'"“”‘’`（）()\[\]「」『』【】〈〉《》〔〕!！?？*＊+＋=＝&＆#＃@＠…·・]+"""
 #: What the native fold covers: ASCII, Latin letters with accents, kana, ideographs, full-width ASCII.
 COVERED = "^[\\x00-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff\\u3041-\\u3094\\u30a1-\\u30fa\\u30fc\\u3000\\uff01-\\uff5e\\u4e00-\\u9fff]*$"
@@ -88,10 +88,18 @@ def has_all_terms(folded: str, query: str) -> Column:
     return out
 
 
-def haystack(tab_label: Column | None = None) -> Column:
-    """What free text is searched in: title, places, labels."""
-    parts = [F.col("title"), F.array_join("venues", " "), F.col("area"), F.array_join("cats", " ")]
-    return F.concat_ws(" ", *parts, *([tab_label] if tab_label is not None else []))
+#: What free text is searched in, of the columns that rows have; arrays are joined.
+SEARCHED = ("title", "kana", "venue", "area", "desc", "note", "venues", "artists")
+
+
+def haystack(rows: DataFrame | None = None, labels: list[Column] | None = None) -> Column:
+    """The text that free text is searched in. With `rows`, every column of SEARCHED that they have, then the texts of `labels` (arrays);
+    without, the columns of the listing table."""
+    if rows is None:
+        return F.concat_ws(" ", F.col("title"), F.array_join("venues", " "), F.col("area"), F.array_join("cats", " "))
+    kinds = dict(rows.dtypes)
+    part = lambda c: F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c)
+    return F.concat_ws(" ", *[F.nullif(part(c), F.lit("")) for c in SEARCHED if c in kinds], *[F.nullif(F.array_join(x, " "), F.lit("")) for x in labels or []])
 
 
 def norm(c: Column) -> Column:
@@ -124,9 +132,10 @@ def plain_any(c: Column, casefold: bool = False) -> Column:
 
 
 def content_uid(*parts: Column) -> Column:
-    """A short hash of the non-empty parts: h = 33 h + code modulo 2^32 from 5381, in base 36."""
+    """A short hash of the non-empty parts: h = 33 h + code modulo 2^32 from 5381, in base 36. Codes are UTF-16 units."""
     whole = F.concat_ws("|", *[F.nullif(p.cast("string"), F.lit("")) for p in parts])
-    codes = F.transform(F.filter(F.split(whole, ""), lambda ch: ch != ""), lambda ch: F.ascii(ch).cast("bigint"))
+    far = lambda c: F.array(F.lit(0xD800) + F.shiftright(c - 0x10000, 10), F.lit(0xDC00) + (c - 0x10000) % 1024)
+    codes = F.flatten(F.transform(F.filter(F.split(whole, ""), lambda ch: ch != ""), lambda ch: F.when(F.ascii(ch) > 0xFFFF, far(F.ascii(ch).cast("bigint"))).otherwise(F.array(F.ascii(ch).cast("bigint")))))
     return F.lower(F.conv(F.aggregate(codes, F.lit(5381).cast("bigint"), lambda h, ch: (h * 33 + ch) % (1 << 32)).cast("string"), 10, 36))
 
 
@@ -134,6 +143,14 @@ def natural_key(title: Column, venues: Column, start: Column) -> Column:
     return F.array(norm(title), F.coalesce(norm(F.get(venues, F.lit(0))), F.lit("")), F.coalesce(start.cast("string"), F.lit("")))
 
 
+def film_key(title: Column, released: Column, kind: Column, theatre: Column) -> Column:
+    """A film's natural key: title, day, way of screening, and the first theatre (of a list cut by `|`) but for new films, whose
+    theatres come and go."""
+    kind = F.trim(F.coalesce(kind, F.lit("")))
+    place = F.when(kind.startswith("new"), F.lit("")).otherwise(F.trim(F.split_part(F.coalesce(theatre, F.lit("")), F.lit("|"), F.lit(1))))
+    return F.array(F.coalesce(norm(title), F.lit("")), F.coalesce(norm(released.cast("string")), F.lit("")), norm(kind), norm(place))
+
+
 def key_uid(key: Column, digits: int = 40) -> Column:
     """SHA-1 over the key's parts; show 8 digits, join on all."""
     return F.substring(F.sha1(F.array_join(key, "\x1f").cast("binary")), 1, digits)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import sale
@@ -12,7 +12,7 @@ from marquee.functions import sale
 # Bounds of the area covered, known ways of writing, and the catalogue's severities.
 LAT_RANGE, LNG_RANGE = (34.5, 37.5), (138.0, 141.5)
 DAY, HOUR, FLAG_DOMAIN = r"^\d{4}-\d{2}-\d{2}$", r"^\d{1,2}:\d{2}$", ["", "0", "1", "true", "false", "yes", "no"]
-MONTH_OR_SEASON = r"(\d{1,2}月|春|夏|秋|冬)"
+MONTH_OR_SEASON = r"\d{1,2}月|[春夏秋冬]"
 ERROR, WARNING = "E", "W"
 
 
@@ -69,7 +69,8 @@ def raw_rules(columns: list[str], statuses: list[str] = (), prefs: list[str] = (
         if has({"date", "dates"}):
             add("K20", WARNING, "date", text("date").rlike(MONTH_OR_SEASON) & _blank("start_date") & _blank("end_date") & _blank("dates"))
         if has({"status"}):
-            add("K23", WARNING, "status", ~_blank("status") & (~_blank("start_date") | ~_blank("end_date")))
+            stated = ~_blank("status") | ~_blank("rank") if has({"rank"}) else ~_blank("status")
+            add("K23", WARNING, "status", stated & (~_blank("start_date") | ~_blank("end_date")))
             add("K24", WARNING, "status", _blank("status") & _blank("start_date") & _blank("end_date"))
     for c in ("open_time", "start_time", "end_time"):
         add("K14", ERROR, c, ~_blank(c) & ~text(c).rlike(HOUR))
@@ -163,6 +164,28 @@ def header_violations(columns: list[str], wanted: list[str]) -> list[tuple[str,
     return [("missing", c) for c in wanted if c not in columns] + [("extra", c) for c in columns if c not in wanted]
 
 
+def file_violations(dataset: str, rows: DataFrame | None, wanted: list[str], spark: SparkSession) -> DataFrame:
+    """K1 to K3 in the violations' columns: a missing file (None), another header, no rows. Each stops the checks of what is inside."""
+    line = lambda rule, column, value: (dataset, None, rule, ERROR, column, value)
+    if rows is None:
+        found = [line("K1", None, None)]
+    elif wrong := header_violations(rows.columns, wanted):
+        found = [line("K2", c, kind) for kind, c in wrong]
+    else:
+        return rows.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(dataset).alias("dataset"), F.lit(None).cast("long").alias("row_no"), F.lit("K3").alias("rule"), F.lit(ERROR).alias("severity"), F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value"))
+    return spark.createDataFrame(found, "dataset string, row_no long, rule string, severity string, column string, value string")
+
+
+def active_rows(roster: DataFrame) -> DataFrame:
+    """(rows, active): a blank status counts as active."""
+    return roster.agg(F.count("*").alias("rows"), F.count_if(F.trim(F.coalesce(F.col("status").cast("string"), F.lit(""))).isin("", "active")).alias("active"))
+
+
+def inactive_roster(roster: DataFrame, dataset: str) -> DataFrame:
+    """K58: a roster that has rows but no active one."""
+    return active_rows(roster).filter("rows > 0 and active = 0").select(F.lit(dataset).alias("dataset"), F.lit(None).cast("long").alias("row_no"), F.lit("K58").alias("rule"), F.lit(ERROR).alias("severity"), F.lit("status").alias("column"), F.col("rows").cast("string").alias("value"))
+
+
 def gate(found: DataFrame, strict: bool = False) -> DataFrame:
     """(errors, warnings, publish): any error stops a publication, and in strict mode any warning."""
     n = found.agg(F.count_if(F.col("severity") == ERROR).alias("errors"), F.count_if(F.col("severity") == WARNING).alias("warnings"))

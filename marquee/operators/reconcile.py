@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import text
+from marquee.operators.search import placed
 
 # Least similarity of a reworded title, and that of one at the same place and date.
 LEAST, LEAST_SAME_PLACE = 0.82, 0.45
@@ -97,6 +98,32 @@ def unexplained(gone_rows: DataFrame, dispositions: DataFrame, renamed: DataFram
     return gone_rows.join(dispositions.select("uid"), "uid", "left_anti").join(renamed.select(F.col("prev_uid").alias("uid")), "uid", "left_anti")
 
 
+def summary(prev: DataFrame, cur: DataFrame, changes: DataFrame, dispositions: DataFrame, renamed: DataFrame) -> DataFrame:
+    """(previous, current, added, gone, changed, explained, unexplained) in one row; a changed uid counts once."""
+    side = lambda df, name: df.select("uid", F.lit(1).alias(name))
+    known = side(dispositions, "told").union(renamed.select(F.col("prev_uid").alias("uid"), F.lit(1).alias("told"))).distinct()
+    rows = side(prev, "p").join(side(cur, "c"), "uid", "full_outer").join(known, "uid", "left").join(side(changes, "x").distinct(), "uid", "left")
+    went = F.col("c").isNull()
+    return rows.agg(
+        F.count("p").alias("previous"), F.count("c").alias("current"), F.count_if(F.col("p").isNull()).alias("added"), F.count_if(went).alias("gone"), F.count("x").alias("changed"),
+        F.count_if(went & F.col("told").isNotNull()).alias("explained"), F.count_if(went & F.col("told").isNull()).alias("unexplained"),
+    )
+
+
+def gate(open_rows: DataFrame, allow: bool = False) -> DataFrame:
+    """K60 (unexplained, publish): a disappearance that nobody explained stops a publication, unless allowed."""
+    return open_rows.agg(F.count("*").alias("unexplained")).withColumn("publish", (F.col("unexplained") == 0) | F.lit(allow))
+
+
+def report(parts: dict[str, DataFrame]) -> DataFrame:
+    """The parts of a comparison as lines (part, uid, line), the latter in JSON: what the report's file holds."""
+    out = None
+    for name, df in parts.items():
+        line = df.select(F.lit(name).alias("part"), "uid", F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("line"))
+        out = line if out is None else out.union(line)
+    return out
+
+
 def disposition_rejects(log: DataFrame, known: DataFrame, codes: list[str]) -> DataFrame:
     """(uid, seq, reason) of records with an unknown uid or code, or renamed without saying to what."""
     marked = log.join(known.select("uid", F.lit(True).alias("met")), "uid", "left")
@@ -132,6 +159,31 @@ def carry_forward(batch: DataFrame, prev: DataFrame, places: DataFrame, always:
     return rows.withColumn("filled", F.array_compact(F.array(*marks))).withColumns(out).select(*batch.columns, "filled")
 
 
+def carry_misses(batch: DataFrame, prev: DataFrame) -> DataFrame:
+    """(uid, wanted) of rows that ask for columns (array `carry`) of a previous row that isn't there."""
+    asked = batch.filter(F.size(F.coalesce("carry", F.array().cast("array<string>"))) > 0).select("uid", F.coalesce("carry_from", "uid").alias("wanted"))
+    return asked.join(prev.select(F.col("uid").alias("wanted")), "wanted", "left_anti").select("uid", "wanted")
+
+
+def fill_statistics(filled: DataFrame) -> DataFrame:
+    """(kind, n): how many cells were filled always, on request and by place; one pass."""
+    kinds = ["always", "asked", "place"]
+    count = lambda kind: F.sum(F.size(F.filter("filled", lambda x: x.startswith(f"{kind}:"))))
+    sums = filled.agg(*[F.coalesce(count(k), F.lit(0)).alias(k) for k in kinds])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in kinds])))
+
+
+def unknown_columns(given: list[str], known: list[str]) -> list[str]:
+    """Columns of a batch that the set doesn't have: reported and left out."""
+    return [c for c in given if c not in known and not c.startswith("_")]
+
+
+def unknown_fields(batch: DataFrame, fields: str, known: list[str]) -> DataFrame:
+    """(field, n) of a batch whose rows are maps: fields that the set doesn't have, and in how many rows they are."""
+    odd = F.array_except(F.map_keys(fields), F.array(*map(F.lit, known)))
+    return batch.select(F.explode(F.filter(odd, lambda c: ~c.startswith("_"))).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+
+
 def carry_rejects(batch: DataFrame, never: list[str], known: list[str]) -> DataFrame:
     """(uid, column, reason) of requests to carry what must not be, or what doesn't exist. `*` asks for all that may."""
     each = batch.select("uid", F.explode(F.filter(F.transform(F.split("request", "[|]"), lambda x: F.trim(x)), lambda c: (c != "") & (c != "*"))).alias("column"))
@@ -139,20 +191,11 @@ def carry_rejects(batch: DataFrame, never: list[str], known: list[str]) -> DataF
     return each.withColumn("reason", reason).filter("reason is not null").distinct()
 
 
-def append_ids(existing: DataFrame, batch: DataFrame, order: str) -> DataFrame:
-    """A batch with new_id after the largest id there is, by `order`. Rows are numbered within range partitions, of which the
-    driver gets the sizes alone, so that no task numbers all rows."""
+def append_ids(existing: DataFrame, batch: DataFrame, order: str, save) -> DataFrame:
+    """A batch with new_id after the largest id there is, by `order` (unique). Rows are numbered within range partitions, of which the
+    driver gets the sizes alone, so that no task numbers all rows. `save` writes a table and reads it again."""
     last = existing.agg(F.max("id")).first()[0] or 0
-    cuts = batch.approxQuantile(order, [i / 16 for i in range(1, 16)], 0.01)
-    part = sum((F.when(F.col(order) > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
-    parts = batch.withColumn("_part", part)
-    sizes, base, at = parts.groupBy("_part").count().orderBy("_part").collect(), [], last
-    for r in sizes:
-        base += [F.lit(r["_part"]), F.lit(at)]
-        at += r["count"]
-    own = Window.partitionBy("_part").orderBy(order)
-    start = F.create_map(*base)[F.col("_part")] if base else F.lit(last)
-    return parts.withColumn("new_id", (start + F.row_number().over(own)).cast("long")).drop("_part")
+    return placed(batch, [F.col(order).asc()], save).withColumn("new_id", F.lit(last) + F.col("place")).drop("place")
 
 
 def previous_rows(prev: DataFrame, uids: DataFrame, names: DataFrame) -> DataFrame:

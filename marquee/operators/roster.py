@@ -13,6 +13,8 @@ from marquee.functions import text
 CANDIDATE_DAYS, ACTIVE_DAYS, PROMOTE_HITS = 60, 180, 2
 NEAR_DAYS, PRICE_DAYS = 21, 14
 MAX_LENGTH = {"name": 60, "area": 30, "note": 120, "kind": 20, "month_hint": 20, "venue": 60}
+URGENT = ["本日開催", "まもなく開催", "本日が最終上映", "まもなく公開"]
+ALL_YEAR = "通年予約可"
 SUSPICIOUS = r"(?i)(ignore\s+(all\s+)?previous|disregard\s+the|system\s*prompt|以下の指示|指示を無視|ルールを変更|必ず実行|あなたは)"
 CONTROL = r"[\x00-\x1f\x7f]"
 
@@ -42,10 +44,12 @@ def unknown_hits(roster: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def add(roster: DataFrame, batch: DataFrame, today: date) -> DataFrame:
-    """New candidates of a batch (name, seq, ...): known names are skipped, also inside the batch; the earliest row of a name counts."""
+    """New candidates of a batch (name, seq, ...): known names are skipped, also inside the batch; the earliest row of a name counts.
+    Rows whose url is no http(s) link are left out."""
     rest = [c for c in batch.columns if c not in ("seq",)]
     key = name_key(F.col("name"))
-    first = batch.filter(F.trim("name") != "").groupBy(key.alias("_key")).agg(F.min(F.struct("seq", *rest)).alias("x")).select("_key", "x.*").drop("seq")
+    link = F.trim(F.coalesce(F.col("url"), F.lit(""))) if "url" in batch.columns else F.lit("")
+    first = batch.filter((F.trim("name") != "") & ((link == "") | link.rlike(r"(?i)^https?://"))).groupBy(key.alias("_key")).agg(F.min(F.struct("seq", *rest)).alias("x")).select("_key", "x.*").drop("seq")
     new = first.join(roster.select(key.alias("_key")), "_key", "left_anti").drop("_key")
     return new.withColumns({"status": F.lit("candidate"), "first_seen": F.lit(today), "last_hit": F.lit(None).cast("date"), "hit_count": F.lit(0).cast("long")})
 
@@ -60,10 +64,15 @@ def change(roster: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def age(roster: DataFrame, today: date) -> DataFrame:
-    """Idle candidates are retired, idle active places become candidates; retired and undated ones stay."""
+    """Idle candidates are retired, idle active places (also those without a status) become candidates, which is added to the note;
+    retired and undated ones stay."""
     idle = F.datediff(F.lit(today), F.coalesce("last_hit", "first_seen"))
     aged = F.when((F.col("status") == "candidate") & (idle > CANDIDATE_DAYS), "retired").when((F.coalesce("status", F.lit("active")) == "active") & (idle > ACTIVE_DAYS), "candidate")
-    return roster.withColumn("idle", idle).withColumn("aged", aged).withColumn("status", F.coalesce("aged", "status"))
+    rows = roster.withColumn("idle", idle).withColumn("aged", aged)
+    if "note" in roster.columns:
+        said = F.concat(F.lit(f"（{today} 自動"), F.when(F.col("aged") == "retired", "整理").otherwise("降格"), F.lit(": "), F.col("idle").cast("string"), F.lit("日間ヒットなし）"))
+        rows = rows.withColumn("note", F.when(F.col("aged").isNotNull(), F.concat(F.coalesce("note", F.lit("")), said)).otherwise(F.col("note")))
+    return rows.withColumn("status", F.coalesce("aged", "status"))
 
 
 def open_places(roster: DataFrame, today: date, pref: str | None = None, kind: str | None = None) -> DataFrame:
@@ -84,26 +93,36 @@ def quarantine(rows: DataFrame, column: str, limit: int | None = None) -> DataFr
     return rows.withColumn("clean", clean).withColumn("reason", reason.when(F.length("clean") > most, "too long") if most else reason)
 
 
-def review(today: date, urgent: list[str] = ()) -> tuple[Column, Column]:
-    """(tier, reasons) of a listing row: A to be checked each time, B on the way, C seldom."""
+def review(today: date, columns: list[str] = ()) -> tuple[Column, Column]:
+    """(tier, reasons) of a listing row: A to be checked each time, B on the way, C seldom. `columns` names which of status, coupon_note
+    and discount_pct the rows have."""
     t = F.lit(today)
     soon = F.date_add(t, NEAR_DAYS)
     say = lambda cond, word, c=None: F.when(cond, F.concat(F.lit(word), c.cast("string")) if c is not None else F.lit(word))
-    priced = F.col("price_official").isNotNull() | F.col("price_best").isNotNull()
+    cell = lambda name: F.nullif(F.trim(F.col(name).cast("string")), F.lit("")) if name in columns else F.lit(None).cast("string")
+    status = cell("status")
+    priced = F.col("price_official").isNotNull() | F.col("price_best").isNotNull() | cell("discount_pct").isNotNull()
     reasons = F.array_compact(
         F.array(
-            say(F.col("end_date") <= soon, "end ", F.col("end_date")), say(F.col("start_date").between(t, soon), "start ", F.col("start_date")), say(F.col("onsale_end") <= soon, "deadline ", F.col("onsale_end")),
-            say(F.col("onsale_start") >= t, "on sale ", F.col("onsale_start")), say(F.col("onsale_label").isNotNull() & F.col("onsale_end").isNull(), "sale unclear"), say(F.col("is_additional"), "additional"),
+            say(status.isin(URGENT), "status ", status), say(F.col("end_date") <= soon, "end ", F.col("end_date")), say(F.col("start_date").between(t, soon), "start ", F.col("start_date")),
+            say(F.col("onsale_end") <= soon, "deadline ", F.col("onsale_end")), say(F.col("onsale_start") >= t, "on sale ", F.col("onsale_start")),
+            say(F.col("onsale_label").isNotNull() & F.col("onsale_end").isNull(), "sale unclear"), say(cell("coupon_note").isNotNull(), "coupon"), say(F.col("is_additional"), "additional"),
             say(priced & ~F.coalesce(F.datediff(t, "price_checked") <= PRICE_DAYS, F.lit(False)), "old price"),
         )
     )
-    tier = F.when(F.size(reasons) > 0, "A").when(F.col("start_date").isNull() & F.col("end_date").isNull(), "C").otherwise("B")
-    return tier, reasons
+    still = F.coalesce(status == ALL_YEAR, F.lit(False)) | (F.col("start_date").isNull() & F.col("end_date").isNull())
+    return F.when(F.size(reasons) > 0, "A").when(still, "C").otherwise("B"), reasons
 
 
-def worklist(rows: DataFrame, today: date) -> DataFrame:
-    """What a reviewer needs of each row, and no more."""
-    tier, reasons = review(today)
+def without_link(places: DataFrame) -> DataFrame:
+    """(places, unknown): how many places there are, and how many of them have no url."""
+    return places.agg(F.count("*").alias("places"), F.count_if(F.trim(F.coalesce("url", F.lit(""))) == "").alias("unknown"))
+
+
+def worklist(rows: DataFrame, today: date, tiers: list[str] = ()) -> DataFrame:
+    """What a reviewer needs of each row, and no more; of the given tiers alone, if any are."""
+    tier, reasons = review(today, rows.columns)
+    rows = rows.filter(tier.isin(list(tiers))) if tiers else rows
     short = lambda c: F.substring(F.col(c).cast("string"), 6, 5)
     return rows.select(
         text.key_uid(text.natural_key(F.col("title"), F.col("venues"), F.col("start_date")), 8).alias("uid"), "row_no", tier.alias("tier"), "pref", text.clip(F.col("title"), 24).alias("title"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import geo, schedule
-from marquee.plans.spec import FilterSpec, Search
+from marquee.plans.spec import FilterSpec, Flag, Search
 
 
 def facet_counts(rows: DataFrame, search: Search) -> DataFrame:
@@ -111,6 +111,16 @@ def first_of(values: Column, most: int) -> tuple[Column, Column]:
     return F.array_join(F.slice(values, 1, most), "・"), F.greatest(F.size(values) - most, F.lit(0))
 
 
+def in_live_circle(rows: DataFrame, search: Search, lat: float, lng: float, km: float) -> DataFrame:
+    """(n,): rows in a circle that is being drawn, under all conditions but those of place."""
+    return rows.agg(F.count_if(search.base() & F.coalesce(geo.within(lat, lng, km), F.lit(False))).alias("n"))
+
+
+def deals_flag() -> Flag:
+    """The switch for rows with a stated discount or a coupon."""
+    return Flag("dealsOnly", (F.coalesce(F.col("discount_pct"), F.lit(0)) != 0) | (F.coalesce(F.col("coupon_note"), F.lit("")) != ""))
+
+
 def deals(official: Column, best: Column, coupon: Column) -> Column:
     """A discount or a coupon is known."""
     return F.coalesce(official > best, F.lit(False)) | coupon.isNotNull()

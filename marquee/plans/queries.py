@@ -12,6 +12,7 @@ from marquee.functions import geo, sale, schedule, text
 from marquee.operators import places, quality, reconcile, roster, search
 from marquee.plans.spec import FilterSpec, Search, default_facets, default_flags, in_range
 from marquee.sources.adapter import LISTING_SQL, NOW, TODAY, listing, read
+from marquee.sources.scratch import saver
 from marquee.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,15 +269,6 @@ def sort_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLACED = lambda order: f" SELECT row_no, CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS place FROM ordered"
 
 
-def saver(spark: SparkSession):
-    """Writes a table and reads it again."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return lambda df: df.checkpoint()
-
-
 def all_placed(rows: DataFrame, order) -> DataFrame:
     return search.placed(rows, order, saver(rows.sparkSession)).select("row_no", "place")
 
@@ -528,7 +520,7 @@ def carry_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT row_no, (SELECT max(id) FROM listing WHERE id % 2 = 0) + row_number() OVER (ORDER BY row_no) AS new_id FROM listing WHERE id % 2 = 1")
 def append_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listing(spark, sf_dir).select("id", "row_no")
-    return reconcile.append_ids(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), "row_no").select("row_no", "new_id")
+    return reconcile.append_ids(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), "row_no", saver(spark)).select("row_no", "new_id")
 
 
 # --- rosters and review ---

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,49 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -
     return raw.select(*[F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string").alias(c) for c in columns]).na.drop("all")
 
 
+def load_set(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]], title: str = "title", untitled: str | None = None) -> DataFrame:
+    """A listing set's file, typed, with row_no from the file's order and `untitled` for blank titles. A file that is missing or has no
+    rows raises ValueError, as a set must not vanish unseen."""
+    try:
+        raw = read_csv(spark, path)
+    except AnalysisException as e:
+        raise ValueError(f"{path} can't be read") from e
+    if raw.isEmpty():
+        raise ValueError(f"{path} has no rows")
+    rows = typed(raw, columns).withColumn("row_no", F.monotonically_increasing_id())
+    return rows.withColumn(title, F.coalesce(title, F.lit(untitled))) if untitled is not None else rows
+
+
+MASTER = {"name": ("name", "txt"), "pref": ("pref", "txt"), "area": ("area", "txt"), "lat": ("lat", "num"), "lng": ("lng", "num"), "url": ("url", "txt")}
+# Fixed value: how a theatre without a name is called.
+NO_NAME = "(店舗名未設定)"
+
+
+def theatres(raw: DataFrame) -> DataFrame:
+    """The master of theatres; one without a name gets a default."""
+    return typed(raw, {"chain": ("chain", "txt"), **MASTER}).withColumn("name", F.coalesce("name", F.lit(NO_NAME)))
+
+
+def venues(raw: DataFrame) -> DataFrame:
+    """The master of venues; rows without a name are dropped."""
+    own = {k: v for k, v in MASTER.items() if k != "name"}
+    return typed(raw, {"venue": ("venue", "txt"), "kind": ("kind", "txt"), **own, "capacity": ("capacity", "int")}).filter(F.col("venue").isNotNull())
+
+
+def all_sets(sets: dict[str, DataFrame]) -> DataFrame:
+    """Several sets as one, each row with its `tab`; columns that a set lacks are null there."""
+    out = None
+    for tab, rows in sets.items():
+        own = rows.withColumn("tab", F.lit(tab))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def japan_date(instant: Column) -> Column:
+    """The calendar day in Japan of an instant."""
+    return F.to_date(F.from_utc_timestamp(F.to_utc_timestamp(instant, F.current_timezone()), "Asia/Tokyo"))
+
+
 def typed(raw: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
     """Apply a column map {output: (column, cast)}; casts are those of `marquee.functions.casts`. A missing column is null."""
 

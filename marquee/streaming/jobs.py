@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from marquee.operators import reconcile
+from marquee.sources.scratch import shared_root
 
 HIT = T.StructType([T.StructField("hit_id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("day", T.DateType()), T.StructField("seen_at", T.TimestampType())])
 
@@ -51,8 +51,7 @@ def rollover(rows: DataFrame, view: Callable[[DataFrame], DataFrame], out: str,
 
 def counted_stream(spark: SparkSession, source: str, schema: T.StructType, place: Column, seen_at: Column) -> DataFrame:
     """Run all files of `source` through a streaming count by place and give its last state, (place, n, last_day)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{root.rstrip('/')}/hits-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_root(spark)}/hits-{uuid.uuid4().hex[:12]}"
     rows = spark.readStream.schema(schema).parquet(source).select(place.alias("place"), F.to_date(seen_at).alias("day"))
     state = rows.groupBy("place").agg(F.count("*").alias("n"), F.max("day").alias("last_day"))
     keep = lambda df, number: df.write.mode("overwrite").parquet(f"{folder}/state/v={number}")

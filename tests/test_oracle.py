@@ -2,10 +2,12 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
 
+from marquee.plans import details  # noqa: F401
 from marquee.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +48,28 @@ def test_entry_module(spark):
 def test_whole_tables_have_a_query(duck, name):
     few, whole = (duck.sql(f"SELECT count(*) FROM ({plans.ORACLE[n]})").fetchall()[0][0] for n in (name, f"{name}_all"))
     assert few < whole and f"{name}_all" in plans.QUERIES
+
+
+def test_new_names_are_given_greedily(spark):
+    """The assignment and what it leaves open, against plain loops over the candidates."""
+    used: set[tuple[int, str]] = set()
+    want = []
+    for r in sorted(plans.renamed(spark, SF).select("score", "prev_uid", "uid").collect(), reverse=True):
+        if not {(0, r.prev_uid), (1, r.uid)} & used:
+            used |= {(0, r.prev_uid), (1, r.uid)}
+            want.append((r.prev_uid, r.uid))
+    got = [(r.prev_uid, r.uid) for r in plans.QUERIES["rename_assignment"](spark, SF).collect()]
+    assert sorted(got) == sorted(want) and want
+    left = {r.uid for r in plans.QUERIES["diff_open"](spark, SF).collect()} - {a for a, _ in want}
+    assert {r.uid for r in plans.QUERIES["diff_open_renamed"](spark, SF).collect()} == left
+
+
+def test_highlighted_texts_equal_plain_marks(spark):
+    for r in plans.QUERIES["highlight"](spark, SF).join(plans.read(spark, SF, "documents"), "doc_id").collect():
+        low = r.text.lower()
+        hit = [False] * len(low)
+        for term in ("the", "que"):
+            for m in re.finditer(term, low):
+                hit[m.start() : m.end()] = [True] * len(term)
+        marked = "".join("<mark>" * (h and not (i and hit[i - 1])) + c + "</mark>" * (h and not hit[i + 1 : i + 2] == [True]) for i, (c, h) in enumerate(zip(r.text, hit, strict=True)))
+        assert r.marked == marked
