@@ -41,8 +41,8 @@ def sign_codes(v: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (sides * (1 << np.arange(bits, dtype=np.int64))).sum(2).astype(np.int32)
 
 
-def hashed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
-    """A row for each class and table: (t, code, rep, n, v, codes), v and codes as bytes."""
+def coded(classes: DataFrame, schema: str, bits: int, tables: int, rows_of) -> DataFrame:
+    """For batches of classes (rep, n, v) of one length, the record batches that rows_of(reps, ns, vectors, codes) makes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,22 +53,40 @@ def hashed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                 for lo in range(0, len(own), 256):
                     some = own[lo : lo + 256]
                     v = np.array([x[2] for x in some])
-                    codes = sign_codes(v, bits, tables)
-                    raw = [x.astype(np.float32).tobytes() if (x == x.astype(np.float32)).all() else x.tobytes() for x in v]
-                    each = np.repeat(np.arange(len(some)), tables)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.tile(np.arange(tables, dtype=np.int32), len(some))), pa.array(codes.reshape(-1)), pa.array(np.full(len(each), v.shape[1], np.int32)),
-                            pa.array([some[i][0] for i in each], pa.int64()), pa.array([some[i][1] for i in each], pa.int64()), pa.array([raw[i] for i in each], pa.binary()),
-                            pa.array([codes[i].tobytes() for i in each], pa.binary()),
-                        ],
-                        ["t", "code", "dim", "rep", "n", "v", "codes"],
-                    )
-
-    return classes.mapInArrow(rows, "t int, code int, dim int, rep long, n long, v binary, codes binary")
-
-
-def compare(t: int, rows: list[tuple], a: int, b: int, dim: int, threshold: float) -> list[tuple[int, int, int]]:
+                    yield rows_of([x[0] for x in some], [x[1] for x in some], v, sign_codes(v, bits, tables))
+
+    return classes.mapInArrow(rows, schema)
+
+
+def bucket_sizes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(t, code, dim, count): the codes alone are counted, combined before the shuffle."""
+
+    def rows(_, __, v: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        t = np.tile(np.arange(tables, dtype=np.int32), len(v))
+        return pa.RecordBatch.from_arrays([pa.array(t), pa.array(codes.reshape(-1)), pa.array(np.full(len(t), v.shape[1], np.int32))], ["t", "code", "dim"])
+
+    return coded(classes, "t int, code int, dim int", bits, tables, rows).groupBy("t", "code", "dim").count()
+
+
+def hashed(classes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """A row for each class and table: (t, code, dim, rep, n, v, codes), v as bytes, and of its codes, as bytes, those of the tables before."""
+
+    def rows(reps: list, ns: list, v: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+        raw = [x.astype(np.float32).tobytes() if (x == x.astype(np.float32)).all() else x.tobytes() for x in v]
+        each = np.repeat(np.arange(len(v)), tables)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.tile(np.arange(tables, dtype=np.int32), len(v))), pa.array(codes.reshape(-1)), pa.array(np.full(len(each), v.shape[1], np.int32)),
+                pa.array([reps[i] for i in each], pa.int64()), pa.array([ns[i] for i in each], pa.int64()), pa.array([raw[i] for i in each], pa.binary()),
+                pa.array([c[: 4 * t] for c in (x.tobytes() for x in codes) for t in range(tables)], pa.binary()),
+            ],
+            ["t", "code", "dim", "rep", "n", "v", "codes"],
+        )
+
+    return coded(classes, "t int, code int, dim int, rep long, n long, v binary, codes binary", bits, tables, rows)
+
+
+def compare(rows: list[tuple], a: int, b: int, dim: int, threshold: float) -> list[tuple[int, int, int]]:
     """Of a unit's rows (block, rep, n, v, codes): (rep, rows linked to it, least rep of its group here) of those with links."""
     v = np.array([np.frombuffer(r[3], np.float32 if len(r[3]) == 4 * dim else np.float64).astype(np.float64) for r in rows])
     codes = np.array([np.frombuffer(r[4], np.int32) for r in rows])
@@ -81,7 +99,7 @@ def compare(t: int, rows: list[tuple], a: int, b: int, dim: int, threshold: floa
     i, j = np.array(left)[i], np.array(right)[j]
     own = i < j if a == b else np.ones(len(i), bool)
     i, j = i[own], j[own]
-    new = ~(codes[i, :t] == codes[j, :t]).any(1)
+    new = ~(codes[i] == codes[j]).any(1)
     i, j = i[new], j[new]
     n = np.array([r[2] for r in rows])
     links = np.bincount(i, n[j], len(rows)) + np.bincount(j, n[i], len(rows))
@@ -100,7 +118,7 @@ def linked(classes: DataFrame, threshold: float, recall: float, cap: int) -> Dat
     spark = classes.sparkSession
     bits, tables = plan(classes.count(), threshold, recall)
     rows = hashed(classes, bits, tables)
-    large = saved(hashed(classes, bits, tables).groupBy("t", "code", "dim").count().filter(F.col("count") > cap), "buckets")
+    large = saved(bucket_sizes(classes, bits, tables).filter(F.col("count") > cap), "buckets")
     blocks = F.coalesce(F.ceil(F.col("count") / cap).cast("int"), F.lit(1))
     dealt = rows.join(large, ["t", "code", "dim"], "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("t", "code", "dim", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "rep", "n", "v", "codes")
@@ -109,10 +127,10 @@ def linked(classes: DataFrame, threshold: float, recall: float, cap: int) -> Dat
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for (t, _, dim, a, b), own in groupby(flat, key=lambda r: r[:5]):
+        for (_, _, dim, a, b), own in groupby(flat, key=lambda r: r[:5]):
             rows = [r[5:] for r in own]
             if len(rows) > 1:
-                out += compare(t, rows, a, b, dim, threshold)
+                out += compare(rows, a, b, dim, threshold)
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["rep", "links", "root"])
                 out = []

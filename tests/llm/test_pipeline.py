@@ -99,3 +99,26 @@ def test_other_columns_are_kept(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = saved(stage(spark, docs, SF), "clash")
         assert docs.columns[5:] == clash and all(r[c] == r.doc_id + i for r in docs.collect() for i, c in enumerate(clash)), name
+
+
+def test_nulls_and_repeated_rows_in_every_stage(spark):
+    """Null texts are rejected by the first stage; null ids and repeated rows go through all stages as rows of their own."""
+    docs = table(spark, SF, "documents").limit(60).select("doc_id", "text", "lang", "source", "n_chars")
+    some = docs.limit(3)
+    nulls = docs.limit(1).selectExpr("doc_id", "cast(null as string) text", "lang", "source", "n_chars")
+    rows = saved(docs.union(some).union(some.selectExpr("cast(null as long)", "text", "lang", "source", "n_chars")).union(nulls).union(nulls), "odd-rows")
+    seen = lambda df: sorted(map(str, ((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())))
+    told = saved(corpus_pipeline.language(spark, rows, SF), "odd")
+    assert set(seen(told)) <= {x for x in seen(rows) if not x.endswith("None)")} and told.count() > 60
+    kept = saved(corpus_pipeline.near_duplicates(spark, told, SF), "odd")
+    assert len(seen(kept)) == len(set(seen(kept))) and set(seen(kept)) <= set(seen(told))
+    assert {x.split(", ", 1)[1] for x in seen(kept)} and not any(x.startswith("(None") and x.replace("None, ", f"{i}, ", 1) in seen(told) for x in seen(kept) for i in ids(docs))
+    for stage in (corpus_pipeline.decontamination, corpus_pipeline.secret_redaction):
+        out = saved(stage(spark, rows, SF), "odd")
+        counts = {k: seen(rows).count(k) for k in seen(rows)}
+        if stage is corpus_pipeline.decontamination:
+            assert all(seen(out).count(k) in (0, n) for k, n in counts.items())
+        else:
+            assert out.count() == rows.count() and out.filter("text is null").count() == 2
+    packed = corpus_pipeline.packed(spark, rows, SF).collect()
+    assert sum(r.start == 0 for r in packed) == rows.count()
