@@ -3,6 +3,8 @@ totals over range partitions, tokenizers and connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import itertools
 import os
@@ -36,14 +38,43 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows and bytes of a batch that a Python worker gets at a time; neither changes a result.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """What is run inside hands small batches to Python workers; the session's own settings come back behind it."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write a table to the shared folder and read it again: later steps neither repeat its work nor
     depend on an executor that may be lost."""
     path = shared_dir(df.sparkSession, tag)
-    df.write.options(**options).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """At the start of a task's work: a worker gives back what other operators' tasks left in its memory."""
+    TextEncoder.kept.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

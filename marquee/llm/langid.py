@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import tidy
+
 SAMPLE_DOCS, SAMPLE_CHARS, CHUNK_CHARS, LEVEL, MIN_MARGIN = 100, 2000, 4096, 3, 0.005
 LETTER, OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")  # LETTER also finds some numerals, such as one half
 
@@ -85,6 +87,7 @@ def predict(docs: DataFrame, model: LanguageModel, min_margin: float = MIN_MARGI
     langs = sorted(model.samples)
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         sizes = model.sizes()
         for batch in batches:
             pred, score = [], []

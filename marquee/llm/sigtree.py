@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ODD, components, low_words, mix, n_parts, run_hashes, running_base, saved, text_slices
+from .common import ODD, components, low_words, mix, n_parts, run_hashes, running_base, saved, text_slices, tidy
 from .decontam import key
 
 WORDS, PERCENT = 5, 75
@@ -82,6 +82,7 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
     """Saved (doc_id, k1, k2, n, cls): a set's size and class for each document; k1 and k2 are kept from docs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for s, sets in shingle_sets(batch.column("text"), words):
                 yield pa.RecordBatch.from_arrays([*[batch.column(c)[s] for c in ("doc_id", "k1", "k2")], pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64())], ["doc_id", "k1", "k2", "n", "cls"])
@@ -96,6 +97,7 @@ def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        tidy()
         for batch in batches:
             for _, sets in shingle_sets(batch.column("text"), words):
                 seen = set() if len(seen) > REMEMBERED else seen
