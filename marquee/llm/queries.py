@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hmm, langid, neardup, oracles, packing, repair, secrets, sigtree, warc
+from . import chat, decontam, hmm, langid, neardup, oracles, packing, repair, secrets, sigtree, spelling, warc
 from .common import saved, table
 
 
@@ -64,7 +64,11 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.report(docs, items, slop=decontam.SLOP))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op4_hidden_markov_lm, op5_warc_normaliser, op6_signature_tree_join, op7_zstd_language, op8_multipart_secrets, op9_hyperplane_neardup, op10_positional_index)}
+def op13_trie_node_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op4_hidden_markov_lm, op5_warc_normaliser, op6_signature_tree_join, op7_zstd_language, op8_multipart_secrets, op9_hyperplane_neardup, op10_positional_index, op13_trie_node_spelling)}
 ORACLE: dict[str, str] = {
     "op3_grammar_chat": oracles.OP3,
     "op5_warc_normaliser": oracles.OP5,
