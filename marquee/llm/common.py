@@ -61,10 +61,21 @@ def small_batches(spark: SparkSession):
 def saved(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write a table to the shared folder and read it again: later steps neither repeat its work nor
     depend on an executor that may be lost."""
+    return saved_at(df, tag, **options)[0]
+
+
+def saved_at(df: DataFrame, tag: str, **options) -> tuple[DataFrame, str]:
+    """The same, and the folder, for tables that are removed once a later one replaces them."""
     path = shared_dir(df.sparkSession, tag)
     with small_batches(df.sparkSession):
         df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that saved_at() wrote and that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def tidy() -> None:

@@ -54,3 +54,26 @@ close AS (SELECT c.g, c.doc_id, count(DISTINCT part.o) AS met, count(DISTINCT pa
 near AS (SELECT doc_id, count(*) AS n_near FROM (SELECT g, doc_id FROM close GROUP BY g, doc_id HAVING max(there) < any_value(n)) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)"""
+
+
+
+def _op12() -> str:
+    """Six rounds, each an assignment and an update."""
+    sound = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE {sound})",
+        "p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // 8) + 1 : (part + 1) * (len(x) // 8)] AS x FROM (SELECT r, x, unnest(range(0, 8)) AS part FROM v))",
+        "c0 AS MATERIALIZED (SELECT part, r - 1 AS e, x AS c FROM p WHERE r <= 16)",
+    ]
+    for k in range(7):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, p.part, any_value(x) AS x, min({{'d': list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), 'e': e}}) AS m FROM p JOIN c{k} c ON c.part = p.part GROUP BY r, p.part)")
+        if k < 6:
+            steps.append(f"""u{k} AS (SELECT part, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT part, m.e AS e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT part, m, x, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY ALL) GROUP BY part, e)""")
+            steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.part, c.e, coalesce(u.c, c.c) AS c FROM c{k} c LEFT JOIN u{k} u ON u.part = c.part AND u.e = c.e)")
+    steps.append("told AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a6 GROUP BY r)")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM c6) AS codebooks_sha256 FROM told JOIN v USING (r)"""
+
+
+OP12 = _op12()
