@@ -56,6 +56,11 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 
+OP11 = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.r ORDER BY list_dot_product(q.x, v.x) DESC, v.vec_id NULLS LAST) AS INTEGER) AS rank, v.vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score
+FROM v q JOIN v ON v.r <> q.r AND len(v.x) = len(q.x) WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5"""
+
 
 def _op12() -> str:
     """Six rounds, each an assignment and an update."""

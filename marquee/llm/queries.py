@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hmm, langid, neardup, oracles, packing, repair, secrets, sigtree, spelling, veccodes, warc
+from . import chat, decontam, hmm, langid, neardup, oracles, packing, repair, secrets, sigtree, spelling, vafile, veccodes, warc
 from .common import saved, table
 
 
@@ -64,6 +64,10 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.report(docs, items, slop=decontam.SLOP))
 
 
+def op11_va_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op12_adaptive_bound_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return veccodes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -72,12 +76,13 @@ def op13_trie_node_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op4_hidden_markov_lm, op5_warc_normaliser, op6_signature_tree_join, op7_zstd_language, op8_multipart_secrets, op9_hyperplane_neardup, op10_positional_index, op12_adaptive_bound_codes, op13_trie_node_spelling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hilbert_packing, op2_repair_token_files, op3_grammar_chat, op4_hidden_markov_lm, op5_warc_normaliser, op6_signature_tree_join, op7_zstd_language, op8_multipart_secrets, op9_hyperplane_neardup, op10_positional_index, op11_va_file_search, op12_adaptive_bound_codes, op13_trie_node_spelling)}
 ORACLE: dict[str, str] = {
     "op3_grammar_chat": oracles.OP3,
     "op5_warc_normaliser": oracles.OP5,
     "op6_signature_tree_join": oracles.OP6,
     "op9_hyperplane_neardup": oracles.OP9,
     "op10_positional_index": oracles.OP10,
+    "op11_va_file_search": oracles.OP11,
     "op12_adaptive_bound_codes": oracles.OP12,
 }
