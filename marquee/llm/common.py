@@ -161,11 +161,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(u: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hashes of runs of bytes in `u`, eight bytes of all runs at a time; runs of over 512 bytes one by one."""
-    padded = np.concatenate([u, np.zeros(8, np.uint8)])
-    eight = np.ndarray(len(u) + 1, "<u8", padded, strides=(1,))
-    h = mix((eight[starts] & _FIRST_BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * ODD[63])
+def padded_words(u: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of `u` on as a number; behind the end there are zeros."""
+    return np.ndarray(len(u) + 1, "<u8", np.concatenate([u, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def corpus_key(docs: DataFrame, column: str = "text") -> tuple[int, int]:
+    """A key for run_hashes that all texts together give: who knows or writes some of them can't build two texts of one hash."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    a, b = docs.agg(F.bit_xor(F.xxhash64(text, F.lit(1))), F.bit_xor(F.xxhash64(F.lit(2), text))).first()
+    return (a or 0) & (1 << 64) - 1, (b or 0) & (1 << 64) - 1
+
+
+def run_hashes(u: np.ndarray, starts: np.ndarray, size: np.ndarray, key: tuple[int, int] = (0, 0), eight: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of runs of bytes in `u` under a key, eight bytes of all runs at a time; runs of over 512 bytes one by one."""
+    eight = padded_words(u) if eight is None else eight
+    h = mix((eight[starts] & _FIRST_BYTES[np.minimum(size, 8)]) ^ np.uint64(key[0])) + size.astype(np.uint64) * (ODD[63] ^ np.uint64(key[1] & ~1))
     todo, at = np.flatnonzero(size > 8), 8
     while len(todo) and at < 512:
         part = eight[starts[todo] + at] & _FIRST_BYTES[np.minimum(size[todo] - at, 8)]
@@ -173,10 +184,25 @@ def run_hashes(u: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarra
         at += 8
         todo = todo[size[todo] > at]
     for i in todo.tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(u[starts[i] : starts[i] + size[i]], digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(u[starts[i] : starts[i] + size[i]], digest_size=8, key=b"%d,%d" % key).digest(), "little")
     return h
 
 
+def same_runs(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether runs of equal size hold the same bytes; a and b are padded_words."""
+    same, todo, at = np.ones(len(size), bool), np.flatnonzero(size > 0), 0
+    while len(todo):
+        differ = ((a[a_at[todo] + at] ^ b[b_at[todo] + at]) & _FIRST_BYTES[np.minimum(size[todo] - at, 8)]) != 0
+        same[todo[differ]] = False
+        at += 8
+        todo = todo[~differ & (size[todo] > at)]
+        if at >= 512:
+            for i in todo.tolist():
+                same[i] = bytes(a.base[a_at[i] : a_at[i] + size[i]]) == bytes(b.base[b_at[i] : b_at[i] + size[i]])
+            break
+    return same
+
+
 def low_words(u: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes with A-Z lower-cased, where their words `[^\\x20\\x09-\\x0D]+` start, sizes of the words, words of each text). `begin`: where each
     text begins, and the last one ends."""
@@ -212,8 +238,8 @@ def unit_starts(u: np.ndarray, begin: np.ndarray) -> np.ndarray:
 class TextEncoder:
     """Texts -> their ids, by a `tokenizers` file, remembering the ids of pieces met before.
 
-    Texts are cut into units of which the ids don't depend on each other (unit_starts), found again by 64-bit hashes; new ones are given to
-    the tokenizer. A text that holds one of the tokenizer's special tokens is encoded whole. Beyond `limit` units all are forgotten,
+    Texts are cut into units of which the ids don't depend on each other (unit_starts). A unit is found again by a hash under this worker's own key, and is
+    the same only if its bytes are; new ones are given to the tokenizer. A text that holds one of the tokenizer's special tokens is encoded whole. Beyond `limit` units all are forgotten,
     so a worker's memory doesn't grow with its input."""
 
     kept: ClassVar[dict[str, TextEncoder]] = {}
@@ -228,6 +254,7 @@ class TextEncoder:
         self.dtype = np.dtype(np.uint16 if self.vocab_size <= 0x10000 else np.uint32)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = limit
+        self.key = (int.from_bytes(os.urandom(8), "little"), int.from_bytes(os.urandom(8), "little"))
         vocab = self.tokenizer.get_vocab()
         self.by_word = any(w.endswith("</w>") for w in vocab)
         self.edge = np.zeros(self.vocab_size, bool)  # ids that end a word, or that begin one after a space
@@ -239,6 +266,7 @@ class TextEncoder:
         bits = max(10, (2 * self.limit).bit_length())
         self.slots, self.shift = np.full(1 << bits, -1, np.int32), np.uint64(64 - bits)
         self.hash, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.dtype)
+        self.bytes, self.byte_at, self.size = padded_words(np.zeros(0, np.uint8)), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
     def of(cls, path: str) -> TextEncoder:
@@ -271,20 +299,21 @@ class TextEncoder:
             counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(own)))
         return np.array(order, np.int64), np.concatenate(ids), np.concatenate(counts).astype(np.int32)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray, eight: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Numbers of known units, -1 for others."""
         slot, out, todo = (h >> self.shift).astype(np.int64), np.full(len(h), -1, np.int32), np.arange(len(h))
         while len(todo):
             at = self.slots[slot[todo]]
             here = at >= 0
-            here[here] = self.hash[at[here]] == h[todo[here]]
+            here[here] = (self.hash[at[here]] == h[todo[here]]) & (self.size[at[here]] == size[todo[here]])
+            here[here] = same_runs(self.bytes, self.byte_at[at[here]], eight, starts[todo[here]], size[todo[here]])
             out[todo[here]] = at[here]
             todo = todo[(at >= 0) & ~here]
             slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
         return out
 
     def learn(self, h: np.ndarray, texts: list[bytes]) -> None:
-        """Add units by their hashes, all new and different."""
+        """Add units that are new; their hashes differ."""
         order, ids, n = self.units(texts)
         h = h[order]
         number = len(self.hash) + np.arange(len(h), dtype=np.int32)
@@ -296,23 +325,28 @@ class TextEncoder:
             slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
         self.hash, self.at = np.concatenate([self.hash, h]), np.concatenate([self.at, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])
         self.n, self.pool = np.concatenate([self.n, n]), np.concatenate([self.pool, ids])
+        known, size = len(self.bytes) - 1, np.array([len(texts[i]) for i in order], np.int64)
+        self.byte_at, self.size = np.concatenate([self.byte_at, known + np.cumsum(size) - size]), np.concatenate([self.size, size])
+        self.bytes = padded_words(np.concatenate([self.bytes.base[:known], np.frombuffer(b"".join([texts[i] for i in order]), np.uint8)]))
 
     def some(self, u: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of units that begin at `starts`, ids of each)."""
-        size = np.diff(starts, append=len(u))
-        h = run_hashes(u, starts, size)
-        place = self.find(h)
-        if (place < 0).any():
-            new = np.flatnonzero(place < 0)
-            if len(self.hash) + len(new) > self.limit:
-                self.forget()
-                self.slots = np.full(max(len(self.slots), 1 << (2 * len(h)).bit_length()), -1, np.int32)
-                self.shift = np.uint64(64 - (len(self.slots) - 1).bit_length())
-                new = np.arange(len(h))
+        size, eight = np.diff(starts, append=len(u)), padded_words(u)
+        h = run_hashes(u, starts, size, self.key, eight)
+        place = self.find(h, eight, starts, size)
+        new = np.flatnonzero(place < 0)
+        if len(self.hash) + len(new) > self.limit and len(new):
+            self.forget()
+            self.slots = np.full(max(len(self.slots), 1 << (2 * len(h)).bit_length()), -1, np.int32)
+            self.shift = np.uint64(64 - (len(self.slots) - 1).bit_length())
+            new = np.arange(len(h))
+        raw = u.tobytes() if len(new) else b""
+        while len(new):  # of different units of one hash each turn learns one
             hashes, first = np.unique(h[new], return_index=True)
-            raw, at, n = u.tobytes(), starts[new[first]].tolist(), size[new[first]].tolist()
+            at, n = starts[new[first]].tolist(), size[new[first]].tolist()
             self.learn(hashes, [raw[a : a + k] for a, k in zip(at, n, strict=True)])
-            place[new] = self.find(h[new])
+            place[new] = self.find(h[new], eight, starts[new], size[new])
+            new = new[place[new] < 0]
         return gathered(self.pool, self.at[place], self.n[place]), self.n[place]
 
     def __call__(self, column: pa.Array, end: int | None = None, most: int = 2_000_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:

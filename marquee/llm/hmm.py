@@ -10,7 +10,7 @@ tokens, side by side, between states carried from run to run exactly. Scoring is
 whole documents, which gives the exact likelihood. Token counts that aren't among the `COMMON` most frequent are joined
 by shuffle, for those tokens alone.
 
-Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, told apart by 64-bit hashes. Null text counts as empty: its end is its one
+Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, told apart by 64-bit hashes under a key that the whole corpus gives; it also decides between tokens of equal counts. Null text counts as empty: its end is its one
 token. Repeated rows count and are scored each. A null doc_id belongs to the training part. Without training documents all tokens are
 unknown. An empty table gives no row. Input columns other than doc_id and text are ignored.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import low_words, mix, run_hashes, saved, text_slices
+from .common import corpus_key, low_words, mix, run_hashes, saved, text_slices
 
 STATES, ROUNDS, OWN, SUFFIXES, COMMON, SEED = 8, 5, 4096, 1024, 262_144, 9
 #: Tokens of a run, and runs worked on side by side; neither changes a result.
@@ -41,11 +41,11 @@ def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds, F.lit(0))
 
 
-def token_ids(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def token_ids(column: pa.Array, secret: tuple[int, int] = (0, 0)) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, ids of all their tokens, ends included, tokens of each). An id's low bits are the class of the last letters."""
     for rows, u, begin in text_slices(column):
         low, starts, size, n = low_words(u, begin)
-        h = run_hashes(low, starts, size)
+        h = run_hashes(low, starts, size, secret)
         last = starts + size - 1
         tail = np.zeros(len(last), np.uint64)
         for back in range(3):
@@ -56,7 +56,7 @@ def token_ids(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]
         yield rows, out, n + 1
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
+def token_counts(docs: DataFrame, secret: tuple[int, int]) -> DataFrame:
     """Saved (id, c): counts of all tokens of the training documents."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +70,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["id", "c"])
 
         for batch in batches:
-            for _, ids, _ in token_ids(batch.column("text")):
+            for _, ids, _ in token_ids(batch.column("text"), secret):
                 held.append(ids)
                 size += len(held[-1])
                 if size >= CHUNK_TOKENS:
@@ -145,14 +145,14 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     return Vocabulary(int(n["n"] or 0), int(n["v"]), ids[order], c[order], own[order], total, unknown), own_c
 
 
-def encoded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
+def encoded(docs: DataFrame, voc: Vocabulary, secret: tuple[int, int]) -> DataFrame:
     """Saved (row, doc_id, held, n_tokens, known, base, inner, classes, rare, times): what common tokens give to n_known, to
     the base score and to the classes' part of the score; the class of every token; the other tokens' ids and how often each occurs."""
     floor = voc.tokens + 0.5 * (voc.distinct + 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, ids, n in token_ids(batch.column("text")):
+            for s, ids, n in token_ids(batch.column("text"), secret):
                 c, cls = voc.look_up(ids)
                 first = np.cumsum(n) - n
                 seen = c > 0
@@ -417,7 +417,8 @@ def scored(enc: DataFrame, counts: DataFrame, voc: Vocabulary, model: Model) ->
 def score(docs: DataFrame, held: Column, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
     """Train on the documents for which `held` is false, score all."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"), F.monotonically_increasing_id().alias("row"))
-    counts = token_counts(rows)
+    secret = corpus_key(rows)
+    counts = token_counts(rows, secret)
     voc, own_c = vocabulary(counts)
-    enc = encoded(rows, voc)
+    enc = encoded(rows, voc, secret)
     return scored(enc, counts, voc, fit(enc, voc.priors(own_c), rounds, states))

@@ -14,7 +14,8 @@ A document's set holds its distinct five-word shingles. Two documents link when
    are one component already are skipped, so that a group of very many near copies costs no quadratic work. The links found span
    the components of all links.
 
-Tokens and classes are 64-bit hashes of shingles and sets. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text of
+Tokens and classes are 64-bit hashes of shingles and sets, under a key that the whole corpus gives, so that a pair of texts can't be built to
+share one; among n different ones two meet by chance with probability n * n / 2^65. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text of
 fewer words than `words` has their whole sequence as its one shingle. Null text and text without words have an empty set, which links with
 nothing. Repeated rows are documents of their own. A null doc_id is larger than any other. An empty table gives no row.
 Columns other than doc_id and text are ignored.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ODD, components, low_words, mix, n_parts, run_hashes, running_base, saved, text_slices, tidy
+from .common import ODD, components, corpus_key, low_words, mix, n_parts, run_hashes, running_base, saved, text_slices, tidy
 from .decontam import key
 
 WORDS, PERCENT = 5, 75
@@ -47,11 +48,11 @@ REMEMBERED = 500_000
 BROADCAST_ROWS = 500_000
 
 
-def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[tuple[slice, list[np.ndarray]]]:
+def shingle_sets(column: pa.Array, words: int = WORDS, secret: tuple[int, int] = (0, 0)) -> Iterator[tuple[slice, list[np.ndarray]]]:
     """(rows, sorted distinct shingle hashes of each of them)."""
     for rows, u, begin in text_slices(column):
         low, starts, size, n = low_words(u, begin)
-        h = run_hashes(low, starts, size)
+        h = run_hashes(low, starts, size, secret)
         if len(h) >= words:
             grams = np.zeros(len(h) - words + 1, np.uint64)
             for j in range(words):
@@ -78,19 +79,19 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def classes(docs: DataFrame, words: int) -> DataFrame:
+def classes(docs: DataFrame, words: int, secret: tuple[int, int]) -> DataFrame:
     """Saved (doc_id, k1, k2, n, cls): a set's size and class for each document; k1 and k2 are kept from docs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in batches:
-            for s, sets in shingle_sets(batch.column("text"), words):
+            for s, sets in shingle_sets(batch.column("text"), words, secret):
                 yield pa.RecordBatch.from_arrays([*[batch.column(c)[s] for c in ("doc_id", "k1", "k2")], pa.array([len(x) for x in sets], pa.int64()), pa.array([class_of(x) if len(x) else None for x in sets], pa.int64())], ["doc_id", "k1", "k2", "n", "cls"])
 
     return saved(docs.mapInArrow(rows, "doc_id long, k1 long, k2 long, n long, cls long"), "classes")
 
 
-def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, words: int, percent: int, secret: tuple[int, int]) -> DataFrame:
     """(token, cls, n, sent): the tokens of every set in the sampled range, filled up beyond it to the length of the prefix;
     sent is how many the set has here. Of equal sets a task sends one, if they are among the last `REMEMBERED` or so that it met."""
     limit = np.uint64(int(SAMPLED * (1 << 64)))
@@ -99,7 +100,7 @@ def postings(docs: DataFrame, words: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         tidy()
         for batch in batches:
-            for _, sets in shingle_sets(batch.column("text"), words):
+            for _, sets in shingle_sets(batch.column("text"), words, secret):
                 seen = set() if len(seen) > REMEMBERED else seen
                 own = []
                 for h in sets:
@@ -204,7 +205,7 @@ def checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def tied_sets(docs: DataFrame, found: DataFrame, groups: DataFrame, words: int) -> DataFrame:
+def tied_sets(docs: DataFrame, found: DataFrame, groups: DataFrame, words: int, secret: tuple[int, int]) -> DataFrame:
     """Saved (grp, cls, low, tokens) of one document of each tied class, computed again from its text. The document is named by its id
     and its text's hash; of equal rows a task computes one."""
     one = found.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("k1", "k2")).alias("doc"))
@@ -221,7 +222,7 @@ def tied_sets(docs: DataFrame, found: DataFrame, groups: DataFrame, words: int)
                     seen.add(c)
                     new.append(i)
             few = batch.take(pa.array(new, pa.int64()))
-            for s, sets in shingle_sets(few.column("text"), words):
+            for s, sets in shingle_sets(few.column("text"), words, secret):
                 yield pa.RecordBatch.from_arrays(
                     [few.column("grp")[s], few.column("cls")[s], pa.array([int(h[0] >> np.uint64(1)) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["grp", "cls", "low", "tokens"]
                 )
@@ -423,10 +424,11 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_sets
     components of all links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *key(docs))
     spark = docs.sparkSession
-    found = classes(docs, words)
-    lists = postings(docs, words, percent).repartition(n_parts(spark), "token").sortWithinPartitions("token", "cls")
+    secret = corpus_key(docs)
+    found = classes(docs, words, secret)
+    lists = postings(docs, words, percent, secret).repartition(n_parts(spark), "token").sortWithinPartitions("token", "cls")
     groups = components(ties(prefixes(shared(lists), percent), percent), "a", "b")
-    sets = tied_sets(docs, found, groups, words)
+    sets = tied_sets(docs, found, groups, words, secret)
     blocks = leaf_blocks(sets, block_sets)
     linked = links(blocks, block_pairs(blocks, percent, fan), percent)
     label = components(linked, "a", "b")

@@ -63,11 +63,11 @@ def test_expected_counts_equal_those_of_all_paths(monkeypatch, size):
     assert np.allclose(emit, want_emit, atol=1e-5) and np.allclose(start, want_start, atol=1e-5) and np.allclose(step, want_step, atol=1e-5)
 
 
-def independent(docs, held, rounds):
+def independent(docs, held, rounds, secret):
     """Scores by a plain class model: dictionaries, one document at a time, doubles."""
     ids, classes = [], []
     for _, t in docs:
-        (_, i, _), = hmm.token_ids(pa.array([t], pa.string()))
+        (_, i, _), = hmm.token_ids(pa.array([t], pa.string()), secret)
         ids.append([int(x) for x in i])
     c = Counter(x for d, h in zip(ids, held, strict=True) if not h for x in d)
     best = sorted((x for x in c if x != hmm.END), key=lambda x: (-c[x], x))[: hmm.OWN - 1]
@@ -120,7 +120,7 @@ def test_scores_equal_an_independent_model(spark):
     held = [zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in docs]
     frame = spark.createDataFrame([(d, t, h) for (d, t), h in zip(docs, held, strict=True)], "doc_id long, text string, held boolean")
     got = [r.score for r in hmm.score(frame, hmm.F.col("held"), rounds=2).orderBy("doc_id").collect()]
-    assert np.allclose(got, independent(docs, held, 2), rtol=1e-4)
+    assert np.allclose(got, independent(docs, held, 2, hmm.corpus_key(frame)), rtol=1e-4)
 
 
 def test_given_documents(spark):
