@@ -128,6 +128,17 @@ def running_base(totals: DataFrame, part: str, value: str) -> DataFrame:
     return totals.sparkSession.createDataFrame(base or [(0, 0)], f"{part} int, _base long")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns, like `names`, that the table has not."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. lower() is taken where the text is ASCII, as translate() is far slower."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

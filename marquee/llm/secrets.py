@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import fresh, saved
 from .decontam import key
 
 SCOPE, MASK = 200, "[secret]"
@@ -140,11 +140,13 @@ def masked(text: Column, spans: Column, mask: str) -> Column:
 
 def redact(docs: DataFrame, scope: int = SCOPE, mask: str = MASK) -> DataFrame:
     """`docs` with every span of its text replaced by `mask` (overlapping ones by one) and n_chars, if there, counted anew."""
-    marked = saved(scan(docs, scope).filter(F.size("spans") > 0).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans")).dropDuplicates(["_k1", "_k2"]), "secret-spans")
+    k1, k2, spans = fresh(docs, "k1", "k2", "spans")
+    found = scan(docs.select("doc_id", "text"), scope).filter(F.size("spans") > 0)
+    marked = saved(found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans)).dropDuplicates([k1, k2]), "secret-spans")
     columns = docs.columns
-    joined = docs.withColumns(dict(zip(("_k1", "_k2"), key(docs), strict=True))).join(marked, ["_k1", "_k2"], "left")
-    clean = F.col("_spans").isNull()
-    out = joined.withColumn("text", F.when(clean, F.col("text")).otherwise(masked(F.col("text"), F.col("_spans"), mask)))
+    joined = docs.withColumns(dict(zip((k1, k2), key(docs), strict=True))).join(marked, [k1, k2], "left")
+    clean = F.col(spans).isNull()
+    out = joined.withColumn("text", F.when(clean, F.col("text")).otherwise(masked(F.col("text"), F.col(spans), mask)))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*columns)
+    return out.select(*[f"`{c}`" for c in columns])

@@ -94,7 +94,7 @@ def test_empty_documents(spark):
 
 
 def test_other_columns_are_kept(spark):
-    clash = ["k1", "k2", "spans", "score", "rejected", "lang_pred", "row", "cls", "grp", "n"]
+    clash = ["k1", "k2", "spans", "score", "rejected", "lang_pred", "row", "cls", "grp", "n", "_k1", "_k2", "_spans", "_id", "kept", "x", "_", "__k1"]
     docs = table(spark, SF, "documents").limit(40).selectExpr("*", *[f"doc_id + {i} AS {c}" for i, c in enumerate(clash)])
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = saved(stage(spark, docs, SF), "clash")
