@@ -9,19 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import decontam, langid, packing, secrets, sigtree
-from marquee.llm.common import BATCHES, saved, table
+from marquee.llm.common import BATCHES, fresh, saved, small_batches, table
 from marquee.llm.queries import tokenizer
 
 
-def small_batches(spark: SparkSession) -> None:
-    """What a stage returns is run by its caller; so that its texts go to Python in small batches then, the session is set so."""
+def batches_stay_small(spark: SparkSession) -> None:
+    """What a stage returns is run by its caller; so that its texts go to Python in small batches then, the session is set so. run() puts the
+    session's own settings back."""
     for k, v in BATCHES.items():
         spark.conf.set(k, v)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Predict each text's language by compression and drop what is rejected; lang becomes the predicted one."""
-    small_batches(spark)
+    batches_stay_small(spark)
     model = langid.fit(docs, langid.fold() != 2)
     names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # none of them is named like an answer; each text is sent once
     told = langid.predict(docs.toDF(*names), model).filter("not rejected")
@@ -37,21 +38,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keeper = rows.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k2")).alias("x")).select("grp", F.col("x.doc_id").alias("_id"), F.col("x.k2").alias("_k2"))
     keeper = decontam.checked(saved(keeper, "keepers"))
     kept = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k2") == F.col("_k2"))
-    told = saved(rows.join(keeper, "grp").select(k1.alias("_k1"), "k2", "n", kept.alias("kept")).withColumnRenamed("k2", "_k2"), "duplicates")
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), decontam.key(docs), strict=True)))
+    keys = fresh(docs, "k1", "k2")
+    told = saved(rows.join(keeper, "grp").select(k1.alias("k1"), "k2", "n", kept.alias("kept")), "duplicates")
+    keyed = docs.withColumns(dict(zip(keys, decontam.key(docs), strict=True)))
     # keys alone are compared, and sent to the texts where they are few enough
-    others = decontam.checked(saved(told.filter("not kept or n > 1").select("_k1", "_k2").distinct(), "others"))
-    twice = decontam.checked(saved(told.filter("kept and n > 1").select("_k1", "_k2"), "twice"))
-    copies = keyed.join(twice, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
-    return keyed.join(others, ["_k1", "_k2"], "left_anti").select(*docs.columns).union(copies.select(*docs.columns))
+    others = decontam.checked(saved(told.filter("not kept or n > 1").select("k1", "k2").distinct().toDF(*keys), "others"))
+    twice = decontam.checked(saved(told.filter("kept and n > 1").select("k1", "k2").toDF(*keys), "twice"))
+    copies = keyed.join(twice, keys, "left_semi").dropDuplicates(keys)
+    return keyed.join(others, keys, "left_anti").select(*docs.columns).union(copies.select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold ten words in a row of a benchmark item, or a whole shorter item."""
     found = decontam.report(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    hit = saved(found.filter("contaminated").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "contaminated")
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), decontam.key(docs), strict=True)))
-    return keyed.join(decontam.checked(hit), ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    keys = fresh(docs, "k1", "k2")
+    hit = saved(found.filter("contaminated").select("k1", "k2").distinct().toDF(*keys), "contaminated")
+    keyed = docs.withColumns(dict(zip(keys, decontam.key(docs), strict=True)))
+    return keyed.join(decontam.checked(hit), keys, "left_anti").select(*docs.columns)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +64,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the texts into sequences along the Hilbert curve: a row for each piece."""
-    small_batches(spark)
+    batches_stay_small(spark)
     return packing.pieces(packing.pack(docs, tokenizer("word_bpe_49k.json")))
 
 
@@ -79,6 +82,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
