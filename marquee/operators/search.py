@@ -79,26 +79,6 @@ def present_keys(rows: DataFrame, values: Column, declared: list[str]) -> DataFr
     return seen.select("value", place.alias("declared"), "first")
 
 
-def saved_search_matches(rows: DataFrame, searches: DataFrame) -> DataFrame:
-    """(search_id, row_no) of a table of saved searches (search_id, query): query strings are decoded by columns and joined with
-    the rows. Few searches meet many rows: those that name a label meet only rows that have it, by an equi-join on the label."""
-    params = F.transform_values(F.str_to_map("query", F.lit("&"), F.lit("=")), lambda _, v: F.url_decode(v))
-    wanted = searches.select("search_id", params.alias("p")).select(
-        "search_id", F.split(F.col("p")["f_cats"], ",").alias("cats"), F.try_to_date(F.col("p")["from"]).alias("from"), F.try_to_date(F.col("p")["to"]).alias("to"),
-        F.lower(F.col("p")["q"]).alias("q"), F.col("p")["pref"].alias("pref"),
-    )
-    any_label = "*"
-    keyed = wanted.withColumn("label", F.explode(F.coalesce("cats", F.array(F.lit(any_label)))))
-    labelled = rows.withColumn("label", F.explode(F.concat(F.array_distinct("cats"), F.array(F.lit(any_label)))))
-    inside = lambda d: d.between(F.col("from"), F.col("to"))
-    run = F.coalesce(F.col("end_date") >= F.col("from"), F.lit(True)) & F.coalesce(F.col("start_date") <= F.col("to"), F.lit(True))
-    dates = F.exists("backup_date", inside) | F.when(F.size("dates") > 0, F.exists("dates", inside)).otherwise(run)
-    met = labelled.alias("r").join(keyed.alias("s"), "label").filter(
-        (F.col("from").isNull() | F.col("to").isNull() | dates) & (F.col("q").isNull() | F.col("folded").contains(F.col("q"))) & (F.col("s.pref").isNull() | (F.col("s.pref") == F.col("r.pref")))
-    )
-    return met.select("search_id", "row_no").distinct()
-
-
 def venue_picker(counts: DataFrame, most: int = 60, part: str = "") -> DataFrame:
     """(venue, n, place) of the most frequent venues, by name where counts are equal; a top-k."""
     some = counts.filter(F.lower("venue").contains(part.lower())) if part else counts

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions import geo, sale, schedule, text
-from marquee.operators import places, quality, reconcile, roster, search
+from marquee.operators import percolate, places, quality, reconcile, roster, search
 from marquee.plans.spec import FilterSpec, Search, default_facets, default_flags, in_range
-from marquee.sources.adapter import LISTING_SQL, NOW, TODAY, listing, read
+from marquee.sources.adapter import LISTING_SQL, NOW, TABS, TODAY, listing, read
 from marquee.sources.scratch import saver
 from marquee.streaming import jobs
 
@@ -240,32 +240,6 @@ def result_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.result_size(searchable(spark, sf_dir), spec_search())
 
 
-TOP = 200
-RANKED = lambda order: f" SELECT row_no, CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS place FROM ordered QUALIFY place <= {TOP}"
-
-
-def ranked(rows: DataFrame, spec: FilterSpec) -> DataFrame:
-    return search.numbered(rows, search.order_of(spec, TODAY), TOP).select("row_no", F.col("place").cast("long").alias("place"))
-
-
-@query(ORDERED_SQL + RANKED("ended, eff, rank, id, row_no"))
-def sort_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(listing(spark, sf_dir), FilterSpec())
-
-
-@query(ORDERED_SQL + RANKED("announced_date DESC NULLS LAST, ended, eff, rank, id, row_no"))
-def sort_announced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(listing(spark, sf_dir), FilterSpec(sort="announced"))
-
-
-@query(f", o AS (SELECT row_no, {HAV_SQL(*HERE).replace(' FROM (', ' AS km FROM (', 1)} FROM listing)) SELECT row_no, CAST(row_number() OVER (ORDER BY round(km, 9) NULLS LAST, row_no) AS BIGINT) AS place FROM o QUALIFY place <= {TOP}")
-def sort_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listing(spark, sf_dir).withColumn("km", F.round(geo.haversine(F.lit(HERE[0]), F.lit(HERE[1]), F.col("lat"), F.col("lng")), 9))
-    return search.numbered(rows, [F.col("km").asc_nulls_last(), F.col("row_no").asc()], TOP).select("row_no", F.col("place").cast("long").alias("place"))
-
-
-# the three above number the first TOP rows alone, as their SQL does; the next three number every row
-
 PLACED = lambda order: f" SELECT row_no, CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS place FROM ordered"
 
 
@@ -274,17 +248,17 @@ def all_placed(rows: DataFrame, order) -> DataFrame:
 
 
 @query(ORDERED_SQL + PLACED("ended, eff, rank, id, row_no"))
-def sort_default_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sort_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_placed(listing(spark, sf_dir), search.order_of(FilterSpec(), TODAY))
 
 
 @query(ORDERED_SQL + PLACED("announced_date DESC NULLS LAST, ended, eff, rank, id, row_no"))
-def sort_announced_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sort_announced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_placed(listing(spark, sf_dir), search.order_of(FilterSpec(sort="announced"), TODAY))
 
 
 @query(f", o AS (SELECT row_no, {HAV_SQL(*HERE).replace(' FROM (', ' AS km FROM (', 1)} FROM listing)) SELECT row_no, CAST(row_number() OVER (ORDER BY round(km, 9) NULLS LAST, row_no) AS BIGINT) AS place FROM o")
-def sort_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sort_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     km = F.round(geo.haversine(F.lit(HERE[0]), F.lit(HERE[1]), F.col("lat"), F.col("lng")), 9)
     return all_placed(listing(spark, sf_dir).select("row_no", km.alias("km")), [F.col("km").asc_nulls_last(), F.col("row_no").asc()])
 
@@ -294,38 +268,52 @@ def present_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.present_keys(listing(spark, sf_dir), F.col("cats"), ["PROMO", "ECONOMY"])
 
 
-SAVED_SQL = """, s AS (SELECT p_partkey AS search_id, CASE WHEN p_partkey % 3 <> 0 THEN [p_type, 'NONE'] END AS cats, CASE WHEN p_partkey % 2 = 0 THEN DATE '1997-01-01' + CAST(p_partkey % 900 AS INTEGER) END AS a,
-    lower(p_name) AS q, CASE WHEN p_partkey % 4 = 0 THEN 'EUROPE' END AS pref FROM part WHERE p_size = 7)"""
-
-
-MET_SQL = """ SELECT DISTINCT search_id, row_no FROM folded l JOIN s ON (s.cats IS NULL OR list_has_any(l.cats, s.cats)) AND contains(folded, q) AND (s.pref IS NULL OR s.pref = l.pref)
-    AND (a IS NULL OR len(list_filter(backup_date, lambda d: d BETWEEN a AND a + 30)) > 0 OR CASE WHEN len(dates) > 0 THEN len(list_filter(dates, lambda d: d BETWEEN a AND a + 30)) > 0
-      ELSE coalesce(end_date >= a, true) AND coalesce(start_date <= a + 30, true) END)"""
-ALL_SAVED_SQL = """, s AS (SELECT p_partkey AS search_id, CASE WHEN p_partkey % 3 <> 0 THEN [p_type, 'NONE'] END AS cats, CASE WHEN p_partkey % 2 = 0 THEN DATE '1997-01-01' + CAST(p_partkey % 900 AS INTEGER) END AS a,
-    lower(p_name) AS q, CASE WHEN p_partkey % 4 = 0 THEN 'EUROPE' END AS pref FROM part)"""
+#: A part's saved search. Equal names and types give many equal ones.
+SAVED_SQL = """, s AS (SELECT *, CASE WHEN terms IS NULL AND k % 4 = 0 THEN 'Supplier#' || lpad(CAST(k % 10 AS VARCHAR), 9, '0') END AS venue, terms IS NULL AND k % 4 = 1 AS circle,
+    34.5 + CAST(k % 300 AS DOUBLE) / 100 AS clat, 138.0 + CAST(k % 350 AS DOUBLE) / 100 AS clng, CASE WHEN k % 4 = 3 THEN 'EUROPE' END AS s_pref, terms IS NULL AND k % 4 >= 2 AS short, b + CASE WHEN terms IS NULL AND k % 4 >= 2 THEN 2 ELSE 30 END AS c FROM (
+    SELECT p_partkey AS k, p_partkey AS search_id, ['event', 'movie', 'live'][p_partkey % 3 + 1] AS s_tab, CASE WHEN p_partkey % 5 <> 4 THEN string_split(lower(p_name), ' ') END AS terms, CASE WHEN p_partkey % 7 < 4 THEN [p_type, 'NONE'] END AS s_cats,
+    CASE WHEN p_partkey % 2 = 0 OR p_partkey % 20 = 19 THEN DATE '1997-01-01' + CAST(p_partkey % 900 AS INTEGER) END AS b FROM part))"""
 
 
 def saved_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(search_id, query, p_size): a saved search for each part."""
+    """(search_id, query): a saved search for each part; names are typed in full width and back to front."""
     k = F.col("p_partkey")
+    spoken, number = k % 5 != 4, lambda m: F.format_string("%.2f", m)
+    short = ~spoken & (k % 4 >= 2)
     start = F.date_add(F.lit(date(1997, 1, 1)), (k % 900).cast("int"))
-    dates = F.when(k % 2 == 0, F.concat(F.lit("&from="), start.cast("string"), F.lit("&to="), F.date_add(start, 30).cast("string"))).otherwise("")
-    encoded = F.concat(F.lit("q="), F.url_encode("p_name"), F.when(k % 3 != 0, F.concat(F.lit("&f_cats="), F.url_encode(F.concat("p_type", F.lit(",NONE"))))).otherwise(""), dates, F.when(k % 4 == 0, "&pref=EUROPE").otherwise(""))
-    return read(spark, sf_dir, "part").select(k.alias("search_id"), encoded.alias("query"), "p_size")
+    end = F.date_add(start, F.when(short, 2).otherwise(30))
+    wide = F.translate("p_name", "".join(map(chr, range(0x21, 0x7F))), "".join(map(chr, range(0xFF01, 0xFF5F))))
+    label = F.url_encode(F.concat("p_type", F.lit(",NONE")))
+    part = lambda name, value, when: F.when(when, F.concat(F.lit(f"{name}="), value))
+    given = [
+        part("tab", F.element_at(F.array(*map(F.lit, TABS)), (k % 3 + 1).cast("int")), k % 3 != 0), part("q", F.url_encode(F.array_join(F.reverse(F.split(wide, " ")), "\u3000")), spoken),
+        part("cats", label, (k % 7 < 4) & (k % 3 == 0)), part("genre", label, (k % 7 < 4) & (k % 3 != 0)),
+        *[part(name, F.when(k % 6 == 0, b).otherwise(a).cast("string"), (k % 2 == 0) | (k % 20 == 19)) for name, a, b in (("from", start, end), ("to", end, start))],
+        part("venue", F.url_encode(F.concat(F.lit("Supplier#"), F.lpad((k % 10).cast("string"), 9, "0"))), ~spoken & (k % 4 == 0)),
+        part("map", F.concat_ws(",", number(F.lit(34.5) + (k % 300) / 100.0), number(F.lit(138.0) + (k % 350) / 100.0), F.lit("2.00")), ~spoken & (k % 4 == 1)),
+        part("pref", F.lit("EUROPE"), k % 4 == 3), part("f", F.concat_ws(",", F.when((k % 11 == 0) | short, "new"), F.when(k % 13 == 0, "onsale,beforeOnly")), (k % 11 == 0) | short | (k % 13 == 0)), part("sort", F.lit("new"), k % 17 == 0),
+    ]
+    return read(spark, sf_dir, "part").select(k.alias("search_id"), F.concat_ws("&", *given, F.when(k % 3 == 0, F.lit("tab=event"))).alias("query"))
+
+
+def saved_axes() -> dict[str, percolate.Axis]:
+    return {"cats": (F.col("cats"), ("event",)), "genre": (F.col("cats"), ("movie", "live")), "status": (F.array_compact(F.array(schedule.status(TODAY))), TABS)}
+
+
+def saved_switches() -> dict[str, percolate.Switch]:
+    short = {"newOnly": "new", "onsaleOnly": "onsale", "beforeOnly": "before", "limitedOnly": "limited"}
+    return {short[f.name]: (f.name, f.test, TABS) for f in default_flags(TODAY, NOW)}
 
 
 @query(
-    FOLDED_SQL + SAVED_SQL + """ SELECT DISTINCT search_id, row_no FROM folded l JOIN s ON (s.cats IS NULL OR list_has_any(l.cats, s.cats)) AND contains(folded, q) AND (s.pref IS NULL OR s.pref = l.pref)
-    AND (a IS NULL OR len(list_filter(backup_date, lambda d: d BETWEEN a AND a + 30)) > 0 OR CASE WHEN len(dates) > 0 THEN len(list_filter(dates, lambda d: d BETWEEN a AND a + 30)) > 0
-      ELSE coalesce(end_date >= a, true) AND coalesce(start_date <= a + 30, true) END)"""
+    FOLDED_SQL + SAVED_SQL + f""" SELECT search_id, row_no FROM (SELECT *, {STATE_SQL} AS state, coalesce({F_NEW}, false) AS fresh FROM folded) l JOIN s ON l.tab = s.s_tab
+    AND (terms IS NULL OR (contains(folded, terms[1]) AND contains(folded, terms[-1]))) AND (s_cats IS NULL OR list_has_any(l.cats, s_cats))
+    AND (b IS NULL OR len(list_filter(backup_date, lambda d: d BETWEEN b AND c)) > 0 OR CASE WHEN len(dates) > 0 THEN len(list_filter(dates, lambda d: d BETWEEN b AND c)) > 0 ELSE coalesce(end_date >= b, true) AND coalesce(start_date <= c, true) END)
+    AND (fresh OR NOT (k % 11 = 0 OR short)) AND (state = 'open' OR k % 13 <> 0)
+    AND CASE WHEN circle THEN coalesce(2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(lat)) * pow(sin(radians(lng - clng) / 2), 2))) <= 2, false) WHEN venue IS NOT NULL THEN list_contains(venues, venue) WHEN s_pref IS NOT NULL THEN coalesce(l.pref = s_pref, false) ELSE true END"""
 )
 def saved_search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.saved_search_matches(searchable(spark, sf_dir), saved_searches(spark, sf_dir).filter("p_size = 7").drop("p_size"))
-
-
-@query(FOLDED_SQL + ALL_SAVED_SQL + MET_SQL)
-def saved_search_matches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.saved_search_matches(searchable(spark, sf_dir), saved_searches(spark, sf_dir).drop("p_size"))
+    return percolate.matches(searchable(spark, sf_dir), saved_searches(spark, sf_dir), TABS, saved_axes(), saved_switches(), saver(spark))
 
 
 # --- places and series ---
@@ -539,30 +527,21 @@ def supplier_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hit_log(spark: SparkSession, sf_dir: str, some: str = "l_suppkey % 2 = 1") -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("day")).filter(f"day < '1998-06-15' and {some}")
+def hit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("day")).filter("day < '1998-06-15'")
     return lines.join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.upper("s_name").alias("name"), "day")
 
 
-@query(
-    ROSTER_SQL + """, h AS (SELECT s_name AS name, max(CAST(l_shipdate AS DATE)) AS d, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE CAST(l_shipdate AS DATE) < DATE '1998-06-15' AND l_suppkey % 2 = 1 GROUP BY s_name)
-    SELECT r.name, CASE WHEN status = 'candidate' AND n IS NOT NULL AND coalesce(hit_count, 0) + coalesce(n, 0) >= 2 THEN 'active' ELSE status END AS status, CAST(CASE WHEN d IS NULL OR last_hit > d THEN last_hit ELSE d END AS VARCHAR) AS last_hit, coalesce(hit_count, 0) + coalesce(n, 0) AS hit_count FROM r LEFT JOIN h USING (name)""",
-    base="",
-)
-def roster_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roster.hits(supplier_roster(spark, sf_dir), hit_log(spark, sf_dir)).select("name", "status", day("last_hit"), "hit_count")
-
-
 @query(
     ROSTER_SQL + """, o AS (SELECT * FROM r UNION ALL SELECT k, 'New ' || name, status, first_seen, last_hit, hit_count, closed_until, pref FROM r), h AS (SELECT s_name AS name, max(CAST(l_shipdate AS DATE)) AS d, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE CAST(l_shipdate AS DATE) < DATE '1998-06-15' GROUP BY s_name)
     SELECT o.name, CASE WHEN status = 'candidate' AND n IS NOT NULL AND coalesce(hit_count, 0) + coalesce(n, 0) >= 2 THEN 'active' ELSE status END AS status, CAST(CASE WHEN d IS NULL OR last_hit > d THEN last_hit ELSE d END AS VARCHAR) AS last_hit, coalesce(hit_count, 0) + coalesce(n, 0) AS hit_count FROM o LEFT JOIN h USING (name)""",
     base="",
 )
-def roster_hits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def roster_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines before the day; a second place of each supplier has no hits."""
     own = supplier_roster(spark, sf_dir)
     both = own.union(own.withColumn("name", F.concat(F.lit("New "), "name")).select(*own.columns))
-    return roster.hits(both, hit_log(spark, sf_dir, "true")).select("name", "status", day("last_hit"), "hit_count")
+    return roster.hits(both, hit_log(spark, sf_dir)).select("name", "status", day("last_hit"), "hit_count")
 
 
 @query(ROSTER_SQL + " SELECT k, CASE WHEN status = 'candidate' AND idle > 60 THEN 'retired' WHEN coalesce(status, 'active') = 'active' AND idle > 180 THEN 'candidate' ELSE status END AS status, idle FROM (SELECT *, DATE '1998-06-15' - coalesce(last_hit, first_seen) AS idle FROM r)", base="")
