@@ -7,7 +7,7 @@ import re
 import duckdb
 import pytest
 
-from marquee.plans import details  # noqa: F401
+from marquee.plans import details, upkeep  # noqa: F401
 from marquee.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
