@@ -12,9 +12,9 @@ from marquee.operators.search import placed
 LEAST, LEAST_SAME_PLACE = 0.82, 0.45
 
 
-def last_per_uid(rows: DataFrame, order: str = "row_no") -> DataFrame:
-    """Rows of equal uid collapse, the last one stays."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
+def last_per_uid(rows: DataFrame, order: str = "row_no", within: list[str] = ()) -> DataFrame:
+    """Rows of equal uid (and of equal columns `within`) collapse, the last one stays."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("uid", *within).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
 
 
 def added(prev: DataFrame, cur: DataFrame) -> DataFrame:

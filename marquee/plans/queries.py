@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marquee.functions import geo, sale, schedule, text
 from marquee.operators import percolate, places, quality, reconcile, roster, search
 from marquee.plans.spec import FilterSpec, Search, default_facets, default_flags, in_range
+from marquee.sources import landing
 from marquee.sources.adapter import LISTING_SQL, NOW, TABS, TODAY, listing, read
 from marquee.sources.scratch import saver
 from marquee.streaming import jobs
@@ -385,11 +386,19 @@ cur AS (SELECT * EXCLUDE (end_date, onsale_label), CASE WHEN id % 11 = 0 THEN en
 gone AS (SELECT * FROM prev WHERE uid NOT IN (SELECT uid FROM cur)), added AS (SELECT * FROM cur WHERE uid NOT IN (SELECT uid FROM prev)), dispo AS (SELECT uid, ['ended', 'cancelled', 'renamed', 'moved', 'merged', 'unknown'][id % 6 + 1] AS code, id FROM gone WHERE id % 4 <> 0)"""
 
 
+PREVIOUS_DAY = date(1998, 6, 8)
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = listing(spark, sf_dir).withColumn("uid", text.key_uid(text.natural_key(F.col("title"), F.col("venues"), F.col("start_date"))))
-    prev = reconcile.last_per_uid(rows.filter("id % 20 <> 3"))
-    moved = rows.filter("id % 20 <> 7").withColumns({"end_date": F.when(F.col("id") % 11 == 0, F.date_add("end_date", 1)).otherwise(F.col("end_date")), "onsale_label": F.when(F.col("id") % 44 == 0, "changed").otherwise(F.col("onsale_label"))})
-    return prev, reconcile.last_per_uid(moved)
+    """The previous and the current snapshot, landed once in a session."""
+
+    def make() -> dict[date, DataFrame]:
+        rows = listing(spark, sf_dir).withColumn("uid", text.key_uid(text.natural_key(F.col("title"), F.col("venues"), F.col("start_date"))))
+        moved = rows.filter("id % 20 <> 7").withColumns({"end_date": F.when(F.col("id") % 11 == 0, F.date_add("end_date", 1)).otherwise(F.col("end_date")), "onsale_label": F.when(F.col("id") % 44 == 0, "changed").otherwise(F.col("onsale_label"))})
+        return {PREVIOUS_DAY: rows.filter("id % 20 <> 3"), TODAY: moved}
+
+    table = landing.landed_once(spark, sf_dir, make)
+    return landing.snapshot(spark, table, PREVIOUS_DAY), landing.snapshot(spark, table, TODAY)
 
 
 def dispositions(gone: DataFrame) -> DataFrame:
