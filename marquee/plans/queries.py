@@ -191,7 +191,8 @@ MATCHED_SQL = FOLDED_SQL + f", m AS (SELECT *, {M_TEXT} AND {M_DATE} AS base, {M
 
 
 def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing(spark, sf_dir).withColumn("folded", text.fold(text.haystack()))
+    """The listing with its folded text, which is stored with it: it is folded once, not for every search."""
+    return landing.parquet_once(spark, f"searchable {sf_dir}", lambda: listing(spark, sf_dir).withColumn("folded", text.fold(text.haystack())), "tab")
 
 
 def spec_search(spec: FilterSpec = SPEC) -> Search:

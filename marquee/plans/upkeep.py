@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from marquee.operators import quality
 from marquee.plans.queries import ROSTER_SQL, day, query, supplier_roster
-from marquee.sources import publish
-from marquee.sources.adapter import TODAY, listing, read
-from marquee.sources.scratch import shared_root
+from marquee.sources import publish, readers
+from marquee.sources.adapter import TABS, TODAY, listing, read
+from marquee.sources.scratch import saver, shared_root
 from marquee.streaming import intake, promotion
 
 LAST_ID = 1000
@@ -112,3 +112,35 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     for c in counts[1:]:
         out = out.union(c)
     return out
+
+
+SET_COLUMNS = {"title": ("title", "txt"), "venues": ("venues", "list"), "start_date": ("start_date", "txt"), "lat": ("lat", "num")}
+
+
+def set_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the three sets as CSV files, each in the order of ids, every ninth title blank."""
+    root = f"{shared_root(spark)}/sets-{uuid.uuid4().hex[:12]}"
+    rows = listing(spark, sf_dir).select("id", "tab", F.when(F.col("id") % 9 != 0, F.col("title")).alias("title"), F.array_join("venues", "|").alias("venues"), day("start_date"), F.col("lat").cast("string").alias("lat"))
+    for tab in TABS:
+        own = rows.filter(F.col("tab") == tab).drop("tab").repartitionByRange("id").sortWithinPartitions("id")
+        readers.write_listing(own.select(F.col("title").alias(" title "), "venues", "start_date", "lat"), f"{root}/{tab}", [" title ", "venues", "start_date", "lat"])
+    return root
+
+
+@query(", f AS (SELECT *, row_number() OVER (PARTITION BY tab ORDER BY id) - 1 AS n FROM listing) SELECT tab, n AS row_no, tab || '-' || n AS \"key\", CASE WHEN id % 9 <> 0 THEN title ELSE '(' || tab || ')' END AS title, len(venues) AS venues, CAST(start_date AS VARCHAR) AS start_date, round(lat, 6) AS lat FROM f")
+def loaded_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sets written as files, loaded and united again: rows are numbered as they stand in the files."""
+    root, save = set_files(spark, sf_dir), saver(spark)
+    sets = {tab: readers.load_set(spark, f"{root}/{tab}", SET_COLUMNS, save, tab, untitled=f"({tab})").drop("tab") for tab in TABS}
+    return readers.all_sets(sets).select("tab", "row_no", "key", "title", F.size("venues").cast("long").alias("venues"), "start_date", F.round("lat", 6).alias("lat"))
+
+
+@query("SELECT tab AS dataset, CASE tab WHEN 'movie' THEN '2026-07-01' WHEN 'live' THEN '2026-07-02' ELSE 'today' END AS updated, count(*) AS n FROM listing GROUP BY tab")
+def set_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each set was updated: by the manifest where it names the set (a bare day as it is, an instant as the day in Japan), else by its files' times."""
+    root = set_files(spark, sf_dir)
+    manifest = spark.createDataFrame([("movie", "2026-07-01"), ("live", "2026-07-01T20:00:00Z")], "dataset string, value string")
+    told = readers.freshness(readers.file_times(spark, {tab: f"{root}/{tab}" for tab in TABS}), manifest)
+    recent = F.datediff(readers.japan_date(F.current_timestamp()), "updated").between(0, 1)
+    counts = listing(spark, sf_dir).groupBy(F.col("tab").alias("dataset")).agg(F.count("*").alias("n"))
+    return told.join(counts, "dataset").select("dataset", F.when(recent, "today").otherwise(F.col("updated").cast("string")).alias("updated"), "n")

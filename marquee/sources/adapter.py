@@ -8,6 +8,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.sources import landing
+
 #: The clock of the registered queries: a calendar day, and an instant of the listing's own zone.
 TODAY, NOW = date(1998, 6, 15), datetime(1998, 6, 15, 9, 0)
 DEFAULT_TITLE = "(untitled)"
@@ -35,6 +37,11 @@ def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing table, landed once in a session and cut by tab: searches and counts read its columns, not six tables."""
+    return landing.parquet_once(spark, f"listing {sf_dir}", lambda: derived_listing(spark, sf_dir), "tab")
+
+
+def derived_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     places = (
         read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))

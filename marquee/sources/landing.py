@@ -10,16 +10,35 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.operators.reconcile import last_per_uid
 from marquee.sources.scratch import shared_root
 
-#: Tables of this process by application and what they were made of.
+#: Tables and folders of this process by application and what they were made of.
 _landed: dict[tuple[str, str], str] = {}
 
 
+def parquet_once(spark: SparkSession, what: str, make, partition: str) -> DataFrame:
+    """The rows that make() gives, as Parquet cut by `partition`: written once in an application for each `what`, and read from then on."""
+    rows = make()
+    key = (spark.sparkContext.applicationId, what)
+    for _ in range(2):
+        if key not in _landed:
+            path = f"{shared_root(spark)}/landed-{uuid.uuid4().hex[:12]}"
+            rows.write.partitionBy(partition).parquet(path)
+            _landed[key] = path
+        try:
+            return spark.read.schema(rows.schema).parquet(_landed[key]).select(*rows.columns)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            del _landed[key]  # the folder was cleared meanwhile
+    raise FileNotFoundError(what)
+
+
 def land(snapshots: dict[date, DataFrame], buckets: int | None = None, order: str = "row_no") -> str:
     """The name of a new table of these snapshots, whose rows have a uid; columns that one lacks are null there."""
     out = None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,26 +21,57 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -
     dropped and header names trimmed. With `columns`, unknown ones are ignored and missing ones are null.
 
     A file with line breaks in cells can't be split; land it as Parquet before large jobs."""
-    raw = spark.read.options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", inferSchema=False).csv(path)
-    raw = raw.toDF(*[c.strip().removeprefix("﻿") for c in raw.columns])
+    raw = _cells(spark, path)
     if columns is None:
         return raw.na.drop("all")
     return raw.select(*[F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string").alias(c) for c in columns]).na.drop("all")
 
 
-def load_set(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]], title: str = "title", untitled: str | None = None) -> DataFrame:
-    """A listing set's file, typed, with row_no from the file's order and `untitled` for blank titles. A file that is missing or has no
-    rows raises ValueError, as a set must not vanish unseen."""
+def _cells(spark: SparkSession, path: str, *more: Column) -> DataFrame:
+    raw = spark.read.options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", inferSchema=False).csv(path)
+    names = [c.strip().removeprefix("﻿") for c in raw.columns]
+    return raw.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(raw.columns, names, strict=True)], *more)
+
+
+def in_file_order(spark: SparkSession, path: str, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The cells of one or more CSV files with row_no, the place of the row from 0: files in the order of their names, and rows as they stand in them,
+    blank ones left out. A file is read by one task, in order, so its rows' places need no sort; the driver gets a row for each file. `save`
+    writes a table and reads it again."""
+    raw = _cells(spark, path, F.col("_metadata.file_path").alias("_file"))
+    cells = [c for c in raw.columns if c != "_file"]
+    rows = save(raw.na.drop("all", subset=cells).withColumn("_at", F.monotonically_increasing_id()))
+    base, at = [], 0
+    for r in rows.groupBy("_file").agg(F.min("_at").alias("first"), F.count("*").alias("n")).orderBy("_file").collect():
+        base.append((r["_file"], at - r["first"]))
+        at += r["n"]
+    bases = F.broadcast(spark.createDataFrame(base, "_file string, _shift long"))
+    return rows.join(bases, "_file").withColumn("row_no", F.col("_at") + F.col("_shift")).drop("_file", "_at", "_shift")
+
+
+def load_set(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]], save: Callable[[DataFrame], DataFrame], tab: str | None = None, title: str = "title", untitled: str | None = None) -> DataFrame:
+    """A listing set's files, typed, with row_no from the files' order and `untitled` for blank titles; with a `tab`, that and the positional key too. A path that
+    is missing or has no rows raises ValueError, as a set must not vanish unseen."""
     try:
-        raw = read_csv(spark, path)
+        raw = in_file_order(spark, path, save)
     except AnalysisException as e:
         raise ValueError(f"{path} can't be read") from e
     if raw.isEmpty():
         raise ValueError(f"{path} has no rows")
-    rows = typed(raw, columns).withColumn("row_no", F.monotonically_increasing_id())
+    rows = typed(raw, {**columns, "row_no": ("row_no", "keep")})
+    if tab is not None:
+        rows = rows.withColumns({"tab": F.lit(tab), "key": F.concat(F.lit(f"{tab}-"), F.col("row_no").cast("string"))})
     return rows.withColumn(title, F.coalesce(title, F.lit(untitled))) if untitled is not None else rows
 
 
+def file_times(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(dataset, modified) of the newest file below each path, as the file system tells it; no file is opened."""
+    out = None
+    for name, path in paths.items():
+        own = spark.read.format("binaryFile").load(path).agg(F.lit(name).alias("dataset"), F.max("modificationTime").alias("modified"))
+        out = own if out is None else out.union(own)
+    return out
+
+
 MASTER = {"name": ("name", "txt"), "pref": ("pref", "txt"), "area": ("area", "txt"), "lat": ("lat", "num"), "lng": ("lng", "num"), "url": ("url", "txt")}
 # Fixed value: how a theatre without a name is called.
 NO_NAME = "(店舗名未設定)"
@@ -74,7 +107,7 @@ def typed(raw: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
 
     def one(out: str, source: str, cast: str) -> Column:
         cell = F.col(f"`{source}`") if source in raw.columns else F.lit(None).cast("string")
-        return casts.CASTS[cast](cell).alias(out)
+        return (cell if cast == "keep" else casts.CASTS[cast](cell)).alias(out)
 
     return raw.select(*[one(out, *spec) for out, spec in columns.items()])
 
