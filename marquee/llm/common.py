@@ -78,9 +78,10 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def tidy() -> None:
-    """At the start of a task's work: a worker gives back what other operators' tasks left in its memory."""
-    TextEncoder.kept.clear()
+def tidy(keep: str | None = None) -> None:
+    """At the start of a task's work: a worker gives back what other operators' tasks left in its memory, but for the encoder of the file `keep`."""
+    for path in [p for p in TextEncoder.kept if p != keep]:
+        del TextEncoder.kept[path]
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -250,10 +251,11 @@ class TextEncoder:
     """Texts -> their ids, by a `tokenizers` file, remembering the ids of pieces met before.
 
     Texts are cut into units of which the ids don't depend on each other (unit_starts). A unit is found again by a hash under this worker's own key, and is
-    the same only if its bytes are; new ones are given to the tokenizer. A text that holds one of the tokenizer's special tokens is encoded whole. Beyond `limit` units all are forgotten,
-    so a worker's memory doesn't grow with its input."""
+    the same only if its bytes are; new ones are given to the tokenizer. A text that holds one of the tokenizer's special tokens is encoded whole. Beyond `limit` units, or `MOST_BYTES`
+    of them, all are forgotten, so a worker's memory doesn't grow with its input."""
 
     kept: ClassVar[dict[str, TextEncoder]] = {}
+    MOST_BYTES = 32 << 20
     LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 
     def __init__(self, path: str, limit: int = 1_500_000):
@@ -277,7 +279,7 @@ class TextEncoder:
         bits = max(10, (2 * self.limit).bit_length())
         self.slots, self.shift = np.full(1 << bits, -1, np.int32), np.uint64(64 - bits)
         self.hash, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.dtype)
-        self.bytes, self.byte_at, self.size = padded_words(np.zeros(0, np.uint8)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes, self.byte_at, self.size = padded_words(np.zeros(0, np.uint8)), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     @classmethod
     def of(cls, path: str) -> TextEncoder:
@@ -336,8 +338,8 @@ class TextEncoder:
             slot[todo] = (slot[todo] + 1) & (len(self.slots) - 1)
         self.hash, self.at = np.concatenate([self.hash, h]), np.concatenate([self.at, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])
         self.n, self.pool = np.concatenate([self.n, n]), np.concatenate([self.pool, ids])
-        known, size = len(self.bytes) - 1, np.array([len(texts[i]) for i in order], np.int64)
-        self.byte_at, self.size = np.concatenate([self.byte_at, known + np.cumsum(size) - size]), np.concatenate([self.size, size])
+        known, size = len(self.bytes) - 1, np.array([len(texts[i]) for i in order], np.int32)
+        self.byte_at, self.size = np.concatenate([self.byte_at, (known + np.cumsum(size, dtype=np.int64) - size).astype(np.int32)]), np.concatenate([self.size, size])
         self.bytes = padded_words(np.concatenate([self.bytes.base[:known], np.frombuffer(b"".join([texts[i] for i in order]), np.uint8)]))
 
     def some(self, u: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +348,7 @@ class TextEncoder:
         h = run_hashes(u, starts, size, self.key, eight)
         place = self.find(h, eight, starts, size)
         new = np.flatnonzero(place < 0)
-        if len(self.hash) + len(new) > self.limit and len(new):
+        if len(new) and (len(self.hash) + len(new) > self.limit or len(self.bytes) + int(size[new].sum()) > self.MOST_BYTES):
             self.forget()
             self.slots = np.full(max(len(self.slots), 1 << (2 * len(h)).bit_length()), -1, np.int32)
             self.shift = np.uint64(64 - (len(self.slots) - 1).bit_length())

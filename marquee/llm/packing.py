@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextEncoder, cut_bytes, n_parts, running_start, saved
+from .common import TextEncoder, cut_bytes, n_parts, running_start, saved, tidy
 
 END_ID, SIZE = 2, 4096
 BUCKETS, DIMS, BITS = 1024, 4, 10
@@ -75,6 +75,7 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, row, key, n, ids): ids are little-endian, as wide as the vocabulary needs, with the end id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(tokenizer)
         encoder = TextEncoder.of(tokenizer)
         for batch in batches:
             for rows, ids, n in encoder(batch.column("text"), END_ID):

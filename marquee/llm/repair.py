@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextEncoder, filesystem, n_parts, running_start, saved, shared_dir, write_file
+from .common import TextEncoder, filesystem, n_parts, running_start, saved, shared_dir, tidy, write_file
 
 MAGIC, END_ID = b"RPG1", 2
 #: Ids a shard; a task holds one shard at a time.
@@ -194,6 +194,7 @@ def write(docs: DataFrame, tokenizer: str, shard_ids: int = SHARD_IDS) -> DataFr
     folder = shared_dir(spark, "repair")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy(tokenizer)
         encoder, pid, k = TextEncoder.of(tokenizer), TaskContext.get().partitionId(), 0
         base = encoder.vocab_size
         doc_ids, ids, counts, held = [], [], [], 0
