@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import text
@@ -66,16 +66,35 @@ def title_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
 
 def rename_candidates(gone_rows: DataFrame, added_rows: DataFrame) -> DataFrame:
-    """(prev_uid, uid, score): a similar title, or a somewhat similar one at the same place and date. Rows are (uid, title, place,
-    day) with normalised titles; blank parts of the older row's key are left out, at least two must be shared."""
-    g = gone_rows.select(F.col("uid").alias("a"), "title", "place", "day")
-    n = added_rows.select(F.col("uid").alias("b"), "title", "place", "day")
+    """The same for rows (uid, title, place, day): a key of three parts."""
+    key = F.array("title", F.coalesce("place", F.lit("")), F.coalesce(F.col("day").cast("string"), F.lit("")))
+    return renames_by_key(gone_rows.select("uid", key.alias("key")), added_rows.select("uid", key.alias("key")))
+
+
+def subsets(parts: Column, most: int) -> Column:
+    """All sorted subsets of at least two of a key's few distinct parts, each as one text."""
+    own = F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
+    masks = F.filter(F.sequence(F.lit(1), F.greatest(F.pow(F.lit(2.0), F.size(own)).cast("int") - 1, F.lit(1))), lambda m: F.bit_count(m) >= 2)
+    bit = lambda m, i: F.floor(m / F.pow(F.lit(2.0), i)).cast("int") % 2 == 1
+    chosen = F.transform(masks, lambda m: F.array_join(F.filter(own, lambda x, i: bit(m, i)), "\x1f"))
+    return F.when((F.size(own) >= 2) & (F.size(own) <= most), chosen).otherwise(F.array().cast("array<string>"))
+
+
+def renames_by_key(gone_rows: DataFrame, added_rows: DataFrame, parts: int = 6) -> DataFrame:
+    """(prev_uid, uid, score): a similar title, or a somewhat similar one where all else is shared: every non-blank part of the older row's key behind
+    the title is one of the newer one's, and there are two at least. Rows are (uid, key), the key's first part being the title and all parts normalised; two equal
+    parts count once among the shared ones, so a key that repeats a part isn't shared. The newer rows' keys, of at most `parts` parts, are met by their subsets: an
+    equi-join of the older row's whole rest with them."""
+    g = gone_rows.select(F.col("uid").alias("a"), F.coalesce(F.col("key")[0], F.lit("")).alias("title"), F.slice("key", 2, 99).alias("rest"))
+    n = added_rows.select(F.col("uid").alias("b"), F.coalesce(F.col("key")[0], F.lit("")).alias("title"), F.slice("key", 2, 99).alias("rest"))
     # titles are compared once each, however many rows have them
     once = lambda df, name: df.filter("title <> ''").select(F.col("title").alias(name), "title").distinct()
     alike = title_pairs(once(g, "a"), once(n, "b"), LEAST).toDF("ta", "tb", "score")
     similar = alike.join(g.select("a", F.col("title").alias("ta")), "ta").join(n.select("b", F.col("title").alias("tb")), "tb").select("a", "b", "score")
-    placed = g.filter("place <> '' and day is not null").withColumnRenamed("title", "ta").join(n.withColumnRenamed("title", "tb"), ["place", "day"])
-    same = placed.select("a", "b", text.multiset_similarity(F.col("ta"), F.col("tb")).alias("score")).filter(F.col("score") >= LEAST_SAME_PLACE)
+    own = F.filter("rest", lambda x: x != "")
+    whole = g.filter((F.size(own) >= 2) & (F.size(own) == F.size(F.array_distinct(own)))).select("a", F.col("title").alias("ta"), F.array_join(F.array_sort(own), "\x1f").alias("shared"))
+    met = whole.join(n.select("b", F.col("title").alias("tb"), F.explode(subsets(F.col("rest"), parts)).alias("shared")), "shared")
+    same = met.select("a", "b", text.multiset_similarity(F.col("ta"), F.col("tb")).alias("score")).filter(F.col("score") >= LEAST_SAME_PLACE)
     return similar.union(same).distinct().select(F.col("a").alias("prev_uid"), F.col("b").alias("uid"), "score")
 
 

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions import text
+from marquee.functions import exact, text
 
 # Days of ageing and review, hits for promotion, length limits, phrases that look like instructions.
 CANDIDATE_DAYS, ACTIVE_DAYS, PROMOTE_HITS = 60, 180, 2
@@ -31,8 +31,9 @@ def _wide() -> tuple[str, str]:
 
 def hits(roster: DataFrame, log: DataFrame) -> DataFrame:
     """The roster after a log of (name, day): last_hit never moves back, hit_count adds up, candidates with enough hits become active."""
-    own = log.groupBy(name_key(F.col("name")).alias("_key")).agg(F.max("day").alias("_day"), F.count("*").alias("_n"))
-    rows = roster.withColumn("_key", name_key(F.col("name"))).join(own, "_key", "left")
+    each = log.groupBy("name").agg(F.max("day").alias("_day"), F.count("*").alias("_n"))  # names are normalised once each
+    own = exact.with_norms(each, {"_key": (F.col("name"), exact.ROSTER)}).groupBy("_key").agg(F.max("_day").alias("_day"), F.sum("_n").alias("_n"))
+    rows = exact.with_norms(roster, {"_key": (F.col("name"), exact.ROSTER)}).join(own, "_key", "left")
     count = F.coalesce("hit_count", F.lit(0)) + F.coalesce("_n", F.lit(0))
     promoted = (F.col("status") == "candidate") & F.col("_n").isNotNull() & (count >= PROMOTE_HITS)
     return rows.withColumns({"last_hit": F.greatest("last_hit", "_day"), "hit_count": count, "status": F.when(promoted, "active").otherwise(F.col("status"))}).select(*roster.columns)
@@ -85,9 +86,8 @@ def open_places(roster: DataFrame, today: date, pref: str | None = None, kind: s
 
 def quarantine(rows: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """`rows` with clean (NFKC, trimmed, without control characters) and reason: why a value is held back, else null."""
-    c = F.coalesce(F.col(column), F.lit(""))
-    plain = text.either(c, c.rlike(text.COVERED), F.translate(c, *_wide()), text.plain_any)
-    clean = F.regexp_replace(F.trim(plain), CONTROL, "")
+    rows = exact.with_norms(rows, {"clean": (F.coalesce(F.col(column), F.lit("")), exact.PLAIN)})
+    clean = F.regexp_replace(F.trim("clean"), CONTROL, "")
     most = limit if limit is not None else MAX_LENGTH.get(column)
     reason = F.when(F.col("clean").rlike(SUSPICIOUS), "instruction-like")
     return rows.withColumn("clean", clean).withColumn("reason", reason.when(F.length("clean") > most, "too long") if most else reason)
@@ -124,7 +124,8 @@ def worklist(rows: DataFrame, today: date, tiers: list[str] = ()) -> DataFrame:
     tier, reasons = review(today, rows.columns)
     rows = rows.filter(tier.isin(list(tiers))) if tiers else rows
     short = lambda c: F.substring(F.col(c).cast("string"), 6, 5)
+    rows = exact.with_natural_key(rows, "_natural", F.col("title"), F.get("venues", F.lit(0)), F.col("start_date"))
     return rows.select(
-        text.key_uid(text.natural_key(F.col("title"), F.col("venues"), F.col("start_date")), 8).alias("uid"), "row_no", tier.alias("tier"), "pref", text.clip(F.col("title"), 24).alias("title"),
+        text.key_uid(F.col("_natural"), 8).alias("uid"), "row_no", tier.alias("tier"), "pref", text.clip(F.col("title"), 24).alias("title"),
         text.clip(F.get("venues", F.lit(0)), 16).alias("venue"), F.concat_ws("~", short("start_date"), short("end_date")).alias("span"), F.col("onsale_end").cast("string").alias("deadline"), F.array_join(reasons, "; ").alias("reasons"),
     )

@@ -148,6 +148,27 @@ def film_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir).filter("tab = 'movie'").select("row_no", text.key_uid(key).alias("uid"), text.key_uid(key, 8).alias("short"))
 
 
+FILM_SQL = """, fk AS (SELECT id, row_no, nt AS t, coalesce(replace(CAST(start_date AS VARCHAR), '-', ''), '') AS d, lower(regexp_replace(coalesce(screening_type, ''), '[^A-Za-z0-9]', '', 'g')) AS y,
+    CASE WHEN starts_with(trim(coalesce(screening_type, '')), 'new') THEN '' ELSE coalesce(lower(regexp_replace(venues[1], '[^A-Za-z0-9]', '', 'g')), '') END AS p FROM (SELECT *, lower(regexp_replace(title, '[^A-Za-z0-9]', '', 'g')) AS nt FROM derived WHERE tab = 'movie')),
+    fu AS (SELECT *, sha1(t || chr(31) || d || chr(31) || y || chr(31) || p) AS uid FROM fk), fp AS (SELECT * FROM fu WHERE id % 20 <> 3 QUALIFY row_number() OVER (PARTITION BY uid ORDER BY row_no DESC) = 1),
+    fc AS (SELECT * FROM fu WHERE id % 20 <> 7 QUALIFY row_number() OVER (PARTITION BY uid ORDER BY row_no DESC) = 1), fgone AS (SELECT * FROM fp WHERE uid NOT IN (SELECT uid FROM fc)), fadd AS (SELECT * FROM fc WHERE uid NOT IN (SELECT uid FROM fp)),
+    letters AS (SELECT chr(CAST(i + 96 AS INTEGER)) AS ch FROM range(1, 27) t(i) UNION ALL SELECT chr(CAST(i + 47 AS INTEGER)) FROM range(1, 11) t(i)),
+    sims AS (SELECT x.t AS ta, y.t AS tb, sum(least(len(x.t) - len(replace(x.t, ch, '')), len(y.t) - len(replace(y.t, ch, '')))) / CAST(least(len(x.t), len(y.t)) AS DOUBLE) AS score FROM (SELECT DISTINCT t FROM fgone) x, (SELECT DISTINCT t FROM fadd) y, letters WHERE x.t <> '' AND y.t <> '' GROUP BY x.t, y.t)"""
+
+
+@query(
+    DERIVED_SQL + FILM_SQL + """ SELECT g.uid AS prev_uid, a.uid AS uid, round(score, 6) AS score FROM fgone g JOIN sims ON g.t = ta JOIN fadd a ON a.t = tb
+    WHERE score >= 0.82 OR (score >= 0.45 AND len(list_filter([g.d, g.y, g.p], lambda x: x <> '')) >= 2 AND len(list_distinct(list_filter([g.d, g.y, g.p], lambda x: x <> '' AND list_contains([a.d, a.y, a.p], x)))) >= len(list_filter([g.d, g.y, g.p], lambda x: x <> '')))"""
+)
+def film_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Films by their key of four parts: gone and new ones that may be the same."""
+    films = derived(spark, sf_dir).filter("tab = 'movie'")
+    films = films.withColumn("key", text.film_key(F.col("title"), F.col("start_date"), F.col("screening_type"), F.array_join("venues", "|"))).withColumn("uid", text.key_uid(F.col("key"))).select("uid", "row_no", "id", "key")
+    films = saver(spark)(films)
+    prev, cur = (reconcile.last_per_uid(films.filter(F.col("id") % 20 != k)) for k in (3, 7))
+    return reconcile.renames_by_key(reconcile.gone(prev, cur), reconcile.added(prev, cur)).select("prev_uid", "uid", F.round("score", 6).alias("score"))
+
+
 UID_SQL = """, p AS (SELECT row_no, concat_ws('|', nullif(title, ''), nullif(venues[1], ''), CAST(start_date AS VARCHAR)) || '|😀' AS s FROM listing),
 h AS (SELECT row_no, list_reduce(list_prepend(CAST(5381 AS BIGINT), flatten(list_transform(list_filter(string_split(s, ''), lambda c: c <> ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [CAST(55296 + (unicode(c) - 65536) // 1024 AS BIGINT), CAST(56320 + (unicode(c) - 65536) % 1024 AS BIGINT)] ELSE [CAST(unicode(c) AS BIGINT)] END))), lambda h, c: (h * 33 + c) % 4294967296) AS h FROM p)"""
 

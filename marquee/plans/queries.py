@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.functions import geo, sale, schedule, text
+from marquee.functions import exact, geo, sale, schedule, text
 from marquee.operators import percolate, places, quality, reconcile, roster, search
 from marquee.plans.spec import FilterSpec, Search, default_facets, default_flags, in_range
 from marquee.sources import landing
@@ -192,7 +192,7 @@ MATCHED_SQL = FOLDED_SQL + f", m AS (SELECT *, {M_TEXT} AND {M_DATE} AS base, {M
 
 def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing with its folded text, which is stored with it: it is folded once, not for every search."""
-    return landing.parquet_once(spark, f"searchable {sf_dir}", lambda: listing(spark, sf_dir).withColumn("folded", text.fold(text.haystack())), "tab")
+    return landing.parquet_once(spark, f"searchable {sf_dir}", lambda: exact.with_norms(listing(spark, sf_dir), {"folded": (text.haystack(), exact.SEARCH)}), "tab")
 
 
 def spec_search(spec: FilterSpec = SPEC) -> Search:
@@ -394,7 +394,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The previous and the current snapshot, landed once in a session."""
 
     def make() -> dict[date, DataFrame]:
-        rows = listing(spark, sf_dir).withColumn("uid", text.key_uid(text.natural_key(F.col("title"), F.col("venues"), F.col("start_date"))))
+        rows = exact.with_natural_key(listing(spark, sf_dir), "key", F.col("title"), F.get("venues", F.lit(0)), F.col("start_date"))
+        rows = rows.withColumn("uid", text.key_uid(F.col("key"))).drop("key")
         moved = rows.filter("id % 20 <> 7").withColumns({"end_date": F.when(F.col("id") % 11 == 0, F.date_add("end_date", 1)).otherwise(F.col("end_date")), "onsale_label": F.when(F.col("id") % 44 == 0, "changed").otherwise(F.col("onsale_label"))})
         return {PREVIOUS_DAY: rows.filter("id % 20 <> 3"), TODAY: moved}
 
@@ -409,8 +410,8 @@ def dispositions(gone: DataFrame) -> DataFrame:
 
 @query(f", c AS (SELECT row_no, {KEY_SQL} AS k FROM listing) SELECT row_no, sha1(k) AS uid, left(sha1(k), 8) AS short FROM c")
 def natural_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = text.natural_key(F.col("title"), F.col("venues"), F.col("start_date"))
-    return listing(spark, sf_dir).select("row_no", text.key_uid(key).alias("uid"), text.key_uid(key, 8).alias("short"))
+    rows = exact.with_natural_key(listing(spark, sf_dir), "key", F.col("title"), F.get("venues", F.lit(0)), F.col("start_date"))
+    return rows.select("row_no", text.key_uid(F.col("key")).alias("uid"), text.key_uid(F.col("key"), 8).alias("short"))
 
 
 @query(None)
@@ -455,7 +456,7 @@ cand AS (SELECT a AS prev_uid, b AS uid, score FROM ga JOIN sims ON ga.title = t
 
 def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     prev, cur = snapshots(spark, sf_dir)
-    part = lambda df: df.select("uid", text.norm(F.col("title")).alias("title"), F.coalesce(text.norm(F.get("venues", F.lit(0))), F.lit("")).alias("place"), F.col("start_date").alias("day"))
+    part = lambda df: exact.with_norms(df, {"t": (F.col("title"), exact.IDENTITY), "p": (F.get("venues", F.lit(0)), exact.IDENTITY)}).select("uid", F.col("t").alias("title"), F.coalesce("p", F.lit("")).alias("place"), F.col("start_date").alias("day"))
     return reconcile.rename_candidates(part(reconcile.gone(prev, cur)), part(reconcile.added(prev, cur)))
 
 

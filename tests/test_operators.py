@@ -244,3 +244,23 @@ def test_uncovered_characters_through_the_operators(spark):
     assert roster.hits(places, log).first().hit_count == 2
     notes = spark.createDataFrame([("ｉｇｎｏｒｅ　previous",), ("ﬁne ①",), ("𝐢𝐠𝐧𝐨𝐫𝐞 previous",)], "note string")
     assert [(r.clean, r.reason is None) for r in roster.quarantine(notes, "note").collect()] == [("ignore previous", False), ("fine 1", True), ("ignore previous", False)]
+
+
+def test_renames_share_all_but_the_title(spark):
+    gone = [("g1", ["blue moon", "20260101", "new", ""]), ("g2", ["blue moon", "20260101", "revival", "hall"]), ("g3", ["blue moon", "", "new", ""]), ("g4", ["blue moon", "x", "x", "y"]), ("g5", [None, "20260101", "new", ""])]
+    new = [("n1", ["blue noon rising", "20260101", "new", ""]), ("n2", ["moon at sea", "hall", "20260101", "revival"]), ("n3", ["moon at sea", "20260101", "revival", ""]), ("n4", ["moon at sea", "x", "y", "z"]), ("n5", ["qqqq", "20260101", "new", "hall"])]
+
+    def share(a, b):
+        both = sum(min(a.count(c), b.count(c)) for c in set(a))
+        return both / min(len(a), len(b)) if a and b else 0.0
+
+    want = set()
+    for g, gk in gone:
+        for n, nk in new:
+            s, mine = share(gk[0] or "", nk[0]), [x for x in gk[1:] if x]
+            shared = len(set(gk[1:]) & set(nk[1:]) - {""})
+            if s >= 0.82 or (shared >= len(mine) and shared >= 2 and s >= 0.45):
+                want.add((g, n, round(s, 6)))
+    frame = lambda rows: spark.createDataFrame(rows, "uid string, key array<string>")
+    got = {(r.prev_uid, r.uid, round(r.score, 6)) for r in reconcile.renames_by_key(frame(gone), frame(new)).collect()}
+    assert got == want and len(want) >= 4
