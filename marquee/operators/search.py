@@ -79,10 +79,12 @@ def present_keys(rows: DataFrame, values: Column, declared: list[str]) -> DataFr
     return seen.select("value", place.alias("declared"), "first")
 
 
-def venue_picker(counts: DataFrame, most: int = 60, part: str = "") -> DataFrame:
-    """(venue, n, place) of the most frequent venues, by name where counts are equal; a top-k."""
+def venue_picker(counts: DataFrame, most: int = 60, part: str = "", kind: str | None = None) -> DataFrame:
+    """(venue, n, place) of the most frequent venues, by name in Japanese collation where counts are equal (and by code points where that tells no difference); a top-k. With a
+    `kind`, of venues of that kind alone, counts having a column of it."""
     some = counts.filter(F.lower("venue").contains(part.lower())) if part else counts
-    order = [F.desc("n"), F.col("venue").asc()]
+    some = some.filter(F.col("kind") == kind) if kind is not None else some
+    order = [F.desc("n"), F.collate("venue", "ja").asc(), F.col("venue").asc()]
     return some.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.operators import quality
-from marquee.plans.queries import ROSTER_SQL, day, query, supplier_roster
-from marquee.sources import publish, readers
+from marquee.operators import favourites, quality
+from marquee.plans.queries import PHASED_SQL, ROSTER_SQL, STATE_SQL, day, query, supplier_roster
+from marquee.sources import export, publish, readers
 from marquee.sources.adapter import TABS, TODAY, listing, read
 from marquee.sources.scratch import saver, shared_root
-from marquee.streaming import intake, promotion
+from marquee.streaming import daily, intake, promotion
 
 LAST_ID = 1000
 POLICY = intake.Policy(("title", "venue", "kana", "lat", "note", "price"), ("kana", "lat"), ("lat",), ("price", "title"), "venue")
@@ -144,3 +146,41 @@ def set_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     recent = F.datediff(readers.japan_date(F.current_timestamp()), "updated").between(0, 1)
     counts = listing(spark, sf_dir).groupBy(F.col("tab").alias("dataset")).agg(F.count("*").alias("n"))
     return told.join(counts, "dataset").select("dataset", F.when(recent, "today").otherwise(F.col("updated").cast("string")).alias("updated"), "n")
+
+
+@query(PHASED_SQL + f" SELECT row_no, phase, {STATE_SQL} AS state FROM phased")
+def rolled_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day's view after five weeks of going from day to day, some of them left out: only rows that came due were computed again."""
+    rows, path = listing(spark, sf_dir), f"{shared_root(spark)}/daily-{uuid.uuid4().hex[:12]}"
+    steps = [TODAY - timedelta(n) for n in (35, 21, 8, 1, 0)]
+    daily.begin(rows, path, steps[0])
+    for last, today in itertools.pairwise(steps):
+        daily.advance(rows, path, last, today)
+    return daily.current(spark, path, TODAY).select("row_no", "phase", "state")
+
+
+@query(
+    """WITH t AS (SELECT user_id, event_id % 500 AS uid, event_id, event_type, max(CASE WHEN event_type IN ('click', 'view') THEN event_id END) OVER (PARTITION BY user_id, event_id % 500) AS set_at FROM events),
+    s AS (SELECT user_id, uid, coalesce(bool_or(event_id = set_at AND event_type = 'click'), false) AS stood, count(*) FILTER (event_type NOT IN ('click', 'view') AND (set_at IS NULL OR event_id >= set_at)) % 2 = 1 AS odd FROM t GROUP BY user_id, uid)
+    SELECT user_id, uid FROM s WHERE stood <> odd""",
+    base="",
+)
+def favourite_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Favourites from a log of changes, after two compactions and a tail: clicks add, views remove, all else toggles."""
+    kind = F.when(F.col("event_type") == "click", "add").when(F.col("event_type") == "view", "remove").otherwise("toggle")
+    log = read(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 500).alias("uid"), F.col("event_id").alias("seq"), kind.alias("action"))
+    root, last = f"{shared_root(spark)}/favourites-{uuid.uuid4().hex[:12]}", log.agg(F.max("seq")).first()[0] or 0
+    for upto in (last // 3, last // 2):
+        favourites.compact(spark, root, log, upto)
+    return favourites.standing(spark, root, log)
+
+
+@query(
+    """, e AS (SELECT row_no, title, coalesce(start_date, end_date) AS a, coalesce(end_date, start_date) AS b FROM listing WHERE start_date IS NOT NULL OR end_date IS NOT NULL)
+    SELECT line, count(*) AS n FROM (SELECT unnest(['BEGIN:VEVENT', 'UID:' || row_no, 'SUMMARY:' || replace(replace(title, ',', '\\,'), ';', '\\;'), 'DTSTART;VALUE=DATE:' || strftime(a, '%Y%m%d'), 'DTEND;VALUE=DATE:' || strftime(b + 1, '%Y%m%d'), 'END:VEVENT']) AS line FROM e) GROUP BY line"""
+)
+def calendar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed written to files, and their lines read back and counted."""
+    root = f"{shared_root(spark)}/calendar-{uuid.uuid4().hex[:12]}"
+    export.calendar_file(listing(spark, sf_dir).select(F.col("row_no").alias("uid"), "title", "start_date", "end_date"), root)
+    return export.read_lines(spark, root).groupBy("line").agg(F.count("*").alias("n"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
+def put(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file and move it into place, replacing one that is there."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     to, own = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}")
@@ -65,7 +65,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], gate:
     stop("gate")
     if not row["publish"]:
         return False, told
-    _put(spark, f"{root}/CURRENT", json.dumps(told, default=str, ensure_ascii=False))
+    put(spark, f"{root}/CURRENT", json.dumps(told, default=str, ensure_ascii=False))
     stop("move")
     return True, told
 
