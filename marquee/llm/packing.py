@@ -107,6 +107,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     starts, spans = [c["start"] for c in cuts], {(c["key"], c["row"]): (c["start"] // each, (c["start"] + c["n"] - 1) // each) for c in cuts}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()  # the encoder isn't needed any more
         for batch in batches:
             k, r = batch.column("key").to_numpy(), batch.column("row").to_numpy()
             lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
@@ -122,6 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
             yield from sent.to_batches()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         dtype = np.dtype(f"<u{width}")
         done: list[tuple] = []
         ids: list[np.ndarray] = []
