@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions import sale
+from marquee.functions import sale, text
 from marquee.operators.search import default_order
 
 
@@ -95,6 +95,21 @@ def place_cards(rows: DataFrame, venues: DataFrame, branches: DataFrame) -> Data
     )
 
 
+def place_facts(named: DataFrame, venues: DataFrame, theatres: DataFrame, branches: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(place, facts, site) of places (place): what is said about each, and its site. A venue (venue, kind, capacity, area, url) has its kind's label, its capacity and its
+    area; else a theatre (name, area, pref, url) its area and prefecture; else a chain (chain: a located branch a row) the number of its branches; else the text is empty. The
+    site is the venue's safe link, else the theatre's. Masters hold a name once (first_per_name)."""
+    v = venues.select(F.col("venue").alias("place"), "kind", "capacity", F.col("area").alias("v_area"), F.col("url").alias("v_url"), F.lit(True).alias("is_venue"))
+    t = theatres.select(F.col("name").alias("place"), F.col("area").alias("t_area"), F.col("pref").alias("t_pref"), F.col("url").alias("t_url"), F.lit(True).alias("is_theatre"))
+    b = branches.groupBy(F.col("chain").alias("place")).agg(F.count("*").alias("n"))
+    full = lambda *parts: F.concat_ws("　", *[F.nullif(p, F.lit("")) for p in parts])
+    capacity = F.when(F.col("capacity") != 0, F.concat(F.lit("収容 約"), F.format_number("capacity", 0), F.lit("人")))
+    facts = F.when(F.col("is_venue"), full(text.label(kinds, F.col("kind")), capacity, F.col("v_area"))).when(F.col("is_theatre"), full(F.col("t_area"), F.col("t_pref"))).when(F.col("n").isNotNull(), F.concat(F.lit("関東の店舗 "), F.col("n").cast("string"), F.lit("件"))).otherwise("")
+    link = lambda c: text.safe_url(F.nullif(F.col(c), F.lit("")))
+    site = F.when(F.coalesce("v_url", F.lit("")) != "", link("v_url")).otherwise(link("t_url"))
+    return named.join(v, "place", "left").join(t, "place", "left").join(b, "place", "left").select("place", facts.alias("facts"), site.alias("site"))
+
+
 def favoured(rows: DataFrame, favourites: DataFrame, key: str = "uid") -> DataFrame:
     """Rows that are someone's favourite, (user_id, uid)."""
     return rows.join(favourites.select(F.col("uid").alias(key)), key, "left_semi")

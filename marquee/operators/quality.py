@@ -116,14 +116,15 @@ def raw_rules(columns: list[str], statuses: list[str] = (), prefs: list[str] = (
     return rules
 
 
-def roster_rules(columns: list[str], key: str = "name", prefs: list[str] = (), kinds: list[str] = ()) -> list[Rule]:
-    """K49 and K51 to K57; the rules for links and coordinates are those of listings."""
+def roster_rules(columns: list[str], key: str = "name", prefs: list[str] = (), kinds: list[str] = (), spots: bool = False) -> list[Rule]:
+    """K49 and K51 to K57, the kinds being those of venues (K52) or, for a roster of spots, theirs (K53); the rules for links and coordinates are those of
+    listings."""
     has, text = set(columns).__contains__, lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
     rules = [Rule("K49", ERROR, key, _blank(key), F.col(key))]
     if prefs and has("pref"):
         rules.append(Rule("K51", ERROR, "pref", ~_blank("pref") & ~text("pref").isin(prefs), F.col("pref")))
     if kinds and has("kind"):
-        rules.append(Rule("K52", ERROR, "kind", ~_blank("kind") & ~text("kind").isin(kinds), F.col("kind")))
+        rules.append(Rule("K53" if spots else "K52", ERROR, "kind", ~_blank("kind") & ~text("kind").isin(kinds), F.col("kind")))
     if has("status"):
         rules.append(Rule("K55", ERROR, "status", ~text("status").isin("", "active", "candidate", "retired"), F.col("status")))
     for c in ("first_seen", "last_hit", "closed_until"):
@@ -145,6 +146,21 @@ def violations(rows: DataFrame, rules: list[Rule], dataset: Column | str) -> Dat
     return rows.select(name.alias("dataset"), "row_no", F.inline(F.array_compact(F.array(*found))))
 
 
+def bad_values(rows: DataFrame, dataset: str, labels: dict[str, list[str]] | None = None, days: list[str] = ()) -> DataFrame:
+    """The violations of list columns value by value, as (dataset, row_no, rule, severity, column, value): of each label that isn't among the allowed ones (K29), and of each
+    day that is badly written (K6) or doesn't exist (K7). Repeated values count each."""
+    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c).cast("string"), F.lit("")), "[|]"), lambda x: F.trim(x)), lambda x: x != "")
+    line = lambda rule, c, values: F.transform(values, lambda x: F.struct(F.lit(rule).alias("rule"), F.lit(ERROR).alias("severity"), F.lit(c).alias("column"), x.alias("value")))
+    found = [line("K29", c, F.filter(listed(c), _outside(allowed))) for c, allowed in (labels or {}).items()]
+    for c in days:
+        found += [line("K6", c, F.filter(listed(c), lambda x: ~x.rlike(DAY))), line("K7", c, F.filter(listed(c), lambda x: x.rlike(DAY) & F.try_to_date(x).isNull()))]
+    return rows.select(F.lit(dataset).alias("dataset"), "row_no", F.inline(F.concat(*found)))
+
+
+def _outside(allowed: list[str]):
+    return lambda x: ~x.isin(allowed)
+
+
 def repeated(rows: DataFrame, key: str, rule: str, severity: str, dataset: str, first: bool = False) -> DataFrame:
     """Rows whose key came before; value is the row number of the previous one with it, or of the first."""
     own = Window.partitionBy(key).orderBy("row_no")

@@ -55,6 +55,20 @@ def add(roster: DataFrame, batch: DataFrame, today: date) -> DataFrame:
     return new.withColumns({"status": F.lit("candidate"), "first_seen": F.lit(today), "last_hit": F.lit(None).cast("date"), "hit_count": F.lit(0).cast("long")})
 
 
+def add_rejects(roster: DataFrame, batch: DataFrame) -> DataFrame:
+    """(seq, name, reason) of a batch's rows (name, seq, perhaps url) that add() takes nothing from: no name, a bad link, a name that the roster knows, or one that an earlier
+    sound row of the batch has."""
+    link = F.trim(F.coalesce(F.col("url"), F.lit(""))) if "url" in batch.columns else F.lit("")
+    rows = exact.with_norms(batch.select("seq", "name", link.alias("_link")), {"_key": (F.col("name"), exact.ROSTER)})
+    reason = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "no name").when((F.col("_link") != "") & ~F.col("_link").rlike(r"(?i)^https?://"), "bad link")
+    rows = rows.withColumn("reason", reason)
+    first = rows.filter("reason is null").groupBy("_key").agg(F.min("seq").alias("_first"))
+    known = exact.with_norms(roster.select("name"), {"_key": (F.col("name"), exact.ROSTER)}).select("_key", F.lit(True).alias("_known")).distinct()
+    told = rows.join(known, "_key", "left").join(first, "_key", "left")
+    late = F.when(F.col("_known"), "known").when(F.col("seq") > F.col("_first"), "repeated")
+    return told.select("seq", "name", F.coalesce("reason", late).alias("reason")).filter("reason is not null")
+
+
 def change(roster: DataFrame, changes: DataFrame) -> DataFrame:
     """Apply (name, action, until, note): retire or close; the note is replaced if given."""
     c = changes.select(name_key(F.col("name")).alias("_key"), "action", "until", F.col("note").alias("_note"))

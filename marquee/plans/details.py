@@ -3,14 +3,17 @@ table is derived by the same SQL expressions on both sides (DERIVED, RAW); resul
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.functions import cards, sale, schedule, text
-from marquee.operators import quality, reconcile, roster, search
-from marquee.plans.queries import DOTS, MATCHED_SQL, NORM_SQL, PHASED_SQL, ROSTER_SQL, SHORT, SNAP_SQL, STATE_SQL, T, WDAY, query, renamed, searchable, snapshots, spec_search, supplier_roster
+from marquee.functions import cards, exact, sale, schedule, text
+from marquee.operators import places, quality, reconcile, roster, search
+from marquee.plans.queries import DOTS, MATCHED_SQL, NORM_SQL, PHASED_SQL, ROSTER_SQL, SHORT, SNAP_SQL, STATE_SQL, STATUS_SQL, T, WDAY, query, renamed, searchable, snapshots, spec_search, supplier_roster
 from marquee.plans.spec import FilterSpec, Search, default_facets, default_flags
-from marquee.sources.adapter import NOW, TODAY, listing, read
+from marquee.sources import export
+from marquee.sources.adapter import NOW, TABS, TODAY, listing, read
 from marquee.sources.scratch import saver
 
 DERIVED = {
@@ -413,3 +416,79 @@ def dq_roster_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row_no"), *[F.expr(sql).alias(c) for c, sql in ROSTER_RAW.items()])
     found = quality.violations(rows, quality.roster_rules(rows.columns, prefs=["ASIA"], kinds=["hall"]), "places")
     return found.unionByName(quality.repeated(rows, "name", "K50", quality.ERROR, "places", first=True)).select("row_no", "rule")
+
+
+# --- labels, links, facts and rejects ---
+
+LABELS = {"ECONOMY": "おとくな品", "PROMO": "目玉", "LARGE": "Grand"}
+
+
+@query(
+    STATUS_SQL + """ SELECT row_no, contains(hay, 'まもなく開催') AS soon, contains(hay, 'おとくな品') AS cheap, contains(hay, 'grand') AS grand FROM (SELECT row_no, lower(concat_ws(' ', title, area, array_to_string(venues, ' '),
+    array_to_string(list_transform(cats, lambda c: CASE c WHEN 'ECONOMY' THEN 'おとくな品' WHEN 'PROMO' THEN '目玉' WHEN 'LARGE' THEN 'Grand' ELSE c END), ' '), status)) AS hay FROM stated) WHERE contains(hay, 'まもなく開催') OR contains(hay, 'おとくな品') OR contains(hay, 'grand')"""
+)
+def search_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is searched holds the labels of a row's categories and of its status of the day, not their keys."""
+    rows = listing(spark, sf_dir)
+    labels = [F.transform("cats", lambda c: text.label(LABELS, c)), F.array_compact(F.array(schedule.status(TODAY)))]
+    folded = exact.with_norms(rows, {"folded": (text.haystack(rows, labels), exact.SEARCH)})
+    met = {name: F.col("folded").contains(text.fold_text(term)) for name, term in (("soon", "マモナク開催"), ("cheap", "オトクナ品"), ("grand", "ＧＲＡＮＤ"))}
+    return folded.select("row_no", *[c.alias(n) for n, c in met.items()]).filter("soon or cheap or grand")
+
+
+@query(
+    """WITH b AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 11 = 0 THEN ' ' WHEN c_custkey % 7 = 0 THEN 'SUPPLIER#' || lpad(CAST(c_custkey % 20 AS VARCHAR), 9, '0') ELSE 'New ' || c_custkey % 1000 END AS name, c_custkey % 5 = 3 AS bad FROM customer),
+    s AS (SELECT *, CASE WHEN trim(name) = '' THEN 'no name' WHEN bad THEN 'bad link' END AS early FROM b), f AS (SELECT lower(name) AS k, min(seq) AS first FROM s WHERE early IS NULL GROUP BY lower(name)),
+    r AS (SELECT seq, name, coalesce(early, CASE WHEN lower(name) IN (SELECT lower(s_name) FROM supplier) THEN 'known' WHEN seq > first THEN 'repeated' END) AS reason FROM s LEFT JOIN f ON f.k = lower(name)) SELECT * FROM r WHERE reason IS NOT NULL""",
+    base="",
+)
+def roster_add_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    name = F.when(k % 11 == 0, " ").when(k % 7 == 0, F.concat(F.lit("SUPPLIER#"), F.lpad((k % 20).cast("string"), 9, "0"))).otherwise(F.concat(F.lit("New "), (k % 1000).cast("string")))
+    batch = read(spark, sf_dir, "customer").select(k.alias("seq"), name.alias("name"), F.when(k % 5 == 3, "javascript:x").when(k % 5 == 0, "https://a.example").alias("url"))
+    return roster.add_rejects(supplier_roster(spark, sf_dir), batch)
+
+
+@query(
+    """, n AS (SELECT DISTINCT unnest(venues) AS place FROM listing UNION SELECT n_name FROM nation UNION SELECT 'nowhere'), s AS (SELECT s_suppkey, s_name, n_name AS nation, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    c AS (SELECT nation AS chain, count(*) AS k FROM s WHERE s_suppkey % 3 = 2 GROUP BY nation)
+    SELECT place, CASE WHEN s.s_suppkey % 3 = 0 THEN concat_ws('　', CASE WHEN s.s_suppkey % 2 = 0 THEN 'Hall' ELSE 'tent' END, CASE WHEN s.s_suppkey > 0 THEN '収容 約' || format('{:,}', s.s_suppkey * 100) || '人' END, s.nation) WHEN s.s_suppkey % 3 = 1 THEN s.nation || '　' || r_name WHEN c.k IS NOT NULL THEN '関東の店舗 ' || c.k || '件' ELSE '' END AS facts,
+    CASE WHEN s.s_suppkey % 3 < 2 AND s.s_suppkey % 5 = 0 THEN 'https://a.example/' || s.s_suppkey END AS site FROM n LEFT JOIN s ON s.s_name = place LEFT JOIN c ON c.chain = place"""
+)
+def place_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said about every place, and its site."""
+    k = F.col("s_suppkey")
+    own = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    url = F.when(k % 5 == 0, F.concat(F.lit(" https://a.example/"), k.cast("string"))).when(k % 5 == 1, "javascript:x").when(k % 5 == 2, "").alias("url")
+    venues = own.filter(k % 3 == 0).select(F.col("s_name").alias("venue"), F.when(k % 2 == 0, "hall").otherwise("tent").alias("kind"), (k * 100).alias("capacity"), F.col("n_name").alias("area"), url)
+    theatres = own.filter(k % 3 == 1).select(F.col("s_name").alias("name"), F.col("n_name").alias("area"), F.col("r_name").alias("pref"), url)
+    named = listing(spark, sf_dir).select(F.explode("venues").alias("place")).union(read(spark, sf_dir, "nation").select("n_name")).union(spark.createDataFrame([("nowhere",)], "place string")).distinct()
+    return places.place_facts(named, venues, theatres, places.chain_branches(own.select(F.col("n_name").alias("chain"), k.alias("k")), read(spark, sf_dir, "nation").select(F.col("n_name").alias("chain"))).filter("k % 3 = 2"), {"hall": "Hall"})
+
+
+@query(
+    """, v AS (SELECT row_no, unnest(cats) AS c FROM listing), d AS (SELECT row_no, unnest(['1998-02-30', CAST(row_no AS VARCHAR), '1998-06-' || lpad(CAST(row_no % 40 AS VARCHAR), 2, '0')]) AS x FROM listing WHERE row_no % 3 = 0)
+    SELECT row_no, 'K29' AS rule, 'cats' AS "column", c AS value FROM v WHERE c NOT IN ('ECONOMY', 'PROMO') UNION ALL SELECT row_no, 'K6', 'dates', x FROM d WHERE NOT regexp_full_match(x, '\\d{4}-\\d{2}-\\d{2}') UNION ALL SELECT row_no, 'K7', 'dates', x FROM d WHERE regexp_full_match(x, '\\d{4}-\\d{2}-\\d{2}') AND try_cast(x AS DATE) IS NULL"""
+)
+def dq_each_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each bad value of a list."""
+    k = F.col("row_no")
+    days = F.when(k % 3 == 0, F.concat_ws("|", F.lit("1998-02-30"), k.cast("string"), F.concat(F.lit(" 1998-06-"), F.lpad((k % 40).cast("string"), 2, "0"))))
+    rows = listing(spark, sf_dir).select("row_no", F.array_join("cats", " | ").alias("cats"), days.alias("dates"))
+    return quality.bad_values(rows, "listing", {"cats": ["ECONOMY", "PROMO"]}, ["dates"]).select("row_no", "rule", "column", "value")
+
+
+@query(", e AS (SELECT row_no, title, coalesce(start_date, end_date) AS a, coalesce(end_date, start_date) AS b FROM listing) SELECT row_no, 'https://calendar.example/render?action=TEMPLATE&text=' || replace(replace(replace(title, ' ', '+'), '(', '%28'), ')', '%29') || '&dates=' || strftime(a, '%Y%m%d') || '/' || strftime(b + 1, '%Y%m%d') AS link FROM e WHERE a IS NOT NULL")
+def calendar_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, last = F.coalesce("start_date", "end_date"), F.coalesce("end_date", "start_date")
+    return listing(spark, sf_dir).filter(first.isNotNull()).select("row_no", export.calendar_link(F.col("title"), first, last, "https://calendar.example/render").alias("link"))
+
+
+@query("SELECT tab, CAST(max(announced_date + CAST(row_no % 3 AS INTEGER)) FILTER (row_no % 4 <> 0) AS VARCHAR) AS as_of, count(*) AS n, count(*) FILTER (row_no % 5 = 0) AS unlinked FROM listing GROUP BY tab")
+def prices_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How fresh the prices of a set are: the latest price check; and how many of its rows have no link."""
+    k = F.col("row_no")
+    rows = listing(spark, sf_dir).select("tab", F.when(k % 4 != 0, F.date_add("announced_date", (k % 3).cast("int"))).alias("price_checked"), F.when(k % 5 != 0, "https://a.example").alias("url"))
+    parts = [roster.without_link(rows.filter(F.col("tab") == t)).select(F.lit(t).alias("tab"), F.col("unknown").alias("unlinked")) for t in TABS]
+    links = reduce(DataFrame.union, parts)
+    return rows.groupBy("tab").agg(F.max("price_checked").cast("string").alias("as_of"), F.count("*").alias("n")).join(links, "tab").select("tab", "as_of", "n", "unlinked")
