@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,11 +76,12 @@ def render(role: str, text: str, most: int = 3) -> tuple[str, int, int]:
 
 
 def format_chat(turns: DataFrame, record_chars: int = 1 << 20) -> DataFrame:
-    """Records (conv_id, record, text, loss): the rendered turns of a conversation in order; loss holds the spans
-    (begin, end) of assistant texts in the record, in code points."""
+    """Records (conv_id, record, text, loss): the rendered turns of a conversation in order of `record`; loss holds the spans
+    (begin, end) of assistant texts in the record, in code points. Turns are dealt by ranges of (conv_id, turn, role, text), so that a very long conversation is many
+    tasks'; a record ends where a range does. Of the text its first characters tell the ranges."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, number, text, chars, loss, out = None, 0, [], 0, [], []
+        conv, number, text, chars, loss, out = None, TaskContext.get().partitionId() << 32, [], 0, [], []
 
         def close():
             nonlocal number, text, chars, loss
@@ -91,7 +93,7 @@ def format_chat(turns: DataFrame, record_chars: int = 1 << 20) -> DataFrame:
             for c, role, said in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "text")), strict=True):
                 if conv != (c,):
                     close()
-                    conv, number = (c,), 0
+                    conv = (c,)
                 whole, begin, end = render(role or "", said or "")
                 if role == "assistant":
                     loss.append({"begin": chars + begin, "end": chars + end})
@@ -107,22 +109,31 @@ def format_chat(turns: DataFrame, record_chars: int = 1 << 20) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, RECORD)
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartition(n_parts(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(records, "conv_id long, record int, text string, loss array<struct<begin:long,end:long>>")
+    dealt = rows.repartitionByRange(n_parts(turns.sparkSession), "conv_id", "turn", "role", F.substring("text", 1, 64))
+    return dealt.sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(records, "conv_id long, record long, text string, loss array<struct<begin:long,end:long>>")
 
 
-RECORD = pa.schema([("conv_id", pa.int64()), ("record", pa.int32()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
+RECORD = pa.schema([("conv_id", pa.int64()), ("record", pa.int64()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
 
 
-def digest(parts: Iterable[str]) -> str:
-    h = hashlib.sha256()
-    for p in parts:
-        h.update(p.encode())
-    return h.hexdigest()
+def parsed(records: DataFrame) -> DataFrame:
+    """(conv_id, record, said, loss, n_turns, chars) of records: what their turns and loss spans say, parsed and unescaped; of each record alone."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(*(batch.column(x).to_pylist() for x in ("text", "loss")), strict=True):
+                turns = [(role, body) for role, body, _, _ in parse(text)]
+                out.append(("".join(f"{role}\n{body}\n" for role, body in turns), "".join(unescape(text[x["begin"] : x["end"]]) for x in spans), len(turns), len(text)))
+            told = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("record"), pa.array(told[0], pa.string()), pa.array(told[1], pa.string()), pa.array(told[2], pa.int64()), pa.array(told[3], pa.int64())], ["conv_id", "record", "said", "loss", "n_turns", "chars"])
+
+    return records.select("conv_id", "record", "text", "loss").mapInArrow(rows, "conv_id long, record long, said string, loss string, n_turns long, chars long")
 
 
 def read_back(records: DataFrame) -> DataFrame:
-    """Parse records again: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)."""
+    """Parse records again: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars). Records are parsed wherever they lie; only the digests, which
+    go on from each byte to the next, take a conversation's texts as one stream."""
 
     def conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, said, loss, n, chars, whole, out = None, None, None, 0, 0, 0, []
@@ -132,18 +143,13 @@ def read_back(records: DataFrame) -> DataFrame:
                 out.append({"conv_id": conv[0], "n_turns": n, "turns_sha256": said.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": whole})
 
         for batch in batches:
-            for c, text, spans in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "text", "loss")), strict=True):
+            for c, text, loss_text, turns, size in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "said", "loss", "n_turns", "chars")), strict=True):
                 if conv != (c,):
                     close()
                     conv, said, loss, n, chars, whole = (c,), hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-                for role, body, _, _ in parse(text):
-                    said.update(f"{role}\n{body}\n".encode())
-                    n += 1
-                for span in spans:
-                    body = unescape(text[span["begin"] : span["end"]])
-                    loss.update(body.encode())
-                    chars += len(body)
-                whole += len(text)
+                said.update(text.encode())
+                loss.update(loss_text.encode())
+                n, chars, whole = n + turns, chars + len(loss_text), whole + size
             if out:
                 yield pa.RecordBatch.from_pylist(out, CONVERSATION)
                 out = []
@@ -151,7 +157,7 @@ def read_back(records: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, CONVERSATION)
 
-    ordered = records.repartition(n_parts(records.sparkSession), "conv_id").sortWithinPartitions("conv_id", "record")
+    ordered = parsed(records).repartition(n_parts(records.sparkSession), "conv_id").sortWithinPartitions("conv_id", "record")
     return ordered.mapInArrow(conversations, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -47,3 +47,14 @@ def test_conversations_are_read_back(spark, size):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_chat(empty)).count() == 0
+
+
+def test_one_conversation_is_many_tasks(spark):
+    rows = [(7, i // 3, ["user", "assistant", None][i % 3], f"{'same start ' * 9}{i * 37 % 400} <|im_end|>") for i in range(400)] + [(8, 0, "assistant", "short")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    records = saved(chat.format_chat(turns, 500), "chat")
+    assert records.filter("conv_id = 7").select((chat.F.shiftright("record", 32)).alias("p")).distinct().count() > 1
+    got = {r.conv_id: r for r in chat.read_back(records).collect()}[7]
+    own = sorted((r for r in rows if r[0] == 7), key=lambda r: (r[1], r[2] or "", r[3]))
+    assert got.n_turns == 400 and got.turns_sha256 == hashlib.sha256("".join(f"{r or ''}\n{t}\n" for _, _, r, t in own).encode()).hexdigest()
+    assert got.loss_sha256 == hashlib.sha256("".join(t for _, _, r, t in own if r == "assistant").encode()).hexdigest()

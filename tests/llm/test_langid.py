@@ -62,3 +62,30 @@ def test_narrow_margins_are_rejected(spark):
     model = langid.LanguageModel({lang: text(lang, rng, 4000).encode() for lang in ("aa", "bb")})
     mixed = spark.createDataFrame([(text("aa", rng, 40) + " " + text("bb", rng, 40),), (text("aa", rng, 40),)], "text string")
     assert [r.rejected for r in langid.predict(mixed, model, 0.3).collect()] == [True, False]
+
+
+def test_equals_a_plain_loop_over_the_compressor(spark):
+    import zstandard
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, langid.fold() != 2)
+    for r in langid.predict(docs.select("doc_id", "text"), model).collect():
+        letters, gap = [], False
+        for ch in (r.text or "").lower():
+            if ch.isalnum() and not ch.isdecimal():
+                letters.append(ch)
+                gap = False
+            elif not gap:
+                letters.append(" ")
+                gap = True
+        whole = "".join(letters)
+        if not any(ch.isalpha() for ch in r.text or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        sizes = {}
+        for lang, sample in model.samples.items():
+            content = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(level=langid.LEVEL)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress(whole[at : at + langid.CHUNK_CHARS].encode())) for at in range(0, len(whole), langid.CHUNK_CHARS))
+        first, second = sorted(sizes.items(), key=lambda x: (x[1], x[0]))[:2]
+        assert r.lang_pred == first[0] and abs(r.score - (1 - first[1] / second[1])) < 1e-12 and r.rejected == (r.score < langid.MIN_MARGIN)
