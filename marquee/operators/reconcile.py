@@ -10,6 +10,8 @@ from marquee.operators.search import placed
 
 # Least similarity of a reworded title, and that of one at the same place and date.
 LEAST, LEAST_SAME_PLACE = 0.82, 0.45
+#: Bits of each half of a title's sketch.
+SKETCH = 64
 
 
 def last_per_uid(rows: DataFrame, order: str = "row_no", within: list[str] = ()) -> DataFrame:
@@ -46,19 +48,29 @@ def title_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(a, b, score) of titles that share at least `least` of the shorter one's characters, counted with repetition.
 
     Titles of few distinct characters meet on their rarest one and on sizes only through it: each side's distinct (character,
-    number) tokens, rarest first, cut to the prefix that a partner must touch. That loses no pair."""
+    number) tokens, rarest first, cut to the prefix that a partner must touch. Each title also has a sketch of its tokens, a bit of 128 for each; what two sketches share, and
+    the tokens that the shorter title hides behind one bit, bounds the shared characters, so of the pairs that meet on a token only those leave the join that
+    may reach `least`. Neither loses a pair."""
     a, b = text.character_counts(left, "a", "title"), text.character_counts(right, "b", "title")
     freq = a.select("ch", "nth").union(b.select("ch", "nth")).groupBy("ch", "nth").agg(F.count("*").alias("df"))
 
     def prefix(side: DataFrame, key: str) -> DataFrame:
         own = Window.partitionBy(key).orderBy("df", "ch", "nth")
+        whole = Window.partitionBy(key)
         # the shorter title decides: with its size unknown, a prefix of size - ceil(least * size) + 1 of the shorter one must touch
         keep = F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1
-        return side.join(freq, ["ch", "nth"]).withColumn("i", F.row_number().over(own)).select(key, "size", "ch", "nth", (F.col("i") <= keep).alias("head"))
+        bits = side.withColumn("h", F.pmod(F.xxhash64("ch", "nth"), F.lit(2 * SKETCH)).cast("int"))
+        half = lambda n: F.bit_or(F.expr(f"if(h div {SKETCH} = {n}, shiftleft(1L, h % {SKETCH}), 0L)")).over(whole).alias(f"s{n}")
+        return bits.join(freq, ["ch", "nth"]).withColumn("i", F.row_number().over(own)).select(key, "size", "ch", "nth", (F.col("i") <= keep).alias("head"), half(0), half(1))
+
+    def may_reach(short: str, other: str) -> Column:
+        both = F.bit_count(F.col(f"{short}.s0").bitwiseAND(F.col(f"{other}.s0"))) + F.bit_count(F.col(f"{short}.s1").bitwiseAND(F.col(f"{other}.s1")))
+        hidden = F.col(f"{short}.size") - F.bit_count(f"{short}.s0") - F.bit_count(f"{short}.s1")
+        return both + hidden >= F.ceil(F.lit(least) * F.col(f"{short}.size"))
 
     x, y = prefix(a, "a"), prefix(b, "b")
-    short_a = x.filter("head").alias("x").join(y.alias("y"), ["ch", "nth"]).filter("x.size <= y.size").select("a", "b")
-    short_b = x.alias("x").join(y.filter("head").alias("y"), ["ch", "nth"]).filter("y.size < x.size").select("a", "b")
+    short_a = x.filter("head").alias("x").join(y.alias("y"), ["ch", "nth"]).filter(F.expr("x.size <= y.size") & may_reach("x", "y")).select("a", "b")
+    short_b = x.alias("x").join(y.filter("head").alias("y"), ["ch", "nth"]).filter(F.expr("y.size < x.size") & may_reach("y", "x")).select("a", "b")
     found = short_a.union(short_b).distinct()
     score = text.multiset_similarity(F.col("ta"), F.col("tb"))
     named = found.join(left.select("a", F.col("title").alias("ta")), "a").join(right.select("b", F.col("title").alias("tb")), "b")

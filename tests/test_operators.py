@@ -1,6 +1,7 @@
 """Operators on small tables: searches, reconciliation, rosters, rules, files and streams."""
 
 import json
+import random
 from datetime import date, datetime
 
 import pytest
@@ -264,3 +265,17 @@ def test_renames_share_all_but_the_title(spark):
     frame = lambda rows: spark.createDataFrame(rows, "uid string, key array<string>")
     got = {(r.prev_uid, r.uid, round(r.score, 6)) for r in reconcile.renames_by_key(frame(gone), frame(new)).collect()}
     assert got == want and len(want) >= 4
+
+
+def test_title_pairs_lose_none_and_score_few(spark):
+    rng = random.Random(12)
+    titles = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", [9, 2, 3, 4, 12, 2, 2, 6, 7, 1, 1, 4, 2, 7, 8, 2, 1, 6, 6, 9, 3, 1, 2, 1, 2, 1], k=rng.randint(1, 40))) for _ in range(500)]
+    titles += [t[::-1] for t in titles[:60]] + ["あ" * 200, "あ" * 160 + "い" * 40, "e", "ee"]
+    frame = lambda name: spark.createDataFrame([(t, t) for t in sorted(set(titles))], f"{name} string, title string")
+
+    def share(a, b):
+        return sum(min(a.count(c), b.count(c)) for c in set(a)) / min(len(a), len(b))
+
+    got = {(r.a, r.b): round(r.score, 9) for r in reconcile.title_pairs(frame("a"), frame("b"), 0.82).collect()}
+    own = sorted(set(titles))
+    assert got == {(a, b): round(s, 9) for a in own for b in own if (s := share(a, b)) >= 0.82}
