@@ -120,12 +120,12 @@ SET_COLUMNS = {"title": ("title", "txt"), "venues": ("venues", "list"), "start_d
 
 
 def set_files(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the three sets as CSV files, each in the order of ids, every ninth title blank."""
+    """The folder of the three sets as CSV files, each in the order of ids, every ninth title blank. Lines have their id, as a reader leaves blank ones out."""
     root = f"{shared_root(spark)}/sets-{uuid.uuid4().hex[:12]}"
     rows = listing(spark, sf_dir).select("id", "tab", F.when(F.col("id") % 9 != 0, F.col("title")).alias("title"), F.array_join("venues", "|").alias("venues"), day("start_date"), F.col("lat").cast("string").alias("lat"))
     for tab in TABS:
         own = rows.filter(F.col("tab") == tab).drop("tab").repartitionByRange("id").sortWithinPartitions("id")
-        readers.write_listing(own.select(F.col("title").alias(" title "), "venues", "start_date", "lat"), f"{root}/{tab}", [" title ", "venues", "start_date", "lat"])
+        readers.write_listing(own.select("id", F.col("title").alias(" title "), "venues", "start_date", "lat"), f"{root}/{tab}", ["id", " title ", "venues", "start_date", "lat"])
     return root
 
 

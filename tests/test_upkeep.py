@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import favourites, search
+from marquee.plans import upkeep
 from marquee.sources import export, publish
 from marquee.streaming import daily
 
 D0 = date(2026, 3, 1)
+SF = "/root/testdata/sf0.001"
 SCHEMA = "row_no long, tab string, start_date date, end_date date, dates array<date>, backup_date array<date>, announced_date date, onsale_label string, onsale_start date, onsale_end date, onsale_time string"
 
 
@@ -79,3 +81,13 @@ def test_venues_in_japanese_order(spark):
     got = [r.venue for r in search.venue_picker(counts).orderBy("place").collect()]
     assert got[:3] == ["top", "abc", "Zepp"] and got.index("アリーナ") < got.index("いけぶくろ") < got.index("ガーデン") < got.index("カフェ") < got.index("かんだ") < got.index("愛知") < got.index("横浜")
     assert [r.venue for r in search.venue_picker(counts, part="Z", kind="live").collect()] == ["Zepp"] and search.venue_picker(counts, kind="none").count() == 0
+
+
+def test_a_row_of_blank_cells_stays_in_its_set(spark, tmp_path):
+    for name in ("nation", "region", "customer", "supplier", "part", "lineitem"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    orders = spark.read.parquet(f"{SF}/orders.parquet").limit(1)
+    # none has lines; the first, by its id, has neither title, day nor place
+    orders.select(F.explode(F.array(*[F.lit(4437 * 9 + k).cast("long") for k in range(4)])).alias("o_orderkey"), *[c for c in orders.columns if c != "o_orderkey"]).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.row_no: (r.title, r.venues, r.start_date, r.lat) for r in upkeep.loaded_sets(spark, str(tmp_path)).filter("tab = 'event'").collect()}
+    assert len(got) == 2 and got[0] == ("(event)", 0, None, None)
