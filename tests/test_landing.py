@@ -3,7 +3,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from marquee.operators import reconcile
-from marquee.sources import landing
+from marquee.plans import queries
+from marquee.sources import adapter, landing
 
 A, B, C = date(2026, 1, 1), date(2026, 1, 8), date(2026, 1, 15)
 
@@ -30,3 +31,13 @@ def test_comparing_landed_snapshots_moves_no_row(spark):
         assert "snapshot_date" in plan(prev) and "PartitionFilters: [" in plan(prev) and "SelectedBucketsCount: 5 out of 5" in plan(both)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_snapshots_are_made_of_heads_alone(spark):
+    sf = "/root/testdata/sf0.001"
+    made = adapter.derived_listing(spark, sf, adapter.head_facts(spark, sf)).select(*adapter.HEADS, "venues")
+    assert "collect_set" not in plan(made)
+    whole = adapter.derived_listing(spark, sf, adapter.line_facts(spark, sf)).select(*adapter.HEADS, F.slice("venues", 1, 1).alias("venues"))
+    assert made.exceptAll(whole).isEmpty() and whole.exceptAll(made).isEmpty() and made.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    for side in queries.snapshots(spark, sf):
+        assert {*side.columns} == {*adapter.HEADS, "venues", "uid"}
