@@ -454,10 +454,15 @@ sims AS (SELECT x.title AS ta, y.title AS tb, sum(least(len(x.title) - len(repla
 cand AS (SELECT a AS prev_uid, b AS uid, score FROM ga JOIN sims ON ga.title = ta JOIN ad ON ad.title = tb WHERE score >= 0.82 OR (score >= 0.45 AND ga.place = ad.place AND ga.place <> '' AND ga.day = ad.day))"""
 
 
-def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rename_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Gone and added rows by their key of three parts."""
     prev, cur = snapshots(spark, sf_dir)
-    part = lambda df: exact.with_norms(df, {"t": (F.col("title"), exact.IDENTITY), "p": (F.get("venues", F.lit(0)), exact.IDENTITY)}).select("uid", F.col("t").alias("title"), F.coalesce("p", F.lit("")).alias("place"), F.col("start_date").alias("day"))
-    return reconcile.rename_candidates(part(reconcile.gone(prev, cur)), part(reconcile.added(prev, cur)))
+    part = lambda df: reconcile.keyed_by_place(exact.with_norms(df, {"t": (F.col("title"), exact.IDENTITY), "p": (F.get("venues", F.lit(0)), exact.IDENTITY)}).select("uid", F.col("t").alias("title"), F.col("p").alias("place"), F.col("start_date").alias("day")))
+    return part(reconcile.gone(prev, cur)), part(reconcile.added(prev, cur))
+
+
+def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.renames_by_key(*rename_sides(spark, sf_dir), save=saver(spark))
 
 
 @query(SNAP_SQL + CHARS_SQL + " SELECT prev_uid, uid, round(score, 6) AS score FROM cand")
@@ -482,7 +487,7 @@ def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def rename_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.assign(renamed(spark, sf_dir), saver(spark))
+    return reconcile.assign_renames(*rename_sides(spark, sf_dir), saver(spark))
 
 
 @query(", p AS (SELECT area AS place, CASE WHEN row_no % 20 <> 3 THEN 0 ELSE 1 END AS source, row_no, onsale_label, limited_sale FROM listing) SELECT place, arg_min(onsale_label, (source, row_no)) FILTER (onsale_label IS NOT NULL) AS onsale_label, arg_min(limited_sale, (source, row_no)) FILTER (limited_sale IS NOT NULL) AS limited_sale FROM p WHERE place IS NOT NULL GROUP BY place")

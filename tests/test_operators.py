@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from datetime import date, datetime
 
 import pytest
@@ -279,3 +280,24 @@ def test_title_pairs_lose_none_and_score_few(spark):
     got = {(r.a, r.b): round(r.score, 9) for r in reconcile.title_pairs(frame("a"), frame("b"), 0.82).collect()}
     own = sorted(set(titles))
     assert got == {(a, b): round(s, 9) for a in own for b in own if (s := share(a, b)) >= 0.82}
+
+
+def test_renames_are_assigned_and_paired_by_title(spark, monkeypatch):
+    """Equal and tied titles, many rows of each: what plain loops over all pairs give, and no pair in a shuffle."""
+    monkeypatch.setattr(reconcile, "SERVED", 7)
+    monkeypatch.setattr(reconcile, "BLOCK", 10)
+    rng = random.Random(5)
+    titles = ["abcdefgh", "abcdefghi", "abcdefghj", "abcdefgx", "mnopqrst", "mnopqrsx", "zzyyxxww", ""]
+    make = lambda tag: [(f"{rng.randrange(1 << 40):010x}{tag}", [rng.choice(titles), rng.choice(["p", "q", ""]), rng.choice(["d", "e"])]) for _ in range(90)]
+    gone, new = make("g"), make("n")
+    frame = lambda rows: spark.createDataFrame(rows, "uid string, key array<string>").persist()
+    pairs = reconcile.renames_by_key(frame(gone), frame(new), save=lambda df: df.checkpoint())
+    every = sorted(((r.score, r.prev_uid, r.uid) for r in pairs.collect()), reverse=True)
+    assert len(every) == len(set(every)) and not re.search(r"keys=\[a#\d+, b#\d+", pairs._jdf.queryExecution().executedPlan().toString())
+    used, want = set(), []
+    for s, a, b in every:
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.append((a, b, s))
+    got = reconcile.assign_renames(frame(gone), frame(new), lambda df: df.checkpoint())
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
