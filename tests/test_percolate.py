@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import text
 from marquee.operators import percolate
+from marquee.sources.adapter import listing
 from marquee.sources.scratch import saver
 
 TABS = ("event", "movie", "live")
@@ -137,3 +138,10 @@ def test_no_search_and_no_row(spark):
     one = spark.createDataFrame([(1, "q=a"), (2, "tab=live")], "search_id long, query string")
     assert percolate.matches(none, one, TABS, *declared(), saver(spark)).count() == 0
     assert percolate.matches(none, one.limit(0), TABS, *declared(), saver(spark)).count() == 0
+
+
+def test_no_pair_of_row_and_search_is_shuffled(spark):
+    frame = listing(spark, "/root/testdata/sf0.001").withColumn("folded", F.lower("title"))
+    asked = spark.createDataFrame([(1, "q=hot"), (2, "venue=Supplier%23000000001")], "search_id long, query string")
+    plan = percolate.matches(frame, asked, TABS, {}, {}, saver(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(searches") < min(plan.index("Exchange"), plan.index("Join"))
