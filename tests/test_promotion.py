@@ -34,3 +34,19 @@ def test_each_candidate_is_promoted_once(spark, tmp_path):
     assert sorted(events[2:]) == [("e", "retired", 0, date(2026, 1, 1))]  # idle for 60 days before the watermark; g isn't
     land("6.json", [("15", "e", "2026-03-21", "2026-03-21"), ("16", "e", "2026-03-21", "2026-03-21")])
     assert len(events) == 3
+
+
+def test_only_hits_of_candidates_are_kept(spark, tmp_path):
+    """Others give no event, so their hits are not written to the state; those of a place reach its own state as one row."""
+    source = tmp_path / "in"
+    source.mkdir()
+    rows = [(f"{name}{n}", name, None if n == 3 else f"2026-01-{n + 1:02}") for name in ("Ａ b", "d", "f", "unknown", "½") for n in range(9)]
+    (source / "1.json").write_text("\n".join(json.dumps({"hit_id": h, "name": n, "day": d, "seen_at": "2026-01-10T00:00:00Z"}) for h, n, d in [*rows, *rows]))
+    roster = spark.createDataFrame([*ROSTER, ("1⁄2", "candidate", 3, None)], "name string, status string, hit_count long, last_hit date")
+    out = promotion.promotions(spark.readStream.schema(jobs.HIT).json(str(source)), roster)
+    events = []
+    q = out.writeStream.outputMode("append").foreachBatch(lambda df, _: events.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(events) == [("1⁄2", "active", 12, date(2026, 1, 9)), ("A b", "active", 9, date(2026, 1, 9))]
+    kept = [s for p in q.recentProgress for s in p["stateOperators"] if s["operatorName"] == "dedupeWithinWatermark"]
+    assert sum(s["numRowsUpdated"] for s in kept) == 18
