@@ -9,7 +9,10 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,30 +176,53 @@ def multiset_similarity(a: Column, b: Column) -> Column:
     return F.when(short > 0, both / short).otherwise(F.lit(0.0))
 
 
+def mark_text(text: str, wanted: list[str]) -> str:
+    """The text with <mark> around what matches the folded terms."""
+    units = _units(text) if "ﾞ" in text or "ﾟ" in text else text
+    folds = list(map(_fold_unit, units))
+    folded = "".join(folds)
+    owner = range(len(units)) if len(folded) == len(units) else [i for i, f in enumerate(folds) for _ in f]  # no fold is empty
+    spans = []
+    for t in wanted:
+        at = folded.find(t)
+        while at >= 0:
+            spans.append((owner[at], owner[at + len(t) - 1] + 1))
+            at = folded.find(t, at + len(t))
+    out, done, last = [], 0, None
+    for start, end in sorted(spans):
+        if start > done or last is None:
+            out += ["</mark>"] * (last is not None) + [*units[done:start], "<mark>"]
+            last = done = start
+        out += units[done:end]
+        done = max(done, end)
+    return "".join([*out, *["</mark>"] * (last is not None), *units[done:]])
+
+
+def text_slices(column: pa.Array, most: int = 1_000_000) -> Iterator[pa.Array]:
+    """A column's texts in slices of that many bytes, or of one text that has more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield column.slice(start, end - start)
+        start = end
+
+
+def marked(columns: Iterator[pa.Array], wanted: list[str]) -> Iterator[pa.Array]:
+    """Columns of texts with their marks, a slice at a time."""
+    for column in columns:
+        for part in text_slices(column):
+            yield pa.array([None if t is None else mark_text(t, wanted) for t in part.to_pylist()], pa.string())
+
+
 def highlight(c: Column, query: str) -> Column:
     """The text as written, with <mark> around what matches the folded terms."""
     wanted = terms(query)
 
-    def mark(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(text: str) -> str:
-            units = _units(text)
-            owner = [i for i, u in enumerate(units) for _ in _fold_unit(u)]
-            folded, hit = "".join(map(_fold_unit, units)), [False] * len(units)
-            for t in wanted:
-                at = folded.find(t)
-                while at >= 0:
-                    for i in range(owner[at], owner[at + len(t) - 1] + 1):
-                        hit[i] = True
-                    at = folded.find(t, at + len(t))
-            out = []
-            for i, u in enumerate(units):
-                out.append("<mark>" * (hit[i] and not (i and hit[i - 1])) + u + "</mark>" * (hit[i] and not (i + 1 < len(units) and hit[i + 1])))
-            return "".join(out)
-
-        for s in texts:
-            yield s.map(one, na_action="ignore")
+    def mark(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return marked(columns, wanted)
 
-    return F.pandas_udf(mark, "string")(c)
+    return F.arrow_udf(mark, "string")(c)
 
 
 def safe_url(c: Column) -> Column:

@@ -1,7 +1,10 @@
 """Golden rows of the scalar functions."""
 
+import random
+import re
 from datetime import date, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +87,31 @@ def test_highlights_map_back_to_the_source(spark):
     assert [r[0] for r in df.select(text.highlight(F.col("t"), "zepp でぃ")).collect()] == ["<mark>Ｚｅｐｐ</mark>と<mark>ﾃﾞｨ</mark>ｽﾞﾆｰ", None, "none"]
 
 
+def test_highlights_take_a_slice_of_texts_at_a_time(spark):
+    column = pa.array(["the " * 200_000, None, "", "x" * 300_000, "Ｔｈｅ"])
+    parts = text.marked(iter([column]), ["the"])
+    assert next(parts).to_pylist() == ["<mark>the</mark> " * 200_000, None, ""] and next(parts).to_pylist() == ["x" * 300_000, "<mark>Ｔｈｅ</mark>"] and next(parts, None) is None
+    assert [len(x) for x in text.text_slices(column, 10)] == [1, 2, 1, 1] and list(text.text_slices(column.slice(0, 0))) == []
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(column.to_pylist())], "i int, t string").coalesce(1)
+    assert [r[0] for r in df.select(text.highlight(F.col("t"), "the")).collect()] == ["<mark>the</mark> " * 200_000, None, "", "x" * 300_000, "<mark>Ｔｈｅ</mark>"]
+
+
+def test_marks_cover_whole_characters_once():
+    """Terms that meet, overlap or end inside a character's fold, against a flag for each character."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        t = "".join(rng.choice("abcaＡｂ½…ﾃﾞｶﾟ😀 ー㌔") for _ in range(rng.randrange(14)))
+        wanted = text.terms("".join(rng.choice("abcで½.か  ") for _ in range(rng.randrange(7))))
+        units = text._units(t)
+        owner = [i for i, u in enumerate(units) for _ in text.fold_text(u)]
+        hit = [False] * len(units)
+        for w in wanted:
+            for m in re.finditer(re.escape(w), text.fold_text(t)):
+                for k in range(*m.span()):
+                    hit[owner[k]] = True
+        assert text.mark_text(t, wanted) == "".join("<mark>" * (h and not (i and hit[i - 1])) + u + "</mark>" * (h and hit[i + 1 : i + 2] != [True]) for i, (u, h) in enumerate(zip(units, hit, strict=True)))
+
+
 def test_content_uid(spark):
     h = 5381
     for ch in "abc|Hall 1":
