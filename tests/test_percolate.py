@@ -145,3 +145,23 @@ def test_no_pair_of_row_and_search_is_shuffled(spark):
     asked = spark.createDataFrame([(1, "q=hot"), (2, "venue=Supplier%23000000001")], "search_id long, query string")
     plan = percolate.matches(frame, asked, TABS, {}, {}, saver(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("explode(searches") < min(plan.index("Exchange"), plan.index("Join"))
+
+
+def test_small_blocks_and_no_table_of_rows(spark, monkeypatch):
+    """Several blocks a key, keys alone and together, grams told by pieces: the same pairs; what is written between steps holds no rows."""
+    for name, n in {"ROWS": 7, "BLOCK": 3, "FEW": 2, "SOUGHT": 2, "CHECKED": 20}.items():
+        monkeypatch.setattr(percolate, name, n)
+    rng = random.Random(7)
+    rows, searches = some_rows(rng, 60), some_searches(rng, 50)
+    rows[0]["venues"], rows[1]["venues"] = ["a\x1fb", "\x1e1"], ["a", "b", ""]
+    searches += [(900 + i, urlencode([("tab", t), ("venue", v)])) for i, (t, v) in enumerate((t, v) for t in TABS for v in ("a\x1fb", "\x1e1", "b"))]
+    frame = spark.createDataFrame([tuple(r[c.split()[0]] for c in SCHEMA.replace(", ", ",").split(",")) for r in rows], SCHEMA).withColumn("folded", text.fold(F.coalesce("title", F.lit(""))))
+    saved = []
+
+    def save(df):
+        saved.append(set(df.columns))
+        return df.localCheckpoint()
+
+    got = percolate.matches(frame, spark.createDataFrame(searches, "search_id long, query string"), TABS, *declared(), save)
+    assert sorted(((r.search_id, r.row_no) for r in got.collect()), key=str) == plain(rows, searches)
+    assert not any({"row_no", "folded"} & columns for columns in saved)
