@@ -301,3 +301,24 @@ def test_renames_are_assigned_and_paired_by_title(spark, monkeypatch):
             want.append((a, b, s))
     got = reconcile.assign_renames(frame(gone), frame(new), lambda df: df.checkpoint())
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
+def test_blocks_are_dealt_by_their_pairs_and_scores_rounded_before(spark, monkeypatch):
+    """Many rows of few titles are few bytes and many pairs: they become many tasks. A score is rounded for two titles, not for each pair of rows."""
+    from marquee.plans import queries as plans
+
+    monkeypatch.setattr(reconcile, "TASK", 200, raising=False)
+    monkeypatch.setattr(reconcile, "BLOCK", 10)
+    frame = lambda tag: spark.createDataFrame([(f"{tag}{i}", ["abcdefg" + "hijk"[i % 2 * 3 :], "", ""]) for i in range(120)], "uid string, key array<string>")
+    pairs = reconcile.renames_by_key(frame("g"), frame("n"))
+    assert pairs.count() == 120 * 120 and pairs.rdd.getNumPartitions() >= 72
+    plan = plans.QUERIES["rename_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "round(score" in plan and plan.index("Generate explode(bs") < plan.index("round(score")
+
+
+def test_numbered_characters_give_the_same_similarity(spark):
+    from marquee.functions import text
+
+    rows = spark.createDataFrame([(a, b) for a in ("banana", "", "a", "あaあ", "nab an") for b in ("bandana", "", "aaa", "ああい")], "a string, b string")
+    one, other = text.multiset_similarity(F.col("a"), F.col("b")), text.shared_part(text.numbered_characters(F.col("a")), text.numbered_characters(F.col("b")))
+    assert all(r.x == r.y for r in rows.select(one.alias("x"), other.alias("y")).collect())
